@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from callscope.llm import line_dedup
+from callscope.llm import line_dedup, quality
 
 QUERIES = {
+    "op1_quality_rules": quality.op1_quality_rules,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 SQL = {
+    "op1_quality_rules": quality.SQL,
     "op10_line_dedup": line_dedup.SQL,
 }
