@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.common import SPACES, packed, quoted, unpacked
+from callscope.llm.common import SPACES, cut, packed, quoted, unpacked
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -32,10 +32,11 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
     rows = docs.select(packed(docs).alias("_row"), F.col(quoted(id_col)).alias("_id"), F.xxhash64(text).alias("_text"), F.split(text, "\n", -1).alias("_lines"))
     lines = docs.select(F.col(quoted(id_col)).alias("id"), F.xxhash64(text).alias("text"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
     lines = lines.select("id", "text", "pos", line_key(F.col("line")).alias("key")).filter(F.length("key") >= min_chars)
-    lines = lines.select("id", "text", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2"))
+    lines = cut(lines.select("id", "text", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2")))
     # Two steps: the pairs (line, document) are dealt evenly, then counted before they meet by line.
     shared = lines.groupBy("h1", "h2", "id").agg(F.count(F.lit(1)).alias("_")).groupBy("h1", "h2")
     shared = shared.agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")).filter(F.col("n") >= min_docs).select("h1", "h2", "last")
+    shared = cut(shared)  # so that a line of many documents can be split in the join
     gone = lines.join(shared, ["h1", "h2"]).filter(~F.col("id").eqNullSafe(F.col("last")))
     gone = gone.groupBy("id", "text").agg(F.collect_set("pos").alias("_gone"))
     rows = rows.join(gone, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_text") == F.col("text")), "left")
