@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from callscope.llm import line_dedup, mixing, quality, secrets
+from callscope.llm import line_dedup, mixing, quality, secrets, sharding
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op4_secret_scan": secrets.op4_secret_scan,
+    "op6_sharding": sharding.op6_sharding,
     "op7_mixing": mixing.op7_mixing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
