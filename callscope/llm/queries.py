@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from callscope.llm import line_dedup, mixing, quality, secrets, sharding
+from callscope.llm import bpe, license_scan, line_dedup, mixing, quality, secrets, sharding
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op6_sharding": sharding.op6_sharding,
     "op7_mixing": mixing.op7_mixing,
+    "op8_bpe": bpe.op8_bpe,
+    "op9_license_scan": license_scan.op9_license_scan,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
