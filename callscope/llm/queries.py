@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from callscope.llm import bpe, license_scan, line_dedup, mixing, quality, secrets, sharding
+from callscope.llm import bpe, license_scan, line_dedup, mixing, quality, secrets, sharding, token_counts, topk_search
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_topk_search": topk_search.op2_topk_search,
+    "op3_token_counts": token_counts.op3_token_counts,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op6_sharding": sharding.op6_sharding,
     "op7_mixing": mixing.op7_mixing,
@@ -16,5 +18,6 @@ QUERIES = {
 
 SQL = {
     "op1_quality_rules": quality.SQL,
+    "op2_topk_search": topk_search.SQL,
     "op10_line_dedup": line_dedup.SQL,
 }
