@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from callscope.llm import bpe, license_scan, line_dedup, mixing, quality, secrets, sharding, token_counts, topk_search
+from callscope.llm import bpe, license_scan, line_dedup, mixing, near_duplicates, quality, secrets, sharding, token_counts, topk_search
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_topk_search": topk_search.op2_topk_search,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_secret_scan": secrets.op4_secret_scan,
+    "op5_jaccard_join": near_duplicates.op5_jaccard_join,
     "op6_sharding": sharding.op6_sharding,
     "op7_mixing": mixing.op7_mixing,
     "op8_bpe": bpe.op8_bpe,
