@@ -124,7 +124,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 8, id_col: s
 
     rows = rows.withColumn("home", F.aggregate("homes", start, step, lambda s: s.getField("shard")))
     rows = cut(rows.select("id", "bytes", "crc", *GROUP, "home"))
-    wide = bucket_count(total, 20_000)
+    wide = bucket_count(total, 2_000, 512)
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id", *GROUP), F.lit(wide)).cast("int")).withColumn("one", F.lit(1).cast("long"))
     order = [F.col(c) for c in ("id", *GROUP, "bytes", "crc")]
     rest = running_total(rows.filter(F.col("home").isNull()), [], "bucket", order, "one", "nth")
