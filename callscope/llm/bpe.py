@@ -13,6 +13,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -55,6 +56,8 @@ class Vocabulary:
             for k in range(1, len(token.removesuffix(END))):
                 self.suffixes.setdefault(token[k:], -1)
         self.suffixes |= self.ids
+        # Proper prefixes of tokens: a token can still grow from a place only if the rest is one of these.
+        self.prefixes = {body[:k] for body in (t.removesuffix(END) for t in self.ids) for k in range(1, len(body))}
         self.most = max(len(s.removesuffix(END)) for s in self.ids)
 
     def lookahead(self) -> int:
@@ -71,21 +74,28 @@ class Vocabulary:
 
 
 class Transducer:
-    """Encodes pre-tokens; keeps at most `most_nodes` prefixes, and of short words `most_words` with and without marks."""
+    """Encodes pre-tokens symbol by symbol; states and moves are made when first needed.
 
-    def __init__(self, vocabulary: Vocabulary, most_nodes: int = 400_000, most_words: int = 400_000, short: int = 64):
-        self.v, self.most_nodes, self.most_words, self.short = vocabulary, most_nodes, most_words, short
-        self.window = vocabulary.lookahead() + vocabulary.most
+    A state is what is not stable yet: the last stable token and the symbols after it. These are
+    fewer than lookahead() and the longest token together, whatever the length of the text. At most `most_moves` moves and twice `most_words`
+    short words are kept.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, most_moves: int = 1_200_000, most_words: int = 250_000, short: int = 64):
+        self.v, self.most_moves, self.most_words, self.short = vocabulary, most_moves, most_words, short
         self.forms: dict[int, tuple[bool, int, int, int]] = {}
         self.edges: tuple[dict[int, list[tuple[int, int]]], ...] = {}, {}
         self.words: dict[str, tuple[list[int], str]] = {}
-        self.tokens: dict[str, list[int]] = {}
+        self.old_words: dict[str, tuple[list[int], str]] = {}
+        self.known_fits: dict[int, bool] = {}
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(vocabulary.special, key=len, reverse=True))) if vocabulary.special else None
         self.clear()
 
     def clear(self) -> None:
-        self.next: dict[int, int] = {}
-        self.last, self.back = [-1], [0]
+        self.states: list[tuple[int, str]] = [(-1, "")]
+        self.numbers: dict[tuple[int, str], int] = {(-1, ""): 0}
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.ends: dict[int, tuple[int, ...]] = {}
 
     def merged(self, symbols: list[str]) -> tuple[list[str], tuple[str, str] | None]:
         """A token's symbols after all merges, lowest rank first and leftmost first, and the last merge."""
@@ -138,27 +148,29 @@ class Transducer:
     def fits(self, a: int, b: int) -> bool:
         """Whether token b can stand after token a; a = -1 is the start.
 
-        It cannot if some merge across the border comes before the merges that end its two sides; at
-        equal rank the left place is merged first.
+        At equal rank the left place is merged first.
         """
-        if not self.form(b)[0]:
-            return False
-        if a < 0:
-            return True
-        ranks = self.v.pair_ranks
-        left = self.edges[False].get(b) or self.edge(b, False)
-        for x, x_until in self.edges[True].get(a) or self.edge(a, True):
-            at = x << 20
+        known = self.known_fits.get(key := (a + 1) << 20 | b)
+        if known is None:
+            if len(self.known_fits) >= self.most_moves:
+                self.known_fits.clear()
+            known = self.known_fits[key] = self.form(b)[0] and (a < 0 or not self.crossed(a, b))
+        return known
+
+    def crossed(self, a: int, b: int) -> bool:
+        """Whether a merge across the border of two tokens comes before those that end its two sides."""
+        ranks, left = self.v.pair_ranks, self.edge(b, False)
+        for x, x_until in self.edge(a, True):
             for y, y_until in left:
-                rank = ranks.get(at | y)
+                rank = ranks.get(x << 20 | y)
                 if rank is not None and rank < x_until and rank <= y_until:
-                    return False
-        return True
+                    return True
+        return False
 
-    def step(self, text: str, i: int, last_at, tail: str) -> tuple[int, int]:
-        """The last token of text[:i] + tail and its length; last_at(j): the last token of text[:j]."""
+    def step(self, text: str, last: list[int], tail: str) -> tuple[int, int]:
+        """The last token of text + tail and its length; last[j]: the last token of text[:j]."""
         suffixes, ending, found = self.v.suffixes, tail, []
-        for j in range(i - 1, -1, -1):
+        for j in range(len(text) - 1, -1, -1):
             ending = text[j] + ending
             token = suffixes.get(ending)
             if token is None:
@@ -167,95 +179,93 @@ class Transducer:
                 found.append((token, j))
         while found:
             token, j = found.pop()
-            if self.fits(last_at(j), token):
-                return token, i - j
-        raise ValueError(f"no token ends at {i} of {text[max(0, i - 40) : i]!r}")
-
-    def pretoken(self, text: str) -> list[int]:
-        """Ids of a pre-token given in byte symbols."""
-        if len(text) > self.short:
-            return list(self.stream(text))
-        known = self.tokens.get(text)
-        if known is not None:
-            return known
-        if len(self.last) >= self.most_nodes:
-            self.clear()
-        nxt, last, back, node = self.next, self.last, self.back, 0
-        lasts = [-1]  # of each prefix of text
-        lengths = [0]
-        for i in range(1, len(text)):
-            key = node << 21 | ord(text[i - 1])
-            node = nxt.get(key)
-            if node is None:
-                token, length = self.step(text, i, lasts.__getitem__, "")
-                node = nxt[key] = len(last)
-                last.append(token)
-                back.append(length)
-            lasts.append(last[node])
-            lengths.append(back[node])
-        token, length = self.step(text, len(text), lasts.__getitem__, END)
-        found, i = [token], len(text) - length
-        while i:
-            found.append(lasts[i])
-            i -= lengths[i]
-        found.reverse()
-        if len(self.tokens) >= self.most_words:
-            self.tokens.clear()
-        self.tokens[text] = found
-        return found
+            if last[j] > -2 and self.fits(last[j], token):
+                return token, len(text) - j
+        return -2, len(text)
 
-    def stream(self, symbols: Iterable[str]) -> Iterator[int]:
-        """Ids of a pre-token of any length, emitted once stable; memory does not grow with it.
+    def prefixes(self, state: int) -> tuple[str, list[int], list[int]]:
+        """A state's symbols, and for each prefix of them its last token and that token's length.
 
-        Only prefixes within the longest token's reach can go on. What their encodings share is
-        emitted when the buffer has a lookahead of symbols more.
+        A prefix that only ends within a token, so that nothing can follow it, has the token -2.
         """
-        most = self.v.most
-        text, last, back = "", [-1], [0]  # of the part not yet emitted; last[0] stands before it
-
-        def chain(i: int) -> list[int]:
-            found = [i]
-            while i:
-                i -= back[i]
-                found.append(i)
-            return found
-
-        previous = None
-        for symbol in symbols:
-            if previous is not None:
-                text += previous
-                token, length = self.step(text, len(text), last.__getitem__, "")
-                last.append(token)
-                back.append(length)
-                if len(text) >= self.window + most and len(text) % most == 0:
-                    live = range(len(text) - most + 1, len(text) + 1)
-                    stable = max(set.intersection(*[set(chain(i)) for i in live]))
-                    if stable:
-                        yield from (last[i] for i in chain(stable)[-2::-1])
-                        text, last, back = text[stable:], last[stable:], [0, *back[stable + 1 :]]
-            previous = symbol
-        if previous is None:
-            return
-        text += previous
-        token, length = self.step(text, len(text), last.__getitem__, END)
-        yield from (last[i] for i in chain(len(text) - length)[-2::-1])
-        yield token
+        first, text = self.states[state]
+        last, back = [first], [0]
+        for n in range(1, len(text) + 1):
+            token, length = self.step(text[:n], last, "")
+            last.append(token)
+            back.append(length)
+        return text, last, back
+
+    def move(self, state: int, symbol: str) -> tuple[int, tuple[int, ...]]:
+        """The state after one more symbol, and the tokens that have become stable."""
+        text, last, back = self.prefixes(state)
+        text += symbol
+        token, length = self.step(text, last, "")
+        last.append(token)
+        back.append(length)
+        n = len(text)
+        common: set[int] | None = None
+        for j in (n, *(j for j in range(max(0, n - self.v.most), n) if text[j:] in self.v.prefixes)):
+            before = {j}
+            while j:
+                j -= back[j]
+                before.add(j)
+            common = before if common is None else common & before
+        stable, out = max(common), []
+        j = stable
+        while j:
+            out.append(last[j])
+            j -= back[j]
+        number = self.numbers.get(key := (last[stable], text[stable:]))
+        if number is None:
+            number = self.numbers[key] = len(self.states)
+            self.states.append(key)
+        return number, tuple(out[::-1])
+
+    def end(self, state: int, symbol: str) -> tuple[int, ...]:
+        """The tokens left when the pre-token ends with this symbol."""
+        text, last, back = self.prefixes(state)
+        token, length = self.step(text + symbol, last, END)
+        out, j = [token], len(text) + 1 - length
+        while j:
+            out.append(last[j])
+            j -= back[j]
+        return tuple(out[::-1])
+
+    def pretoken(self, data: bytes) -> list[int]:
+        """Ids of a pre-token of any length; besides them, only a state is kept."""
+        if len(self.moves) + len(self.ends) >= self.most_moves:
+            self.clear()
+        state, moves, found = 0, self.moves, []
+        for byte in data[:-1]:
+            known = moves.get(key := state << 8 | byte)
+            if known is None:
+                known = moves[key] = self.move(state, self.v.symbols[byte])
+            state, out = known
+            if out:
+                found += out
+        for byte in data[-1:]:
+            known = self.ends.get(key := state << 8 | byte)
+            if known is None:
+                known = self.ends[key] = self.end(state, self.v.symbols[byte])
+            found += known
+        return found
 
     def chunk(self, chunk: str) -> tuple[list[int], str]:
         """Ids and their decoded form of text without white space."""
-        known = self.words.get(chunk)
+        known = self.words.get(chunk) or self.old_words.get(chunk)
         if known is None:
             low = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)
             low = low.lower() if "Σ" not in low else "".join(c.lower() for c in low)  # no final sigma
-            symbols = self.v.symbols
-            ids = []
-            for p in [low] if low.isascii() and low.isalpha() else PRETOKEN.findall(low):
-                ids += self.pretoken(p if p.isascii() and p.isprintable() else "".join([symbols[b] for b in p.encode()]))
-            known = ids, Decoder(self.v).feed(ids)
-            if len(chunk) <= self.short:
-                if len(self.words) >= self.most_words:
-                    self.words.clear()
-                self.words[chunk] = known
+            if low.isascii() and low.isalpha():
+                ids = self.pretoken(low.encode())
+            else:
+                ids = [i for p in PRETOKEN.findall(low) for i in self.pretoken(p.encode())]
+            known = ids, joined(self.v.strings, ids)
+        if len(chunk) <= self.short:
+            if len(self.words) >= self.most_words:  # words not met again since the last time go
+                self.old_words, self.words = self.words, {}
+            self.words[chunk] = known
         return known
 
     def encode(self, text: str) -> tuple[list[int], str]:
@@ -268,8 +278,7 @@ class Transducer:
             chunks = SPACES.split(piece) if ODD_SPACE.search(piece) else piece.split()
             known = self.words.get
             parts += [known(c) or self.chunk(c) for c in chunks if c]
-        ids = [i for p in parts for i in p[0]]
-        return ids, " ".join([p[1] for p in parts if p[0]])
+        return list(chain.from_iterable([p[0] for p in parts])), " ".join([p[1] for p in parts if p[1]])
 
     def pieces(self, text: str) -> list[str]:
         """The text parted at special tokens, which stay as pieces of their own."""
@@ -282,6 +291,11 @@ class Transducer:
         return [x for x in (*found, text[at:]) if x]
 
 
+def joined(strings: dict[int, str], ids: Iterable[int]) -> str:
+    """The decoded form of ids under a file that names no decoder."""
+    return " ".join([strings[i] for i in ids])
+
+
 class Decoder:
     """Ids to text, a few at a time.
 
@@ -297,7 +311,7 @@ class Decoder:
 
     def feed(self, ids: Iterable[int]) -> str:
         if not self.plain:
-            text = " ".join([self.strings[i] for i in ids])
+            text = joined(self.strings, ids)
             lead, self.first = "" if self.first or not text else " ", self.first and not text
             return lead + text
         out = []
