@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -38,14 +39,27 @@ def unpacked(df: DataFrame, columns: Sequence[str], row: str = "_row", changed:
     return df.select(*[changed.get(c, F.col(f"{row}.{quoted(c)}")).alias(c) for c in columns])
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the one of spark.checkpoint.dir, or a new one where none is set, as in tests."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df from a checkpoint: computed once, kept in the folder that all executors share."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df from a table written in the folder that all executors share."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def bucket_count(rows: int, per_bucket: int = 2000, least: int = 64) -> int:
     """Buckets for rows of a table, so that even a bucket of one hot key stays small."""
     return max(least, -(-rows // per_bucket))

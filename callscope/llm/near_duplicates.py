@@ -101,7 +101,7 @@ def slices(batch: pa.RecordBatch, column: int, size: int = 1 << 20) -> Iterator[
 def signatures(rows: DataFrame, size: int, bands: int, band_rows: int, seed: int = 11) -> DataFrame:
     """(id, th, node, n, bands): a 128-bit name of the row's shingle set, its size and its band hashes.
 
-    rows: (id, th, text as binary). Rows without a word have a null node and no bands.
+    rows: (id, th, text as binary). Rows without a word have the empty set and no bands.
     """
     factors = np.random.default_rng(seed).integers(0, 1 << 63, bands * band_rows, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -124,7 +124,7 @@ def signatures(rows: DataFrame, size: int, bands: int, band_rows: int, seed: int
                             bucket = mix(bucket * np.uint64(P) + np.minimum.reduceat(buffer, starts))
                         hashes[full, band] = bucket.view(np.int64)
                 sets = [np.unique(x) for x in found]
-                nodes = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
+                nodes = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
                 columns = [pa.array(nodes, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([h.tolist() if len(x) else [] for h, x in zip(hashes, sets, strict=True)], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(first, len(texts)) for c in (0, 1)] + columns, ["id", "th", "node", "n", "bands"])
 
@@ -228,8 +228,8 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     return labels.select("a.id", "a.th", F.col("label.id").alias("to_id"), F.col("label.th").alias("to_th"))
 
 
-def jaccard_join(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (4, 5), recall: float = 0.9999, block_nodes: int = 128, block_shingles: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, th, class_id, class_th, n_links, wordless) of every row of docs.
+def jaccard_join(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (4, 5), recall: float = 0.9999, block_nodes: int = 64, block_shingles: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, th, class_id, class_th, n_links) of every row of docs.
 
     Documents whose sets of `size`-word shingles have a Jaccard similarity of threshold (up, down) or
     more are linked. Candidates share a band of MinHash values, with bands and rows from banding(): a pair at the
@@ -237,7 +237,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (4
     sets. class_id is the smallest id connected to the row by links; rows of equal sets are always
     connected. n_links counts the other shingle sets linked to the row's. th is xxhash64 of the text.
 
-    Null, empty and blank texts have no shingles: each is a class of its own without links. Texts of fewer
+    Null, empty and blank texts have no shingles: they are one class, as equal sets are. Texts of fewer
     words than `size` are one shingle. Null ids are smaller than others. Repeated rows and equal texts
     share a class. An empty table gives an empty result.
     """
@@ -246,7 +246,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (4
     rows = docs.select(F.col(quoted(id_col)).alias("id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     seen = cut(signatures(rows, size, bands, band_rows))
-    nodes = seen.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "th")).alias("rep"), F.max("n").alias("n"), F.max("bands").alias("bands"))
+    nodes = seen.groupBy("node").agg(F.min(F.struct("id", "th")).alias("rep"), F.max("n").alias("n"), F.max("bands").alias("bands"))
     nodes = cut(nodes.select("node", "rep.id", "rep.th", "n", "bands"))
     buckets = nodes.select("id", "th", "n", F.explode("bands").alias("bucket"))
     shared = cut(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "th")).alias("label")).filter("c > 1").select("bucket", "label"))
@@ -286,19 +286,17 @@ def jaccard_join(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (4
     info = info.select("node", F.col("id").alias("rep_id"), F.col("th").alias("rep_th"), "to_id", "to_th", "n_links")
     out = seen.select("id", "th", "node").join(cut(info), "node", "left")
     linked_ = F.col("n_links").isNotNull()
-    own = F.col("node").isNull()
-    class_id = F.when(own, F.col("id")).when(linked_, F.col("to_id")).otherwise(F.col("rep_id"))
-    class_th = F.when(own, F.col("th")).when(linked_, F.col("to_th")).otherwise(F.col("rep_th"))
-    return out.select("id", "th", class_id.alias("class_id"), class_th.alias("class_th"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), own.alias("wordless"))
+    class_id, class_th = (F.when(linked_, F.col(f"to_{x}")).otherwise(F.col(f"rep_{x}")) for x in ("id", "th"))
+    return out.select("id", "th", class_id.alias("class_id"), class_th.alias("class_th"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with one document of each class of jaccard_join(): the one with the smallest id.
 
-    Documents without words stay. Of repeated rows one stays.
+    So of the documents without words one stays, and of repeated rows one.
     """
     found = jaccard_join(docs, id_col=id_col, text_col=text_col, **options)
-    stay = found.filter(F.col("wordless") | (F.col("id").eqNullSafe(F.col("class_id")) & (F.col("th") == F.col("class_th"))))
+    stay = found.filter(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("th") == F.col("class_th")))
     stay = stay.select(F.col("id").alias("_own"), F.col("th").alias("_own_th")).distinct()
     text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
     full = docs.select(packed(docs).alias("_row"), F.col(quoted(id_col)).alias("_id"), F.xxhash64(text).alias("_th"))

@@ -96,7 +96,9 @@ def quality_rules(docs: DataFrame, max_lost: float = 0.5, text_col: str = "text"
         "kept": ~failed & (F.col("_lost") <= max_lost * F.col("_chars")),
         "clean_text": F.array_join("_left", "\n"),
     }
-    return unpacked(df, [*keep, *made], changed=values)
+    # One row in an array: filters on the verdict stay above it, so that no rule is evaluated twice.
+    df = df.select("_row", F.inline(F.array(F.struct(*[v.alias(c) for c, v in values.items()]))))
+    return unpacked(df, [*keep, *made], changed={c: F.col(c) for c in made})
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
