@@ -183,10 +183,10 @@ def filter_source(df: DataFrame, source: str | None) -> DataFrame:
     return df.filter(F.upper("source") == source.upper())
 
 
-def noise_sql(layered: bool = False) -> str:
-    """The built-in rules as SQL over name, owner, source and descriptor: a boolean, or the matching names."""
+def noise_sql(layered: bool = False, of=rules.BUILTIN) -> str:
+    """Rules as SQL over name, owner, source and descriptor: a boolean, or the matching names."""
     tests = []
-    for r in rules.BUILTIN:
+    for r in of:
         parts = [f"regexp_matches(name, '{r.method}')"]
         parts += [f"regexp_matches(replace(owner, '/', '.'), '{r.cls}')"] if r.cls else []
         parts += [f"source = '{r.source}'"] if r.source != "ALL" else []
