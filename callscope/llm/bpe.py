@@ -82,12 +82,12 @@ class Transducer:
     short words are kept.
     """
 
-    def __init__(self, vocabulary: Vocabulary, most_moves: int = 1_000_000, most_words: int = 220_000, short: int = 64):
+    def __init__(self, vocabulary: Vocabulary, most_moves: int = 1_000_000, most_words: int = 250_000, short: int = 64):
         self.v, self.most_moves, self.most_words, self.short = vocabulary, most_moves, most_words, short
         self.forms: dict[int, tuple[bool, int, int, int]] = {}
         self.edges: tuple[dict[int, list[tuple[int, int]]], ...] = {}, {}
-        self.words: dict[str, tuple[list[int], str]] = {}
-        self.old_words: dict[str, tuple[list[int], str]] = {}
+        self.words: dict[str, list[int]] = {}
+        self.old_words: dict[str, list[int]] = {}
         self.known_fits: dict[int, bool] = {}
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(vocabulary.special, key=len, reverse=True))) if vocabulary.special else None
         self.clear()
@@ -252,7 +252,7 @@ class Transducer:
             found += known
         return found
 
-    def keep(self, chunk: str, known: tuple[list[int], str]) -> tuple[list[int], str]:
+    def keep(self, chunk: str, known: list[int]) -> list[int]:
         """Keeps a short chunk; those not met again since the last exchange of the two halves go."""
         if len(chunk) <= self.short:
             if len(self.words) >= self.most_words:
@@ -260,8 +260,8 @@ class Transducer:
             self.words[chunk] = known
         return known
 
-    def chunk(self, chunk: str) -> tuple[list[int], str]:
-        """Ids and their decoded form of text without white space."""
+    def chunk(self, chunk: str) -> list[int]:
+        """Ids of text without white space."""
         known = self.words.get(chunk) or self.old_words.get(chunk)
         if known is not None:
             return self.keep(chunk, known)
@@ -269,29 +269,24 @@ class Transducer:
         low = low.lower() if "Σ" not in low else "".join(c.lower() for c in low)  # no final sigma
         word = low.rstrip(".,")
         if not word.isalpha():
-            ids = [i for p in PRETOKEN.findall(low) for i in self.pretoken(p.encode())]
-            return self.keep(chunk, (ids, joined(self.v.strings, ids)))
-        known = self.words.get(word) or self.old_words.get(word)
-        if known is None:
-            ids = self.pretoken(word.encode())
-            known = self.keep(word, (ids, joined(self.v.strings, ids)))
+            return self.keep(chunk, [i for p in PRETOKEN.findall(low) for i in self.pretoken(p.encode())])
+        known = self.words.get(word) or self.old_words.get(word) or self.keep(word, self.pretoken(word.encode()))
         if word != low:  # full stops and commas after letters are a pre-token of their own
             tail = low[len(word) :]
-            after = self.words.get(tail) or self.keep(tail, ((ids := self.pretoken(tail.encode())), joined(self.v.strings, ids)))
-            known = known[0] + after[0], f"{known[1]} {after[1]}"
+            known = known + (self.words.get(tail) or self.keep(tail, self.pretoken(tail.encode())))
         return self.keep(chunk, known) if chunk != word else known
 
-    def encode(self, text: str) -> tuple[list[int], str]:
-        """Ids of a text, and decode() of them."""
-        parts: list[tuple[list[int], str]] = []
+    def encode(self, text: str) -> list[int]:
+        """Ids of a text."""
+        parts: list[list[int]] = []
         for piece in self.pieces(text):
             if piece in self.v.special:
-                parts.append(([self.v.special[piece]], piece))
+                parts.append([self.v.special[piece]])
                 continue
             chunks = SPACES.split(piece) if ODD_SPACE.search(piece) else piece.split()
             known = self.words.get
             parts += [known(c) or self.chunk(c) for c in chunks if c]
-        return list(chain.from_iterable([p[0] for p in parts])), " ".join([p[1] for p in parts if p[1]])
+        return list(chain.from_iterable(parts))
 
     def pieces(self, text: str) -> list[str]:
         """The text parted at special tokens, which stay as pieces of their own."""
@@ -304,11 +299,6 @@ class Transducer:
         return [x for x in (*found, text[at:]) if x]
 
 
-def joined(strings: dict[int, str], ids: Iterable[int]) -> str:
-    """The decoded form of ids under a file that names no decoder."""
-    return " ".join([strings[i] for i in ids])
-
-
 class Decoder:
     """Ids to text, a few at a time.
 
@@ -324,7 +314,7 @@ class Decoder:
 
     def feed(self, ids: Iterable[int]) -> str:
         if not self.plain:
-            text = joined(self.strings, ids)
+            text = " ".join([self.strings[i] for i in ids])
             lead, self.first = "" if self.first or not text else " ", self.first and not text
             return lead + text
         out = []
@@ -370,15 +360,16 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 texts, at, held, size = batch.column(1), 0, [], 0
                 for k in range(batch.num_rows):
                     text = texts[k].as_py()
-                    held.append(t.encode(text))
+                    ids = t.encode(text)
+                    held.append((ids, Decoder(t.v).feed(ids)))
                     size += len(text)
                     if size >= slice_bytes or k + 1 == batch.num_rows:
-                        ids = pa.array([x[0] for x in held], fields.field(0).type)
-                        decoded = pa.array([x[1] for x in held], pa.string())
-                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(held)), ids, decoded], ["id", "ids", "decoded"])
+                        columns = [pa.array([x[c] for x in held], fields.field(c).type) for c in (0, 1)]
+                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(held)), *columns], ["id", "ids", "decoded"])
                         at, held, size = k + 1, [], 0
         finally:
             gc.enable()
+            t.words, t.old_words = {}, {}  # an idle worker keeps the moves only
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, ids array<int>, decoded string")
