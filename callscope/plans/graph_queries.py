@@ -305,3 +305,12 @@ def frequency_sheet(spark, sf_dir):
 def filtered_sheet(spark, sf_dir):
     removed = freq.split_frequency(frequency(spark, sf_dir))[1]
     return freq.with_rank(removed, 200, F.desc("call_count"), "sig", "method_id").select("rank", "sig", "source", "call_count", "rules")
+
+
+@query("chain_rows")
+def chain_rows(spark, sf_dir):
+    """Order-exact listing; SQL cannot state its order. seq is the call's line, then the callee."""
+    from callscope.operators.dfs import chain_rows as listing
+
+    _, inner = graphs(spark, sf_dir, pruned=False)
+    return listing(roots(spark, sf_dir), inner.withColumn("seq", F.col("line")), noise_methods(spark, sf_dir), DEPTH)

@@ -53,7 +53,7 @@ UNION ALL SELECT concat('java/util/J', CAST(n_nationkey AS VARCHAR(20))), 'put',
 DECLARED_DEPS = """
 SELECT project, ga, max(version) AS version, max(scope) AS scope FROM (
   SELECT l_suppkey AS project, l_partkey % 200 AS ga, CASE WHEN l_discount < 0.03 THEN NULL ELSE concat('1.', CAST(l_linenumber AS VARCHAR(20))) END AS version,
-    CASE WHEN l_shipmode = 'MAIL' THEN 'test' ELSE 'compile' END AS scope,
+    CASE WHEN l_linenumber = 4 THEN 'test' ELSE 'compile' END AS scope,
     row_number() OVER (PARTITION BY l_suppkey, l_partkey % 200 ORDER BY l_orderkey, l_linenumber, l_partkey) AS rn FROM {lineitem}) t
 WHERE rn = 1 GROUP BY project, ga
 """
