@@ -12,6 +12,7 @@ import codecs
 import gc
 import hashlib
 import json
+import threading
 import unicodedata
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -88,7 +89,6 @@ class Transducer:
         self.edges: tuple[dict[int, list[tuple[int, int]]], ...] = {}, {}
         self.words: dict[str, list[int]] = {}
         self.old_words: dict[str, list[int]] = {}
-        self.known_fits: dict[int, bool] = {}
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(vocabulary.special, key=len, reverse=True))) if vocabulary.special else None
         self.clear()
 
@@ -97,6 +97,7 @@ class Transducer:
         self.numbers: dict[tuple[int, str], int] = {(-1, ""): 0}
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.ends: dict[int, tuple[int, ...]] = {}
+        self.known_fits: dict[int, bool] = {}
 
     def merged(self, symbols: list[str]) -> tuple[list[str], tuple[str, str] | None]:
         """A token's symbols after all merges, lowest rank first and leftmost first, and the last merge."""
@@ -329,6 +330,8 @@ class Decoder:
 
 
 _KEPT: dict[str, Transducer] = {}  # of this worker, by vocabulary
+_USED = threading.Lock()  # held while a task encodes
+IDLE_SECONDS = 3.0
 
 
 def transducer(name: str, text: str) -> Transducer:
@@ -338,6 +341,16 @@ def transducer(name: str, text: str) -> Transducer:
     return _KEPT[name]
 
 
+def _give_back() -> None:
+    """A worker that has had no task for a while keeps the vocabulary only."""
+    if _USED.acquire(blocking=False):
+        try:
+            for t in _KEPT.values():
+                t.clear()
+        finally:
+            _USED.release()
+
+
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 1 << 22) -> DataFrame:
     """(id, ids, decoded) of every row: the token ids of its whole text, and their decoded form.
 
@@ -353,9 +366,10 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     fields = pa.schema([("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = transducer(name, shared.value)
+        _USED.acquire()
         gc.disable()  # the kept tables have no cycles; walking them again and again costs a quarter of the time
         try:
+            t = transducer(name, shared.value)
             for batch in batches:
                 texts, at, held, size = batch.column(1), 0, [], 0
                 for k in range(batch.num_rows):
@@ -367,9 +381,13 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                         columns = [pa.array([x[c] for x in held], fields.field(c).type) for c in (0, 1)]
                         yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(held)), *columns], ["id", "ids", "decoded"])
                         at, held, size = k + 1, [], 0
+            t.words, t.old_words = {}, {}  # the next task keeps the moves only
         finally:
             gc.enable()
-            t.words, t.old_words = {}, {}  # an idle worker keeps the moves only
+            _USED.release()
+            later = threading.Timer(IDLE_SECONDS, _give_back)
+            later.daemon = True
+            later.start()
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, ids array<int>, decoded string")

@@ -61,16 +61,19 @@ def _bigrams(values: DataFrame) -> dict[str, int]:
     return {r["pair"]: r["n"] for r in pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def train(random: DataFrame, ordinary: DataFrame, smoothing: float = 0.5) -> list[float]:
+def train(random: DataFrame, ordinary: DataFrame, smoothing: float = 0.5, backoff: float = 8.0) -> list[float]:
     """Log-likelihood ratios of a character after another, random against ordinary, by places in ALPHABET.
 
-    Both frames hold examples in the column value. Counts get `smoothing` added, so a class
-    without examples is uniform.
+    Both frames hold examples in the column value. A character's own frequency, with `smoothing` added to
+    each count, counts as `backoff` examples after every character, so that a pair without an example
+    is judged by its second character; a class without examples is uniform.
     """
     logs = []
     for found in (_bigrams(random), _bigrams(ordinary)):
-        total = {a: sum(found.get(a + b, 0) for b in ALPHABET) + smoothing * len(ALPHABET) for a in ALPHABET}
-        logs.append([math.log((found.get(a + b, 0) + smoothing) / total[a]) for a in ALPHABET for b in ALPHABET])
+        single = {b: sum(found.get(a + b, 0) for a in ALPHABET) + smoothing for b in ALPHABET}
+        every = sum(single.values())
+        total = {a: sum(found.get(a + b, 0) for b in ALPHABET) + backoff for a in ALPHABET}
+        logs.append([math.log((found.get(a + b, 0) + backoff * single[b] / every) / total[a]) for a in ALPHABET for b in ALPHABET])
     return [r - p for r, p in zip(*logs, strict=True)]
 
 
@@ -90,8 +93,8 @@ def scan_secrets(docs: DataFrame, sample_rows: int = 2000, least_ratio: float =
     are KINDS, kind 3 is found by the models. A candidate is a run RUN that meets no known
     form; it is a secret if its mean log-likelihood ratio, random against ordinary, is at least
     `least_ratio`. Labelled samples: the values of all known forms in the table are random strings;
-    runs of eight or more letters, digits or underscores are ordinary identifiers, taken from a sample
-    of about `sample_rows` rows chosen by a hash of the text.
+    runs of eight or more letters, digits or underscores outside them are ordinary identifiers, taken from
+    a sample of about `sample_rows` rows chosen by a hash of the text.
 
     Null and empty texts have no spans. Rows are scanned one by one, so repeated rows repeat their
     result. Without any known form the random class is uniform. An empty table gives an empty result.
@@ -99,8 +102,10 @@ def scan_secrets(docs: DataFrame, sample_rows: int = 2000, least_ratio: float =
     text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
     every = max(1, docs.count() // sample_rows)
     rows = docs.select(F.col(quoted(id_col)).alias("id"), text.alias("text"))
-    words = F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]{8,}"), F.lit(0))
-    words = F.filter(words, lambda w: ~w.rlike("[0-9a-f]{32}|AKIA"))
+    bare = F.col("text")
+    for _, pattern, _, _ in KINDS:
+        bare = F.regexp_replace(bare, pattern, " ")
+    words = F.regexp_extract_all(bare, F.lit("[A-Za-z0-9_]{8,}"), F.lit(0))
     none = F.array().cast(SPAN)
     runs = F.when(F.col("text").rlike(RUN), matches(F.col("text"), RUN, 0, 20, len(KINDS))).otherwise(none)
     found = rows.select("id", base_spans(F.col("text")).alias("base"), runs.alias("runs"), F.when(F.pmod(F.xxhash64("text"), F.lit(every)) == 0, words).alias("words"))

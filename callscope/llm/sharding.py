@@ -35,7 +35,10 @@ def accepted(wanted: np.ndarray, load: np.ndarray, quota: np.ndarray) -> np.ndar
         for t in np.flatnonzero(over):
             arriving = moves[:, t].sum()
             room = max(0, arriving - (after[t] - max(quota[t], load[t])))
-            moves[:, t] = moves[:, t] * room // arriving
+            cut_to = moves[:, t] * room // arriving
+            spare = np.argsort(-(moves[:, t] - cut_to), kind="stable")[: room - cut_to.sum()]
+            cut_to[spare] += 1  # what rounding down left over
+            moves[:, t] = np.minimum(cut_to, moves[:, t])
 
 
 def pick(values: np.ndarray, shards: int, i: Column, j: Column) -> Column:
@@ -43,12 +46,14 @@ def pick(values: np.ndarray, shards: int, i: Column, j: Column) -> Column:
     return F.element_at(F.array(*[F.lit(int(v)) for v in values.ravel()]), i * shards + j + 1)
 
 
-def propagate(groups: DataFrame, rows: int, shards: int = 8, rounds: int = 8) -> DataFrame:
+def propagate(groups: DataFrame, rows: int, shards: int = 8, rounds: int = 12) -> DataFrame:
     """(g1, g2, shard, n): how many documents of each linked group go to each shard.
 
     groups: (g1, g2, n). A group starts spread evenly. In each round the part of a group in a
-    shard wants to join the group's largest part in a shard with room, larger than itself; parts
-    with the most to gain go first, and accepted() sets how many may move between two shards.
+    shard wants to join the group's largest part, if that is larger than itself; parts with the most
+    to gain go first, and accepted() sets how many may move between two shards. Every other round
+    only shards with room are wanted; in the others parts may also change places between full shards,
+    but for groups that no shard can hold.
     """
     quota = np.array(quotas(rows, shards))
     first = F.pmod(F.xxhash64(*GROUP), F.lit(shards)).cast("int")
@@ -57,11 +62,14 @@ def propagate(groups: DataFrame, rows: int, shards: int = 8, rounds: int = 8) ->
     share = F.floor(F.col("n") / shards) + F.when(turn < F.col("n") % shards, 1).otherwise(0)
     cells = cut(cells.select(*GROUP, "shard", share.cast("long").alias("n")).filter("n > 0"))
     buckets = bucket_count(rows, 20_000)
-    for _ in range(rounds):
+    idle = False
+    for turn_no in range(rounds):
         load = np.zeros(shards, np.int64)
         for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect():  # a row for each shard
             load[r["shard"]] = r["n"]
         room = F.element_at(F.array(*[F.lit(bool(x)) for x in load < quota]), F.col("shard") + 1)
+        if turn_no % 2 == 0:
+            room = room | (F.sum("n").over(Window.partitionBy(*GROUP)) <= int(quota.min()))
         largest = F.max(F.when(room, F.struct("n", F.xxhash64("shard", *GROUP).alias("tie"), "shard"))).over(Window.partitionBy(*GROUP))
         own = F.struct("n", F.xxhash64("shard", *GROUP).alias("tie"), "shard")
         moving = cells.withColumn("best", largest).filter(F.col("best") > own)
@@ -72,7 +80,11 @@ def propagate(groups: DataFrame, rows: int, shards: int = 8, rounds: int = 8) ->
             wanted[r["shard"], r["to"]] = r["n"]
         allowed = accepted(wanted, load, quota)
         if not allowed.any():
-            break
+            if idle:
+                break
+            idle = True
+            continue
+        idle = False
         moving = running_total(moving, ["shard", "to"], "bucket", [F.col(c) for c in GROUP], "n", "start")
         moved = F.least(F.col("n"), F.greatest(F.lit(0), pick(allowed, shards, F.col("shard"), F.col("to")) - F.col("start")))
         moving = moving.select(*GROUP, "shard", "to", moved.cast("long").alias("n")).filter("n > 0")
@@ -86,7 +98,7 @@ def propagate(groups: DataFrame, rows: int, shards: int = 8, rounds: int = 8) ->
     return cut(cells.select(*GROUP, "shard", F.least(F.col("n"), limit - F.col("start")).alias("n")).filter("n > 0"))
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every row of docs.
 
     Documents of equal text are linked. Shards get equal numbers of rows, to within one, and
