@@ -351,6 +351,33 @@ def _give_back() -> None:
             _USED.release()
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], name: str, spec: str, slice_bytes: int) -> Iterator[pa.RecordBatch]:
+    """(id, ids, decoded) of batches of (id, text)."""
+    kinds = pa.list_(pa.int32()), pa.string()
+    _USED.acquire()
+    gc.disable()  # the kept tables have no cycles; walking them again and again costs a quarter of the time
+    try:
+        t = transducer(name, spec)
+        for batch in batches:
+            texts, at, held, size = batch.column(1), 0, [], 0
+            for k in range(batch.num_rows):
+                text = texts[k].as_py()
+                ids = t.encode(text)
+                held.append((ids, Decoder(t.v).feed(ids)))
+                size += len(text)
+                if size >= slice_bytes or k + 1 == batch.num_rows:
+                    columns = [pa.array([x[c] for x in held], kinds[c]) for c in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(held)), *columns], ["id", "ids", "decoded"])
+                    at, held, size = k + 1, [], 0
+        t.words, t.old_words = {}, {}  # the next task keeps the moves only
+    finally:
+        gc.enable()
+        _USED.release()
+        later = threading.Timer(IDLE_SECONDS, _give_back)
+        later.daemon = True
+        later.start()
+
+
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 1 << 22) -> DataFrame:
     """(id, ids, decoded) of every row: the token ids of its whole text, and their decoded form.
 
@@ -363,31 +390,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         spec = f.read()
     name, shared = hashlib.sha256(spec.encode()).hexdigest(), docs.sparkSession.sparkContext.broadcast(spec)
     rows = docs.select(F.col(quoted(id_col)).alias("id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"))
-    fields = pa.schema([("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _USED.acquire()
-        gc.disable()  # the kept tables have no cycles; walking them again and again costs a quarter of the time
-        try:
-            t = transducer(name, shared.value)
-            for batch in batches:
-                texts, at, held, size = batch.column(1), 0, [], 0
-                for k in range(batch.num_rows):
-                    text = texts[k].as_py()
-                    ids = t.encode(text)
-                    held.append((ids, Decoder(t.v).feed(ids)))
-                    size += len(text)
-                    if size >= slice_bytes or k + 1 == batch.num_rows:
-                        columns = [pa.array([x[c] for x in held], fields.field(c).type) for c in (0, 1)]
-                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(held)), *columns], ["id", "ids", "decoded"])
-                        at, held, size = k + 1, [], 0
-            t.words, t.old_words = {}, {}  # the next task keeps the moves only
-        finally:
-            gc.enable()
-            _USED.release()
-            later = threading.Timer(IDLE_SECONDS, _give_back)
-            later.daemon = True
-            later.start()
+        return _encoded(batches, name, shared.value, slice_bytes)
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, ids array<int>, decoded string")

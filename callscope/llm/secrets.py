@@ -20,6 +20,8 @@ KINDS = (
 )
 #: Candidates of the models: runs of these characters.
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
+#: Labelled as ordinary: whole runs without digits and marks.
+ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z_]{8,}(?![A-Za-z0-9+/_=-])"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
@@ -93,8 +95,8 @@ def scan_secrets(docs: DataFrame, sample_rows: int = 2000, least_ratio: float =
     are KINDS, kind 3 is found by the models. A candidate is a run RUN that meets no known
     form; it is a secret if its mean log-likelihood ratio, random against ordinary, is at least
     `least_ratio`. Labelled samples: the values of all known forms in the table are random strings;
-    runs of eight or more letters, digits or underscores outside them are ordinary identifiers, taken from
-    a sample of about `sample_rows` rows chosen by a hash of the text.
+    whole runs of eight or more letters or underscores outside them are ordinary identifiers, taken from a
+    sample of about `sample_rows` rows chosen by a hash of the text.
 
     Null and empty texts have no spans. Rows are scanned one by one, so repeated rows repeat their
     result. Without any known form the random class is uniform. An empty table gives an empty result.
@@ -105,7 +107,7 @@ def scan_secrets(docs: DataFrame, sample_rows: int = 2000, least_ratio: float =
     bare = F.col("text")
     for _, pattern, _, _ in KINDS:
         bare = F.regexp_replace(bare, pattern, " ")
-    words = F.regexp_extract_all(bare, F.lit("[A-Za-z0-9_]{8,}"), F.lit(0))
+    words = F.regexp_extract_all(bare, F.lit(ORDINARY), F.lit(0))
     none = F.array().cast(SPAN)
     runs = F.when(F.col("text").rlike(RUN), matches(F.col("text"), RUN, 0, 20, len(KINDS))).otherwise(none)
     found = rows.select("id", base_spans(F.col("text")).alias("base"), runs.alias("runs"), F.when(F.pmod(F.xxhash64("text"), F.lit(every)) == 0, words).alias("words"))
