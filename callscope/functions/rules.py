@@ -28,13 +28,13 @@ class Rule:
 
 #: The built-in rules.
 BUILTIN = (
-    Rule("builtin-factory", "工厂方法", "getInstance|getBean|getBeanFactory|getInstance.*"),
-    Rule("builtin-constructor", "构造方法", "<init>"),
-    Rule("builtin-object-method", "Object方法", "toString|equals|hashCode|getClass|clone|finalize"),
-    Rule("builtin-logging", "日志方法", "(info|debug|error|warn|trace|fatal)", ".*(Logger|Log|Slf4j).*"),
-    Rule("builtin-lifecycle", "生命周期", "afterPropertiesSet|initMethod|destroy|initialize|dispose|onApplicationEvent|postProcess.*"),
-    Rule("builtin-simple-getter", "简单getter", "^(get|is)[A-Z]", "", "PROJECT", 0),
-    Rule("builtin-simple-setter", "简单setter", "^set[A-Z]", "", "PROJECT", 1),
+    Rule("factory", "单例/工厂", "getInstance|getBean|getBeanFactory|getInstance.*"),
+    Rule("constructor", "构造器", "<init>"),
+    Rule("object-method", "Object 方法", "toString|equals|hashCode|getClass|clone|finalize"),
+    Rule("logging", "日志", "(info|debug|error|warn|trace|fatal)", ".*(Logger|Log|Slf4j).*"),
+    Rule("lifecycle", "Spring 生命周期", "afterPropertiesSet|initMethod|destroy|initialize|dispose|onApplicationEvent|postProcess.*"),
+    Rule("simple-getter", "简单 getter（0 参数，getXxx/isXxx）", "^(get|is)[A-Z]", "", "PROJECT", 0),
+    Rule("simple-setter", "简单 setter（1 参数，setXxx）", "^set[A-Z]", "", "PROJECT", 1),
 )
 RULE_COLUMNS = ["id", "name", "method_pattern", "class_pattern", "source", "param_count", "enabled"]
 

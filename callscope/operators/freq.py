@@ -28,10 +28,9 @@ def callers_text(sites: DataFrame, most: int = 20) -> DataFrame:
     """
     rank = F.row_number().over(Window.partitionBy("callee_id").orderBy("caller", "line"))
     counts = sites.groupBy("callee_id").agg(F.count(F.lit(1)).alias("call_count"))
-    text = F.concat(F.col("x.caller").cast("string"), F.lit("  L"), F.col("x.line").cast("string"))
     first = sites.withColumn("_r", rank).filter(F.col("_r") <= most).groupBy("callee_id").agg(F.array_sort(F.collect_list(F.struct("_r", "caller", "line"))).alias("_f"))
-    lines = F.array_join(F.transform("_f", lambda x: F.concat(x.getField("caller").cast("string"), F.lit("  L"), x.getField("line").cast("string"))), "\n")
-    more = F.when(F.col("call_count") > most, F.concat(F.lit("\n… 另有 "), (F.col("call_count") - most).cast("string"), F.lit(" 处"))).otherwise(F.lit(""))
+    lines = F.array_join(F.transform("_f", lambda x: F.concat(x.getField("caller").cast("string"), F.when(x.getField("line") > 0, F.concat(F.lit("  L"), x.getField("line").cast("string"))).otherwise(F.lit("")))), "\n")
+    more = F.when(F.col("call_count") > most, F.concat(F.lit("\n… 另有 "), (F.col("call_count") - most).cast("string"), F.lit(" 处调用"))).otherwise(F.lit(""))
     return counts.join(first, "callee_id").select("callee_id", "call_count", F.concat(lines, more).alias("callers"))
 
 

@@ -8,7 +8,7 @@ from callscope.functions import rules, sig
 from callscope.operators import freq, graph, report, search
 from callscope.plans import testviews as tv
 from callscope.plans.registry import query
-from callscope.plans.signature_queries import DISPLAY_SQL, ID_SQL, SIG, methods, noise_sql, signed
+from callscope.plans.signature_queries import DISPLAY_SQL, ID_SQL, methods, noise_sql, signed
 
 ORDER = ["line", "l_orderkey", "l_suppkey"]
 E_SQL = f"raw AS {tv.plain(tv.EDGES)}, e AS (SELECT from_id, to_id, arg_min(invoke, (line, l_orderkey, l_suppkey)) AS invoke, arg_min(line, (line, l_orderkey, l_suppkey)) AS line FROM raw GROUP BY from_id, to_id)"
@@ -25,7 +25,7 @@ def reach_sql(depth: int = DEPTH, edges: str = "e", roots: str = "roots", name:
 
 G_SQL = f"WITH RECURSIVE {E_SQL}, {R_SQL}, {M_SQL}, {reach_sql()}"
 #: All roots of the view are factory methods, so its pruned graphs have that rule off.
-PRUNING = tuple(r for r in rules.BUILTIN if r.id != "builtin-factory")
+PRUNING = tuple(r for r in rules.BUILTIN if r.id != "factory")
 QUIET = f"quiet AS (SELECT method_id FROM m WHERE {noise_sql(of=PRUNING)}), pe AS (SELECT * FROM e WHERE from_id NOT IN (FROM quiet) AND to_id NOT IN (FROM quiet)), pr AS (SELECT * FROM roots WHERE method_id NOT IN (FROM quiet))"
 P_SQL = f"WITH RECURSIVE {E_SQL}, {R_SQL}, {M_SQL}, {QUIET}, {reach_sql(DEPTH, 'pe', 'pr')}"
 
@@ -247,8 +247,8 @@ def callers_of(spark, sf_dir):
     return freq.callers_of(sites(spark, sf_dir), 7)
 
 
-TEXT_SQL = """t AS (SELECT callee_id, count(*)::BIGINT AS call_count, concat(string_agg(CASE WHEN r <= 20 THEN concat(caller_id, '  L', line) END, chr(10) ORDER BY r),
-  CASE WHEN count(*) > 20 THEN concat(chr(10), '… 另有 ', count(*) - 20, ' 处') ELSE '' END) AS callers FROM (SELECT *, row_number() OVER (PARTITION BY callee_id ORDER BY caller_id, line) AS r FROM d) y GROUP BY callee_id)"""
+TEXT_SQL = """t AS (SELECT callee_id, count(*)::BIGINT AS call_count, concat(string_agg(CASE WHEN r <= 20 THEN concat(caller_id, CASE WHEN line > 0 THEN concat('  L', line) ELSE '' END) END, chr(10) ORDER BY r),
+  CASE WHEN count(*) > 20 THEN concat(chr(10), '… 另有 ', count(*) - 20, ' 处调用') ELSE '' END) AS callers FROM (SELECT *, row_number() OVER (PARTITION BY callee_id ORDER BY caller_id, line) AS r FROM d) y GROUP BY callee_id)"""
 
 
 @query("callers_text", f"WITH {S_SQL}, {TEXT_SQL} SELECT * FROM t")
@@ -313,4 +313,11 @@ def chain_rows(spark, sf_dir):
     from callscope.operators.dfs import chain_rows as listing
 
     _, inner = graphs(spark, sf_dir, pruned=False)
-    return listing(roots(spark, sf_dir), inner.withColumn("seq", F.col("line")), noise_methods(spark, sf_dir), DEPTH)
+    return listing(roots(spark, sf_dir), inner.withColumn("seq", F.col("line").cast("long")), noise_methods(spark, sf_dir), DEPTH)
+
+
+@query("chain_sheet")
+def chain_sheet(spark, sf_dir):
+    """The listing as a report table; like chain_rows, SQL cannot state its order."""
+    named = methods(spark, sf_dir).select("method_id", sig.display(F.col("owner"), F.col("name"), F.col("descriptor")).alias("display"), "source")
+    return report.chain_sheet(chain_rows(spark, sf_dir), named)

@@ -18,8 +18,6 @@ TYPES_SQL = (
 ARGS_SQL = f"array_to_string({TYPES_SQL}, ', ')"
 ID_SQL = f"concat(replace(owner, '/', '.'), '#', name, '(', {ARGS_SQL}, ')')"
 DISPLAY_SQL = f"CASE name WHEN '<init>' THEN concat('new ', regexp_extract(owner, '([^/$]*)$', 1), '(', {ARGS_SQL}, ')') WHEN '<clinit>' THEN 'static {{}}' ELSE concat(name, '(', {ARGS_SQL}, ')') END".replace("{{}}", "{}")
-O, N, D = F.col("owner"), F.col("name"), F.col("descriptor")
-SIG = sig.identifier(O, N, D)
 
 
 def methods(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,17 +26,17 @@ def methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The methods with their readable signatures."""
-    return methods(spark, sf_dir).withColumn("sig", SIG)
+    return methods(spark, sf_dir).withColumn("sig", sig.identifier(F.col("owner"), F.col("name"), F.col("descriptor")))
 
 
 @query("sig_param_types", f"{M} SELECT method_id, {ARGS_SQL} AS types FROM m")
 def sig_param_types(spark, sf_dir):
-    return methods(spark, sf_dir).select("method_id", F.array_join(sig.param_types(D), ", ").alias("types"))
+    return methods(spark, sf_dir).select("method_id", F.array_join(sig.param_types(F.col("descriptor")), ", ").alias("types"))
 
 
 @query("sig_param_count", f"{M} SELECT method_id, len({PARAMS_SQL})::INTEGER AS n FROM m")
 def sig_param_count(spark, sf_dir):
-    return methods(spark, sf_dir).select("method_id", sig.param_count_desc(D).alias("n"))
+    return methods(spark, sf_dir).select("method_id", sig.param_count_desc(F.col("descriptor")).alias("n"))
 
 
 @query("sig_identifier", f"{M} SELECT method_id, {ID_SQL} AS sig FROM m")
@@ -48,12 +46,12 @@ def sig_identifier(spark, sf_dir):
 
 @query("sig_display", f"{M} SELECT method_id, {DISPLAY_SQL} AS display FROM m")
 def sig_display(spark, sf_dir):
-    return methods(spark, sf_dir).select("method_id", sig.display(O, N, D).alias("display"))
+    return methods(spark, sf_dir).select("method_id", sig.display(F.col("owner"), F.col("name"), F.col("descriptor")).alias("display"))
 
 
 @query("sig_names", f"{M} SELECT method_id, replace(owner, '/', '.') AS class_name, split_part(owner, '/', -1) AS simple_name, regexp_extract(owner, '([^/$]*)$', 1) AS short_name FROM m")
 def sig_names(spark, sf_dir):
-    return methods(spark, sf_dir).select("method_id", sig.class_name(O).alias("class_name"), sig.simple_name(O).alias("simple_name"), sig.short_name(O).alias("short_name"))
+    return methods(spark, sf_dir).select("method_id", sig.class_name(F.col("owner")).alias("class_name"), sig.simple_name(F.col("owner")).alias("simple_name"), sig.short_name(F.col("owner")).alias("short_name"))
 
 
 @query("sig_split", f"{M} SELECT method_id, replace(owner, '/', '.') AS class_name, split_part(owner, '/', -1) AS simple_class, name AS method_name, len({PARAMS_SQL})::INTEGER AS param_count FROM m")
@@ -72,7 +70,7 @@ def sig_param_count_readable(spark, sf_dir):
 @query("sig_full", f"{M} SELECT method_id, CASE method_id % 3 WHEN 0 THEN replace(owner, '/', '.') WHEN 1 THEN concat(replace(owner, '/', '.'), '#', name) ELSE {ID_SQL} END AS full_sig FROM m")
 def sig_full(spark, sf_dir):
     third = F.col("method_id") % 3
-    return methods(spark, sf_dir).select("method_id", sig.full_signature(sig.class_name(O), F.when(third > 0, N), F.when(third == 2, D)).alias("full_sig"))
+    return methods(spark, sf_dir).select("method_id", sig.full_signature(sig.class_name(F.col("owner")), F.when(third > 0, F.col("name")), F.when(third == 2, F.col("descriptor"))).alias("full_sig"))
 
 
 BACK_SQL = "CASE method_id % 6 WHEN 0 THEN '()' WHEN 1 THEN '(I)' WHEN 2 THEN '(Ljava/lang/String;I)' WHEN 3 THEN '([Ljava/lang/String;[[I)' WHEN 4 THEN '(LInner;JD)' ELSE '(LMap;LList;I[BLjava/lang/Object;)' END"
@@ -80,7 +78,7 @@ BACK_SQL = "CASE method_id % 6 WHEN 0 THEN '()' WHEN 1 THEN '(I)' WHEN 2 THEN '(
 
 @query("sig_to_descriptor", f"{M} SELECT method_id, {BACK_SQL} AS descriptor FROM m")
 def sig_to_descriptor(spark, sf_dir):
-    return methods(spark, sf_dir).select("method_id", sig.params_to_descriptor(F.array_join(sig.param_types(D), ", ")).alias("descriptor"))
+    return methods(spark, sf_dir).select("method_id", sig.params_to_descriptor(F.array_join(sig.param_types(F.col("descriptor")), ", ")).alias("descriptor"))
 
 
 @query(
@@ -90,8 +88,8 @@ def sig_to_descriptor(spark, sf_dir):
 )
 def parse_entry(spark, sf_dir):
     kind = F.col("method_id") % 4
-    cls = sig.class_name(O)
-    text = F.when(kind == 0, cls).when(kind == 1, F.concat(cls, F.lit("#"), N)).when(kind == 2, SIG).otherwise(F.concat(cls, F.lit("#"), N, D))
+    cls = sig.class_name(F.col("owner"))
+    text = F.when(kind == 0, cls).when(kind == 1, F.concat(cls, F.lit("#"), F.col("name"))).when(kind == 2, sig.identifier(F.col("owner"), F.col("name"), F.col("descriptor"))).otherwise(F.concat(cls, F.lit("#"), F.col("name"), F.col("descriptor")))
     return methods(spark, sf_dir).select("method_id", sig.parse_entry(text).alias("e")).select("method_id", "e.*")
 
 
@@ -120,7 +118,7 @@ def is_jdk(spark, sf_dir):
     FROM (SELECT method_id, replace(owner, '/', '.') AS c FROM m) x""",
 )
 def wildcard_match(spark, sf_dir):
-    c = sig.class_name(O)
+    c = sig.class_name(F.col("owner"))
     found = {"deep": "com.acme.**", "flat": "com.acme.*", "suffix": "**Brand1*", "bad": "?"}
     return methods(spark, sf_dir).select("method_id", *[sig.wildcard_match(c, p).alias(n) for n, p in found.items()])
 
@@ -144,7 +142,7 @@ def join_path(spark, sf_dir):
     substr(sha1(concat(replace(owner, '/', '.'), '|', name, '|20|50000|', source)), 1, 8), '.json') AS file_name FROM m""",
 )
 def result_name(spark, sf_dir):
-    return methods(spark, sf_dir).select("method_id", sig.result_name(sig.class_name(O), N, F.lit(20), F.lit(50000), F.col("source")).alias("file_name"))
+    return methods(spark, sf_dir).select("method_id", sig.result_name(sig.class_name(F.col("owner")), F.col("name"), F.lit(20), F.lit(50000), F.col("source")).alias("file_name"))
 
 
 @query("cap_text", "SELECT doc_id, CASE WHEN length(text) > 500 THEN substr(text, 1, 492) || '…（超长已截断）' ELSE text END AS cell FROM documents")
