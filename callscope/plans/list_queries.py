@@ -8,9 +8,9 @@ from callscope.functions import sig
 from callscope.operators import entries as en
 from callscope.operators import search
 from callscope.plans import testviews as tv
-from callscope.plans.graph_queries import G_SQL, M_SQL, graphs, roots
+from callscope.plans.graph_queries import M_SQL
 from callscope.plans.registry import query
-from callscope.plans.signature_queries import DISPLAY_SQL, ID_SQL, methods, signed
+from callscope.plans.signature_queries import DISPLAY_SQL, methods
 
 L_SQL = f"WITH o AS {tv.plain(tv.ENTRIES)}, saved AS (SELECT key, CASE status WHEN 'F' THEN 'confirmed' ELSE 'excluded' END AS status, CASE status WHEN 'P' THEN 'old' END AS exclude_reason FROM o WHERE status IN ('F', 'P')), scan AS (SELECT key FROM o WHERE priority IN ('1-URGENT', '2-HIGH'))"
 

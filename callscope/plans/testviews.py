@@ -33,7 +33,6 @@ SELECT c_custkey AS project, max(CASE WHEN o_orderstatus = 'F' THEN o_orderdate
 FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey GROUP BY c_custkey
 """
 LOGS = "SELECT user_id AS job, concat(event_type, props) AS line, ts, event_id FROM {events}"
-TYPES = "SELECT DISTINCT lower(p_type) AS t FROM {part}"
 CLASSES = """
 SELECT concat('com/r/R', CAST(r_regionkey AS VARCHAR(20))) AS class_name, CAST(NULL AS VARCHAR(60)) AS super_name, CAST(NULL AS VARCHAR(60)) AS iface, 1537 AS access FROM {region}
 UNION ALL SELECT concat('com/n/N', CAST(n_nationkey AS VARCHAR(20))), CAST(NULL AS VARCHAR(60)), concat('com/r/R', CAST(n_regionkey AS VARCHAR(20))), 1025 FROM {nation}
