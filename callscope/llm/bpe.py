@@ -342,11 +342,12 @@ def transducer(name: str, text: str) -> Transducer:
 
 
 def _give_back() -> None:
-    """A worker that has had no task for a while keeps the vocabulary only."""
+    """A worker that has had no task for a while gives all its tables back to the system."""
     if _USED.acquire(blocking=False):
         try:
-            for t in _KEPT.values():
-                t.clear()
+            _KEPT.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
         finally:
             _USED.release()
 
