@@ -7,6 +7,7 @@ verified on its own. A pair of blocks gives each node's number of links and a fo
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -161,7 +162,7 @@ def linked(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: tu
 
 
 def forest(keys: list, similar: np.ndarray, offset: int | None) -> list[tuple]:
-    """(key, links, smallest key of its group) of all members with a link; offset: first right member."""
+    """(key, links, smallest key of its group) of all members with a link; keys are not null; offset: first right member."""
     root = list(range(len(keys)))
 
     def find(x: int) -> int:
@@ -180,16 +181,16 @@ def forest(keys: list, similar: np.ndarray, offset: int | None) -> list[tuple]:
     return [(keys[x], n, keys[find(x)]) for x, n in enumerate(links.tolist()) if n]
 
 
-def verify(blocks: DataFrame, sides: list[str], threshold: tuple[int, int], kind: str) -> DataFrame:
-    """(id, th, links, to_id, to_th): verified links within a block, or between the two of a row."""
-    fields = pa.schema([("th", pa.int64()), ("links", pa.int64()), ("to_th", pa.int64())])
+def verify(blocks: DataFrame, sides: list[str], threshold: tuple[int, int]) -> DataFrame:
+    """(node, links, to_node): verified links within a block, or between the two of a row."""
+    fields = pa.schema([("node", pa.binary()), ("links", pa.int64()), ("to_node", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 held = []
                 for side in sides:
-                    members = {(x["id"], x["th"]): x["shingles"] for x in batch.column(side)[k].as_py()}
+                    members = {x["node"]: x["shingles"] for x in batch.column(side)[k].as_py()}
                     held.append((list(members), [np.frombuffer(s, np.uint64) for s in members.values()]))
                 keys = [key for part in held for key in part[0]]
                 if len(keys) < 2:
@@ -197,21 +198,18 @@ def verify(blocks: DataFrame, sides: list[str], threshold: tuple[int, int], kind
                 similar = linked(held[0][1], held[1][1] if len(held) > 1 else None, threshold)
                 found = forest(keys, similar, len(held[0][0]) if len(held) > 1 else None)
                 if found:
-                    ids = pa.array([x[0][0] for x in found])
-                    to = pa.array([x[2][0] for x in found], ids.type)
-                    rest = [pa.array([x[0][1] for x in found], fields.field(0).type), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2][1] for x in found], pa.int64())]
-                    yield pa.RecordBatch.from_arrays([ids, rest[0], rest[1], to, rest[2]], ["id", "th", "links", "to_id", "to_th"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found, strict=True), fields, strict=True)], schema=fields)
 
-    return blocks.select(*sides).mapInArrow(run, f"id {kind}, th bigint, links bigint, to_id {kind}, to_th bigint")
+    return blocks.select(*sides).mapInArrow(run, "node binary, links bigint, to_node binary")
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(id, th, to_id, to_th): the smallest (id, th) that each end of an edge is connected to.
+    """(node, to_node): the smallest node that each end of an edge is connected to.
 
     Each round takes the smallest label among the neighbours and then the label of that label, so
     that paths shorten by half; it ends when nothing changes.
     """
-    both = edges.select(F.struct("id", "th").alias("a"), F.struct(F.col("to_id").alias("id"), F.col("to_th").alias("th")).alias("b"))
+    both = edges.select(F.col("node").alias("a"), F.col("to_node").alias("b"))
     both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")))
     for _ in range(most_rounds):
@@ -225,7 +223,7 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
             break
     else:
         raise RuntimeError("the components did not settle")
-    return labels.select("a.id", "a.th", F.col("label.id").alias("to_id"), F.col("label.th").alias("to_th"))
+    return labels.select(F.col("a").alias("node"), F.col("label").alias("to_node"))
 
 
 def jaccard_join(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (4, 5), recall: float = 0.9999, block_nodes: int = 64, block_shingles: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,50 +242,51 @@ def jaccard_join(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (4
     bands, band_rows = banding(threshold[0] / threshold[1], recall)
     text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
     rows = docs.select(F.col(quoted(id_col)).alias("id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
     seen = cut(signatures(rows, size, bands, band_rows))
+    # A node's name is its key, as ids may be null; its smallest row (id, th), null first, only gives text and class.
     nodes = seen.groupBy("node").agg(F.min(F.struct("id", "th")).alias("rep"), F.max("n").alias("n"), F.max("bands").alias("bands"))
-    nodes = cut(nodes.select("node", "rep.id", "rep.th", "n", "bands"))
-    buckets = nodes.select("id", "th", "n", F.explode("bands").alias("bucket"))
-    shared = cut(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "th")).alias("label")).filter("c > 1").select("bucket", "label"))
+    nodes = cut(nodes)
+    buckets = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+    shared = cut(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("label")).filter("c > 1").select("bucket", "label"))
     live = cut(buckets.join(shared, "bucket"))
     # Labels only say which nodes to lay side by side: the smallest node in reach of two steps.
-    near = cut(live.groupBy("id", "th").agg(F.min("label").alias("label"), F.max("n").alias("n")))
-    wider = live.drop("label", "n").join(near, ["id", "th"]).groupBy("bucket").agg(F.min("label").alias("label"))
-    near = live.drop("label").join(cut(wider), "bucket").groupBy("id", "th").agg(F.min("label").alias("label"), F.max("n").alias("n"))
+    near = cut(live.groupBy("node").agg(F.min("label").alias("label"), F.max("n").alias("n")))
+    wider = live.drop("label", "n").join(near, "node").groupBy("bucket").agg(F.min("label").alias("label"))
+    near = live.drop("label").join(cut(wider), "bucket").groupBy("node").agg(F.min("label").alias("label"), F.max("n").alias("n"))
     near = cut(near)
     parts = near.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_nodes), F.ceil(F.sum("n") / block_shingles)).alias("parts"))
     placed = near.join(cut(parts), "label")
-    placed = cut(placed.select("id", "th", F.xxhash64("label", F.pmod(F.xxhash64("id", "th"), "parts")).alias("block")))
-    met = live.select("bucket", "id", "th").join(placed, ["id", "th"]).select("bucket", "block").distinct()
+    placed = cut(placed.select("node", F.xxhash64("label", F.pmod(F.xxhash64("node"), "parts")).alias("block")))
+    met = live.select("bucket", "node").join(placed, "node").select("bucket", "block").distinct()
     mixed = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("bucket")
     met = cut(met.join(cut(mixed), "bucket"))
     pairs = met.select("bucket", F.col("block").alias("a")).join(met.select("bucket", F.col("block").alias("b")), "bucket")
     pairs = cut(pairs.filter("a < b").select("a", "b").distinct())
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(size)
+        shingler, last = Shingler(size), None
         for batch in batches:
-            for first, texts in slices(batch, 3):
+            # Repeated rows mostly follow each other here; the rest of them is taken out below.
+            names = [last, *batch.column(0).to_pylist()]
+            batch, last = batch.filter(pa.array([x != y for x, y in itertools.pairwise(names)], pa.bool_())), names[-1]
+            for first, texts in slices(batch, 2):
                 sets = [np.unique(x).tobytes() for x in shingler.shingles(texts)]
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(first, len(texts)) for c in range(3)] + [pa.array(sets, pa.binary())], ["id", "th", "block", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(first, len(texts)) for c in range(2)] + [pa.array(sets, pa.binary())], ["node", "block", "shingles"])
 
-    same = F.col("id").eqNullSafe(F.col("own")) & (F.col("th") == F.col("own_th"))
-    wanted = rows.join(placed.select(F.col("id").alias("own"), F.col("th").alias("own_th"), "block"), same).select("id", "th", "block", "text")
-    wanted = wanted.mapInArrow(shingled, f"id {kind}, th bigint, block bigint, shingles binary")
-    packs = cut(wanted.groupBy("block").agg(F.collect_list(F.struct("id", "th", "shingles")).alias("members")))
+    owned = placed.join(nodes.select("node", F.col("rep.id").alias("own"), F.col("rep.th").alias("own_th")), "node")
+    wanted = rows.join(cut(owned), F.col("id").eqNullSafe(F.col("own")) & (F.col("th") == F.col("own_th"))).select("node", "block", "text")
+    wanted = wanted.mapInArrow(shingled, "node binary, block bigint, shingles binary")
+    wanted = wanted.repartition("block").dropDuplicates(["block", "node"])
+    packs = cut(wanted.groupBy("block").agg(F.collect_list(F.struct("node", "shingles")).alias("members")))
     left, right = packs.select(F.col("block").alias("a"), F.col("members").alias("left")), packs.select(F.col("block").alias("b"), F.col("members").alias("right"))
-    found = verify(packs, ["members"], threshold, kind).unionByName(verify(pairs.join(left, "a").join(right, "b"), ["left", "right"], threshold, kind))
+    found = verify(packs, ["members"], threshold).unionByName(verify(pairs.join(left, "a").join(right, "b"), ["left", "right"], threshold))
     found = cut(found)
-    links = found.groupBy("id", "th").agg(F.sum("links").alias("n_links"))
-    joined = components(found.select("id", "th", "to_id", "to_th"))
-    known = links.join(joined, ["id", "th"])
-    info = nodes.select("node", "id", "th").join(known.withColumnsRenamed({"id": "own", "th": "own_th"}), same, "left")
-    info = info.select("node", F.col("id").alias("rep_id"), F.col("th").alias("rep_th"), "to_id", "to_th", "n_links")
-    out = seen.select("id", "th", "node").join(cut(info), "node", "left")
-    linked_ = F.col("n_links").isNotNull()
-    class_id, class_th = (F.when(linked_, F.col(f"to_{x}")).otherwise(F.col(f"rep_{x}")) for x in ("id", "th"))
-    return out.select("id", "th", class_id.alias("class_id"), class_th.alias("class_th"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
+    joined = cut(components(found.select("node", "to_node")).join(nodes.select("node", "rep"), "node"))
+    known = links.join(joined.select("node", "to_node"), "node").join(joined.groupBy("to_node").agg(F.min("rep").alias("class")), "to_node")
+    info = nodes.select("node", "rep").join(known, "node", "left").select("node", F.coalesce("class", "rep").alias("class"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    out = seen.select("id", "th", "node").join(cut(info), "node")
+    return out.select("id", "th", F.col("class.id").alias("class_id"), F.col("class.th").alias("class_th"), "n_links")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -335,6 +335,21 @@ def test_jaccard_join(docs, empty, block):
         assert near_duplicates.deduplicate(empty).count() == 0
 
 
+@pytest.mark.parametrize("block", [64, 1])
+def test_jaccard_join_null_ids(spark, block):
+    """Near copies with and without ids, in one block and across blocks; a repeated row without an id."""
+    base = [f"w{k}" for k in range(200)]
+    texts = [" ".join([*base[:k], f"edit{k}", *base[k + 1 :]]) for k in (20, 90, 160)]
+    far = " ".join(f"v{k}" for k in range(50))
+    rows = [(None, texts[0]), (3, texts[1]), (None, texts[2]), (None, texts[0]), (5, far), (None, None), (7, " ")]
+    few = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = near_duplicates.jaccard_join(few, block_nodes=block).collect()
+    assert Counter((r["id"], r["class_id"], r["n_links"]) for r in found) == {(None, None, 2): 3, (3, None, 2): 1, (5, 5, 0): 1, (None, None, 0): 1, (7, None, 0): 1}
+    assert len({(r["class_id"], r["class_th"]) for r in found}) == 3
+    kept = [tuple(r) for r in near_duplicates.deduplicate(few, block_nodes=block).collect()]
+    assert len(kept) == 3 and (5, far) in kept and (None, None) in kept and {i for i, _ in kept} == {None, 5}
+
+
 def test_banding_recall():
     bands, rows = near_duplicates.banding(0.8, 0.9999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 > 1 - (1 - 0.8**rows) ** (bands - 1)
