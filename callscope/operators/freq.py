@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from callscope.operators.base import cut
+
 
 def call_sites(edges: DataFrame) -> DataFrame:
     """Distinct (callee_id, caller_id, line): a call site that many entries reach counts once."""
@@ -40,6 +42,19 @@ def with_rank(freq: DataFrame, most: int, *order) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
+def numbered(rows: DataFrame, name: str, *order) -> DataFrame:
+    """All rows, numbered from 1 in order, which must be total. No task sees more than a range of them.
+
+    Each range of the sorted rows is numbered on its own and moved by the sizes of the ranges before it.
+    """
+    ranges = cut(rows.orderBy(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranges.withColumn("_inside", inside).join(sizes, "_range").withColumn(name, (F.col("_before") + F.col("_inside")).cast("int")).drop("_range", "_inside", "_before")
+
+
 def page(freq: DataFrame, number: int, size: int = 50, *order) -> DataFrame:
     """Page `number`, from 1."""
     return freq.orderBy(*order).offset((number - 1) * size).limit(size)
