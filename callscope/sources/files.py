@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callscope.operators.base import cut
+
 ENTRY = "array<struct<className:string,methodName:string,descriptor:string,source:string,group:string,excludeReason:string>>"
 RULE = "struct<id:string,name:string,methodPattern:string,classPattern:string,source:string,paramCount:int,enabled:boolean,builtin:boolean>"
 DEP = "struct<groupId:string,artifactId:string,version:string,type:string,scope:string>"
@@ -49,12 +51,46 @@ def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
 
 
 def write_graphs(nodes: DataFrame, edges: DataFrame, stats: DataFrame, path: str, buckets: int = 16) -> None:
-    """Graph tables by bucket of entries; a later write replaces the buckets it holds, and stats is the index."""
+    """Graph tables by bucket of entries, and stats, the index. A later write replaces the entries it holds and keeps all others.
+
+    Every write to a store must have the same number of buckets. The rows of a bucket are gathered in a
+    checkpoint before the bucket is replaced.
+    """
+    spark = nodes.sparkSession
+    written = cut(_bucketed(nodes.select("entry_id").union(edges.select("entry_id")).union(stats.select("entry_id")).distinct(), buckets))
+    ids = written.select("entry_id")
+    touched = [r[0] for r in written.select("entry_bucket").distinct().collect()]  # `buckets` numbers at most
     for name, df in (("nodes", nodes), ("edges", edges)):
-        _bucketed(df, buckets).repartition("entry_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("entry_bucket").parquet(f"{path}/{name}")
+        new = _bucketed(df, buckets)
+        replaced = _exists(spark, f"{path}/{name}")
+        if replaced:
+            stored = spark.read.schema(new.schema).parquet(f"{path}/{name}").filter(F.col("entry_bucket").isin(touched))
+            new = cut(new.unionByName(stored.join(ids, "entry_id", "left_anti")))
+        new.repartition("entry_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("entry_bucket").parquet(f"{path}/{name}")
+        # A bucket whose last rows went is not among the written ones.
+        for bucket in set(touched) - {r[0] for r in new.select("entry_bucket").distinct().collect()} if replaced else ():
+            _delete(spark, f"{path}/{name}/entry_bucket={bucket}")
+    if _exists(spark, f"{path}/stats"):
+        stats = cut(stats.unionByName(spark.read.schema(stats.schema).parquet(f"{path}/stats").join(ids, "entry_id", "left_anti")))
     stats.write.mode("overwrite").parquet(f"{path}/stats")
 
 
+def _located(spark: SparkSession, path: str):
+    """A path and its file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    system, where = _located(spark, path)
+    return system.exists(where)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    system, where = _located(spark, path)
+    system.delete(where, True)
+
+
 def read_graphs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"), spark.read.parquet(f"{path}/stats")
 

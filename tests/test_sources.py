@@ -77,3 +77,27 @@ def test_graph_store(spark, tmp_path):
     files.write_graphs(nodes.filter("entry_id = 1").withColumn("method_id", F.lit(99).cast("long")), edges, stats, str(tmp_path / "g"))
     back = files.read_graphs(spark, str(tmp_path / "g"))[0]
     assert sorted((r["entry_id"], r["method_id"]) for r in back.collect()) == [(1, 99), (2, 20)]
+
+
+def test_graph_store_keeps_other_entries_of_a_bucket(spark, tmp_path):
+    """One bucket: entry 1 is written again, without calls now; entry 2 and its index row stay."""
+    path = str(tmp_path / "g")
+    nodes = spark.createDataFrame([(1, 10), (1, 11), (2, 20)], "entry_id long, method_id long")
+    edges = spark.createDataFrame([(1, 10, 11), (2, 20, 20)], "entry_id long, from_id long, to_id long")
+    stats = spark.createDataFrame([(1, 2), (2, 1)], "entry_id long, n long")
+    files.write_graphs(nodes, edges, stats, path, buckets=1)
+    one = nodes.filter("entry_id = 1").select("entry_id", F.lit(99).cast("long").alias("method_id")).distinct()
+    files.write_graphs(one, edges.limit(0), stats.filter("entry_id = 1").withColumn("n", F.lit(1).cast("long")), path, buckets=1)
+    back = [sorted(tuple(r) for r in df.drop("entry_bucket").collect()) for df in files.read_graphs(spark, path)]
+    assert back == [[(1, 99), (2, 20)], [(2, 20, 20)], [(1, 1), (2, 1)]]
+
+
+def test_graph_store_drops_the_calls_of_an_emptied_bucket(spark, tmp_path):
+    path = str(tmp_path / "g")
+    nodes = spark.createDataFrame([(k, k) for k in range(40)], "entry_id long, method_id long")
+    edges = nodes.select("entry_id", F.col("method_id").alias("from_id"), F.col("method_id").alias("to_id"))
+    stats = nodes.select("entry_id", F.lit(1).cast("long").alias("n"))
+    files.write_graphs(nodes, edges, stats, path, buckets=64)
+    files.write_graphs(nodes.filter("entry_id = 5"), edges.limit(0), stats.filter("entry_id = 5"), path, buckets=64)
+    back = [sorted(r["entry_id"] for r in df.collect()) for df in files.read_graphs(spark, path)]
+    assert back == [list(range(40)), [k for k in range(40) if k != 5], list(range(40))]
