@@ -79,6 +79,14 @@ def with_truncation(nodes: DataFrame, edges: DataFrame, max_depth: int | None =
     return kept, flags
 
 
+def within_budget(nodes: DataFrame, inner: DataFrame, max_nodes: int = NODE_BUDGET) -> DataFrame:
+    """The edges (entry_id, from_id, to_id, …) between nodes that with_truncation() keeps."""
+    kept, _ = with_truncation(nodes, inner, max_nodes=max_nodes)
+    for end in ("from_id", "to_id"):
+        inner = inner.join(kept.select("entry_id", F.col("method_id").alias(end)), ["entry_id", end], "left_semi")
+    return inner
+
+
 def prune(roots: DataFrame, edges: DataFrame, noise: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Roots and edges without noise methods (method_id): what is only reachable through them goes too."""
     gone_to, gone_from = noise.select(F.col("method_id").alias("to_id")), noise.select(F.col("method_id").alias("from_id"))

@@ -308,11 +308,11 @@ def filtered_sheet(spark, sf_dir):
 
 
 @query("chain_rows")
-def chain_rows(spark, sf_dir):
-    """Order-exact listing; SQL cannot state its order. seq is the call's line, then the callee."""
+def chain_rows(spark, sf_dir, max_nodes: int = graph.NODE_BUDGET):
+    """Order-exact listing within the node budget; SQL cannot state its order. seq is the call's line, then the callee."""
     from callscope.operators.dfs import chain_rows as listing
 
-    _, inner = graphs(spark, sf_dir, pruned=False)
+    inner = graph.within_budget(*graphs(spark, sf_dir, pruned=False), max_nodes)
     return listing(roots(spark, sf_dir), inner.withColumn("seq", F.col("line").cast("long")), noise_methods(spark, sf_dir), DEPTH)
 
 
