@@ -231,27 +231,66 @@ def test_bpe_documents(docs, empty, library):
         assert r["ids"] == ids and r["decoded"] == library.decode(ids, skip_special_tokens=False)
 
 
-def test_bpe_random_text(library):
+@pytest.fixture(scope="module")
+def vocabulary():
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
-        v = bpe.Vocabulary(f.read())
-    t, rng = bpe.Transducer(v, most_moves=3000, most_words=50), random.Random(3)
-    pool = ["a", "e", "n", "th", "ing", "'s", "'ll", "é", "ß", "Σ", "İ", "1", "½", "!", "!!", "<|endoftext|>", "<|end", " ", "\n", "\x1c", "\x85", "\xa0", "　", "日", "🙂", "é", "\x00", "ﬁ", "Å", "ǅ", "_", "­"]
-    for _ in range(1500):
-        text = "".join(rng.choice(pool) for _ in range(rng.randrange(25)))
-        assert t.encode(text) == library.encode(text, add_special_tokens=False).ids
-    for n in (70, 3000, 20000):
-        text = "".join(rng.choice("aehinst") for _ in range(n))
-        assert t.encode(text) == library.encode(text, add_special_tokens=False).ids
-        assert max(len(s[1]) for s in t.states) <= t.v.lookahead() + t.v.most
+        return bpe.Vocabulary(f.read())
 
 
-def test_bpe_round_trip():
-    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
-        v = bpe.Vocabulary(f.read())
-    t, text = bpe.Transducer(v), "café 日本 🙂 naïve words"
-    decoder = bpe.Decoder(v, plain=True)
-    plain = "".join(decoder.feed([i]) for i in t.encode(text)) + decoder.close()
-    assert plain.strip() == text
+def ids_of(t, text):
+    return np.frombuffer(t.encode(text), np.int32).tolist()
+
+
+def test_bpe_random_text(library, vocabulary):
+    t, rng = bpe.Transducer(vocabulary, most_words=50, most_pairs=3000, slice_chars=40), random.Random(3)
+    pool = ["a", "e", "n", "th", "ing", "'s", "'ll", "é", "ß", "Σ", "İ", "1", "½", "!", "!!", "<|endoftext|>", "<|end", " ", "\n", "\x1c", "\x85", "\xa0", "　", "日", "🙂", "é", "\x00", "ﬁ", "Å", "ǅ", "_", "­"]
+    for _ in range(1500):
+        text = "".join(rng.choice(pool) for _ in range(rng.randrange(60)))
+        assert ids_of(t, text) == library.encode(text, add_special_tokens=False).ids
+    assert len(t.words) <= 50 and len(t.known_fits) <= 3000
+
+
+@pytest.mark.parametrize("letters", ["aehinst", "ab", "lonmarge", "a"])
+def test_bpe_window(library, vocabulary, letters):
+    """Pre-tokens longer than the window: what is held stays within the lookahead, the rest is emitted."""
+    t, rng = bpe.Transducer(vocabulary), random.Random(9)
+    held, stable = [], t.stable
+
+    def watched(state, last, start, base, n):
+        found = stable(state, last, start, base, n)
+        held.append(n - found)
+        return found
+
+    t.stable = watched
+    for n in (70, 3000, 40_000):
+        text = "".join(rng.choice(letters) for _ in range(n))
+        assert ids_of(t, text) == library.encode(text, add_special_tokens=False).ids
+    assert len(held) >= 5 and max(held) <= vocabulary.lookahead + vocabulary.most
+
+
+def test_bpe_lookahead_is_enforced(vocabulary):
+    t = bpe.Transducer(vocabulary)
+    t.window, vocabulary.lookahead, old = 100, -40, vocabulary.lookahead
+    try:
+        with pytest.raises(ValueError, match="lookahead"):
+            t.encode("a" * 500)
+    finally:
+        vocabulary.lookahead = old
+
+
+def test_bpe_round_trip(docs, vocabulary):
+    t, text = bpe.Transducer(vocabulary), "café 日本 🙂 naïve words"
+    ids = np.array(ids_of(t, text), np.int32)
+    decoder = bpe.Decoder(vocabulary, plain=True)
+    assert decoder.decode(ids).strip() == text
+    # Tokens one at a time: characters whose bytes lie in several tokens come out whole.
+    assert ("".join(decoder.feed(ids[k : k + 1]) for k in range(len(ids))) + decoder.close()).strip() == text
+    named = bpe.Decoder(vocabulary)
+    assert named.decode(ids, step=1) == named.decode(ids)
+    # A text of one-space words in lower case comes back whole.
+    rows = bpe.encode_documents(docs.filter("text LIKE '%edit%' AND text RLIKE '^[a-z0-9 ]+$'"), public_tokenizers.path("word_bpe_49k.json")).collect()
+    text_of = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert all(r["plain"].replace(" ", "") == text_of[r["id"]].replace(" ", "") for r in rows)
 
 
 def test_token_counts(docs, empty):
