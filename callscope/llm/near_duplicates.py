@@ -1,8 +1,9 @@
 """N-gram Jaccard join: MinHash banding finds candidates, full shingle sets decide.
 
-Rows of equal shingle sets are one node. Nodes that share a band bucket are candidates; they are
-laid out in blocks of bounded size, so that a group of any size becomes many pairs of blocks, each
-verified on its own. A pair of blocks gives each node's number of links and a forest of them, never the pairs.
+Rows of equal shingle sets are one node, which knows its number of rows. Nodes that share a band bucket
+are candidates; they are laid out in blocks of bounded size, so that a group of any size becomes many pairs
+of blocks, each verified on its own. A pair of blocks gives each node's number of linked rows and a forest of
+the links, never the pairs.
 """
 
 from __future__ import annotations
@@ -161,8 +162,11 @@ def linked(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: tu
     return similar
 
 
-def forest(keys: list, similar: np.ndarray, offset: int | None) -> list[tuple]:
-    """(key, links, smallest key of its group) of all members with a link; keys are not null; offset: first right member."""
+def forest(keys: list, rows: np.ndarray, similar: np.ndarray, offset: int | None) -> list[tuple]:
+    """(key, linked rows, smallest key of its group) of all members with a link; keys are not null; offset: first right member.
+
+    rows: how many rows each member stands for.
+    """
     root = list(range(len(keys)))
 
     def find(x: int) -> int:
@@ -177,12 +181,12 @@ def forest(keys: list, similar: np.ndarray, offset: int | None) -> list[tuple]:
             if a != b:
                 low, high = (a, b) if keys[a] <= keys[b] else (b, a)
                 root[high] = low
-    links = similar.sum(axis=1) if offset is None else np.concatenate([similar.sum(axis=1), similar.sum(axis=0)])
+    links = similar @ rows if offset is None else np.concatenate([similar @ rows[offset:], rows[:offset] @ similar])
     return [(keys[x], n, keys[find(x)]) for x, n in enumerate(links.tolist()) if n]
 
 
 def verify(blocks: DataFrame, sides: list[str], threshold: tuple[int, int]) -> DataFrame:
-    """(node, links, to_node): verified links within a block, or between the two of a row."""
+    """(node, links, to_node): the rows linked to a node within a block, or between the two of a row, and a node of its group."""
     fields = pa.schema([("node", pa.binary()), ("links", pa.int64()), ("to_node", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,13 +194,14 @@ def verify(blocks: DataFrame, sides: list[str], threshold: tuple[int, int]) -> D
             for k in range(batch.num_rows):
                 held = []
                 for side in sides:
-                    members = {x["node"]: x["shingles"] for x in batch.column(side)[k].as_py()}
-                    held.append((list(members), [np.frombuffer(s, np.uint64) for s in members.values()]))
+                    members = {x["node"]: (x["shingles"], x["rows"]) for x in batch.column(side)[k].as_py()}
+                    held.append((list(members), [np.frombuffer(s, np.uint64) for s, _ in members.values()], [n for _, n in members.values()]))
                 keys = [key for part in held for key in part[0]]
                 if len(keys) < 2:
                     continue
                 similar = linked(held[0][1], held[1][1] if len(held) > 1 else None, threshold)
-                found = forest(keys, similar, len(held[0][0]) if len(held) > 1 else None)
+                rows = np.array([n for part in held for n in part[2]], np.int64)
+                found = forest(keys, rows, similar, len(held[0][0]) if len(held) > 1 else None)
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found, strict=True), fields, strict=True)], schema=fields)
 
@@ -233,18 +238,20 @@ def jaccard_join(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (4
     more are linked. Candidates share a band of MinHash values, with bands and rows from banding(): a pair at the
     threshold is found with probability `recall` at least; every candidate pair is decided on the full
     sets. class_id is the smallest id connected to the row by links; rows of equal sets are always
-    connected. n_links counts the other shingle sets linked to the row's. th is xxhash64 of the text.
+    connected. n_links counts the other rows linked to the row, exact copies and repeated rows included.
+    th is xxhash64 of the text.
 
-    Null, empty and blank texts have no shingles: they are one class, as equal sets are. Texts of fewer
+    Null, empty and blank texts have no shingles: they are one class, linked as equal sets are. Texts of fewer
     words than `size` are one shingle. Null ids are smaller than others. Repeated rows and equal texts
-    share a class. An empty table gives an empty result.
+    share a class. An empty table gives an empty result. Only the id and text columns are read, so other
+    names cannot clash.
     """
     bands, band_rows = banding(threshold[0] / threshold[1], recall)
     text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
     rows = docs.select(F.col(quoted(id_col)).alias("id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"))
     seen = cut(signatures(rows, size, bands, band_rows))
     # A node's name is its key, as ids may be null; its smallest row (id, th), null first, only gives text and class.
-    nodes = seen.groupBy("node").agg(F.min(F.struct("id", "th")).alias("rep"), F.max("n").alias("n"), F.max("bands").alias("bands"))
+    nodes = seen.groupBy("node").agg(F.min(F.struct("id", "th")).alias("rep"), F.count(F.lit(1)).alias("rows"), F.max("n").alias("n"), F.max("bands").alias("bands"))
     nodes = cut(nodes)
     buckets = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = cut(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("label")).filter("c > 1").select("bucket", "label"))
@@ -269,22 +276,23 @@ def jaccard_join(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (4
             # Repeated rows mostly follow each other here; the rest of them is taken out below.
             names = [last, *batch.column(0).to_pylist()]
             batch, last = batch.filter(pa.array([x != y for x, y in itertools.pairwise(names)], pa.bool_())), names[-1]
-            for first, texts in slices(batch, 2):
+            for first, texts in slices(batch, 3):
                 sets = [np.unique(x).tobytes() for x in shingler.shingles(texts)]
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(first, len(texts)) for c in range(2)] + [pa.array(sets, pa.binary())], ["node", "block", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(first, len(texts)) for c in range(3)] + [pa.array(sets, pa.binary())], ["node", "block", "rows", "shingles"])
 
-    owned = placed.join(nodes.select("node", F.col("rep.id").alias("own"), F.col("rep.th").alias("own_th")), "node")
-    wanted = rows.join(cut(owned), F.col("id").eqNullSafe(F.col("own")) & (F.col("th") == F.col("own_th"))).select("node", "block", "text")
-    wanted = wanted.mapInArrow(shingled, "node binary, block bigint, shingles binary")
+    owned = placed.join(nodes.select("node", "rows", F.col("rep.id").alias("own"), F.col("rep.th").alias("own_th")), "node")
+    wanted = rows.join(cut(owned), F.col("id").eqNullSafe(F.col("own")) & (F.col("th") == F.col("own_th"))).select("node", "block", "rows", "text")
+    wanted = wanted.mapInArrow(shingled, "node binary, block bigint, rows bigint, shingles binary")
     wanted = wanted.repartition("block").dropDuplicates(["block", "node"])
-    packs = cut(wanted.groupBy("block").agg(F.collect_list(F.struct("node", "shingles")).alias("members")))
+    packs = cut(wanted.groupBy("block").agg(F.collect_list(F.struct("node", "rows", "shingles")).alias("members")))
     left, right = packs.select(F.col("block").alias("a"), F.col("members").alias("left")), packs.select(F.col("block").alias("b"), F.col("members").alias("right"))
     found = verify(packs, ["members"], threshold).unionByName(verify(pairs.join(left, "a").join(right, "b"), ["left", "right"], threshold))
     found = cut(found)
     links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
     joined = cut(components(found.select("node", "to_node")).join(nodes.select("node", "rep"), "node"))
     known = links.join(joined.select("node", "to_node"), "node").join(joined.groupBy("to_node").agg(F.min("rep").alias("class")), "to_node")
-    info = nodes.select("node", "rep").join(known, "node", "left").select("node", F.coalesce("class", "rep").alias("class"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    own = F.coalesce("n_links", F.lit(0)) + F.col("rows") - 1
+    info = nodes.select("node", "rep", "rows").join(known, "node", "left").select("node", F.coalesce("class", "rep").alias("class"), own.cast("bigint").alias("n_links"))
     out = seen.select("id", "th", "node").join(cut(info), "node")
     return out.select("id", "th", F.col("class.id").alias("class_id"), F.col("class.th").alias("class_th"), "n_links")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tests.llm.test_operators import classes, hard_texts, words
+from tests.llm.test_operators import classes, hard_texts, shingle_set
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -24,11 +24,8 @@ def test_stages(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_duplicates", "mixing", "bpe"]
     assert all(set(seen[n][0].asDict()) == {"doc_id", "text", "lang", "source", "n_chars"} for n, _ in corpus_pipeline.STAGES[:-1])
     assert 0 < len(seen["quality"]) < len(rows) and len(seen["line_dedup"]) == len(seen["quality"])
-    sets = {}
-    for r in seen["line_dedup"]:
-        w = words(r["text"])
-        sets[r["doc_id"]] = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
-    assert sorted(r["doc_id"] for r in seen["near_duplicates"]) == sorted({c for c, _ in classes(sets).values()})
+    wanted = classes([(r["doc_id"], shingle_set(r["text"])) for r in seen["line_dedup"]])
+    assert sorted(r["doc_id"] for r in seen["near_duplicates"]) == sorted({c for _, c, _ in wanted})
     times = Counter(r["doc_id"] for r in seen["mixing"])
     assert max(times.values()) == 2 and set(times) <= {r["doc_id"] for r in seen["near_duplicates"]}
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
