@@ -2,28 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callscope.llm.common import quoted
 
+FIELDS = pa.schema([("query_id", pa.int64()), ("query_hash", pa.int64()), ("id", pa.int64()), ("score", pa.int64())])
+
 
 class Shard:
     """Postings of some vectors: for each term (component) the rows where it is not 0, and its values."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, columns = ids[order], np.ascontiguousarray(vectors[order].T)
-        self.rows = [np.flatnonzero(c) for c in columns]
-        self.values = [c[r] for c, r in zip(columns, self.rows, strict=True)]
-        self.columns = columns
+        self.ids, self.columns = ids[order], np.ascontiguousarray(vectors[order].T)
+        self.rows = [np.flatnonzero(c) for c in self.columns]
+        self.values = [c[r] for c, r in zip(self.columns, self.rows, strict=True)]
         self.most = np.array([v.max(initial=0) for v in self.values], np.int64)
         self.least = np.array([v.min(initial=0) for v in self.values], np.int64)
 
-    def top(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows whose id is not `own`, ties to smaller ids."""
+    def top(self, own: int, query: np.ndarray, k: int, bar: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best rows whose id is not `own`, ties to smaller ids.
+
+        bar: a score that k rows of other shards reach; rows below it may be left out.
+        """
         ahead = np.maximum(query * self.most, query * self.least)  # what a term can add; absent terms add 0
         behind = np.minimum(query * self.most, query * self.least)
         order = np.argsort(-ahead, kind="stable")
@@ -31,7 +37,6 @@ class Shard:
         rest_behind = np.append(np.cumsum(behind[order][::-1])[::-1], 0)
         score = np.zeros(len(self.ids), np.int64)
         free = self.ids != own
-        bar = None  # the k-th best score known so far, from below
         at, seen = 0, np.zeros(len(self.ids), bool)
         # Essential terms: their postings are traversed until what is left cannot reach the bar alone.
         while at < len(order) and (bar is None or rest[at] >= bar):
@@ -54,45 +59,94 @@ class Shard:
         return self.ids[alive][best], score[best]
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = 4096, block_queries: int = 1024) -> DataFrame:
+class Best:
+    """The k best rows so far of each query of a block, over the shards of a task."""
+
+    def __init__(self, ids: np.ndarray, hashes: np.ndarray, vectors: np.ndarray, k: int):
+        self.ids, self.hashes, self.vectors, self.k = ids, hashes, vectors, k
+        self.largest = float(np.abs(vectors.astype(np.float64)).max(initial=0))
+        self.found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        if self.largest * float(np.abs(vectors.astype(np.float64)).max(initial=0)) * vectors.shape[1] >= 2.0**62:
+            raise OverflowError("inner products may pass 64 bits")
+        shard = Shard(ids, vectors)
+        for q, (known, scores) in enumerate(self.found):
+            bar = int(scores[-1]) if len(scores) == self.k else None
+            new, new_scores = shard.top(int(self.ids[q]), self.vectors[q], self.k, bar)
+            if len(new):
+                known, scores = np.append(known, new), np.append(scores, new_scores)
+                best = np.lexsort((known, -scores))[: self.k]
+                self.found[q] = known[best], scores[best]
+
+    def rows(self, step: int = 4096) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(self.found), step):
+            part = self.found[at : at + step]
+            sizes = [len(x[0]) for x in part]
+            columns = [np.repeat(self.ids[at : at + step], sizes), np.repeat(self.hashes[at : at + step], sizes), np.concatenate([x[0] for x in part]), np.concatenate([x[1] for x in part])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=FIELDS)
+
+
+def matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Lists of whole numbers as rows of one width; missing components are 0."""
+    sizes = np.diff(column.offsets.to_numpy())
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    if (sizes == width).all():
+        return flat.reshape(-1, width)
+    found = np.zeros((len(sizes), width), np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    found[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    return found
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = 4096, block_bytes: int = 1 << 26) -> DataFrame:
     """query_id, rank, id and score of the k best vectors for each query, the query's own id left out.
 
-    Both frames: (id bigint, vector array<bigint>), ids distinct. The score is the inner product;
-    missing components of a shorter vector are 0; products and sums must fit 64 bits. Ties go to smaller ids.
-    Vectors are dealt into shards of about `shard_rows` and queries into blocks of about
-    `block_queries` by hashes of their ids; each pair of a shard and a block is one group, so a task's
-    memory is bounded by both numbers. Each shard gives its k best for a query, and these are merged.
+    Both frames: (id bigint, vector array<bigint>). The score is the inner product; missing components
+    of a shorter vector are 0; products that may pass 64 bits raise. Ties go to smaller ids.
+
+    Queries are taken in blocks of at most `block_bytes`, which their count and width give; a block is
+    broadcast, and the vectors are read past it where they lie, in shards of `shard_rows`, so that no vector
+    is shuffled. A task keeps the k best of each query over its shards, and the bar that they set; the tasks'
+    results are merged. More queries mean more blocks, each a pass over the vectors.
 
-    Rows with a null id or vector take no part. Equal vectors tie. Repeated rows are candidates each.
-    Empty frames give an empty result.
+    Rows with a null id or vector take no part. Equal vectors tie. Repeated rows are candidates each. Equal
+    queries are one query; queries of one id with different vectors are ranked each on its own. Other columns are
+    not read. Empty frames give an empty result.
     """
     vectors, queries = (x.select("id", "vector").filter("id IS NOT NULL AND vector IS NOT NULL") for x in (vectors, queries))
-    shards, blocks = max(1, -(-vectors.count() // shard_rows)), max(1, -(-queries.count() // block_queries))
-    shard, block = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = vectors.select("id", "vector", shard.alias("shard"), every(blocks).alias("block"))
-    right = queries.select("id", "vector", block.alias("block"), every(shards).alias("shard"))
-
-    def matrix(x: pd.DataFrame, width: int) -> np.ndarray:
-        if all(len(v) == width for v in x["vector"]):
-            return np.stack(x["vector"].to_numpy()).astype(np.int64).reshape(len(x), width)
-        found = np.zeros((len(x), width), np.int64)
-        for row, v in enumerate(x["vector"]):
-            found[row, : len(v)] = v
-        return found
-
-    def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(a) and len(b):
-            width = max(max(map(len, x["vector"])) for x in (a, b))
-            held = Shard(a["id"].to_numpy(np.int64), matrix(a, width))
-            for own, query in zip(b["id"].to_numpy(np.int64), matrix(b, width), strict=True):
-                ids, scores = held.top(own, query, k)
-                out.append(pd.DataFrame({"query_id": own, "id": ids, "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_id", "id", "score")})
-
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(search, "query_id bigint, id bigint, score bigint")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    spark = vectors.sparkSession
+    queries = queries.distinct().withColumn("hash", F.xxhash64("vector"))
+    count, query_width = queries.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    width = max(vectors.agg(F.max(F.size("vector"))).first()[0] or 0, query_width or 0)
+    # Hashing fills blocks evenly; what is above the mean by chance fits in the rest of the bound.
+    blocks = -(-2 * count * 8 * (width + 2) // block_bytes)
+    found = spark.createDataFrame([], "query_id bigint, query_hash bigint, id bigint, score bigint")
+    for block in range(blocks):
+        rows = queries.filter(F.pmod(F.xxhash64("id", "hash"), F.lit(blocks)) == block).toArrow().combine_chunks()
+        if not rows.num_rows:
+            continue
+        own = [rows.column(c).combine_chunks().to_numpy() for c in ("id", "hash")]
+        shared = spark.sparkContext.broadcast((*own, matrix(rows.column("vector").combine_chunks(), width)))
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            best, held, size = Best(*shared.value, k), [], 0
+            for batch in batches:
+                for at in range(0, batch.num_rows, shard_rows):
+                    held.append(batch.slice(at, min(shard_rows, batch.num_rows - at)))
+                    size += held[-1].num_rows
+                    if size >= shard_rows:
+                        best.add(*together(held))
+                        held, size = [], 0
+            if held:
+                best.add(*together(held))
+            yield from best.rows()
+
+        def together(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+            return np.concatenate([b.column(0).to_numpy() for b in held]), np.concatenate([matrix(b.column(1), width) for b in held])
+
+        found = found.unionByName(vectors.mapInArrow(search, found.schema))
+    rank = F.row_number().over(Window.partitionBy("query_id", "query_hash").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
 
 

@@ -324,14 +324,27 @@ def test_top_k(spark):
     whole = topk_search.whole_numbers(rows, "vec_id", "embedding")
     known = {r["id"]: np.array(list(r["vector"]) + [0] * (16 - len(r["vector"]))) for r in whole.collect()}
     assert set(known) == {*range(300), 404}
-    for per_shard, per_block in ((4096, 1024), (37, 5)):
+    for per_shard, block_bytes in ((4096, 1 << 26), (37, 2000)):
         found = defaultdict(list)
-        for r in topk_search.top_k(whole, whole.filter("id % 20 = 0"), 10, per_shard, per_block).orderBy("query_id", "rank").collect():
+        for r in topk_search.top_k(whole.repartition(3), whole.filter("id % 20 = 0"), 10, per_shard, block_bytes).orderBy("query_id", "rank").collect():
             found[r["query_id"]].append((r["id"], r["score"]))
         for q in range(0, 300, 20):
             assert found[q] == sorted(((k, int(known[q] @ v)) for k, v in known.items() if k != q), key=lambda x: (-x[1], x[0]))[:10]
     few = whole.filter("id < 3")
-    assert topk_search.top_k(few, few).count() == 6 and topk_search.top_k(few.limit(0), few.limit(0)).count() == 0
+    assert topk_search.top_k(few, few).count() == 6 and topk_search.top_k(few.limit(0), few.limit(0)).count() == 0 and topk_search.top_k(few.limit(0), few).count() == 0
+
+
+def test_top_k_odd_rows(spark):
+    """Null ids, repeated ids and rows, columns with clashing names, products beyond 64 bits."""
+    schema = "id long, vector array<bigint>, rank string, score string, query_id string, hash string"
+    rows = [(1, [2, 0]), (2, [1, 1]), (2, [1, 1]), (3, [0, 5, 7]), (None, [9, 9]), (4, None), (5, [3])]
+    table = spark.createDataFrame([(*r, "r", "s", "q", "h") for r in rows], schema)
+    asked = spark.createDataFrame([(1, [2, 0]), (1, [2, 0]), (1, [0, 1]), (None, [1, 1])], "id long, vector array<bigint>")
+    found = topk_search.top_k(table, asked, 3)
+    assert sorted(tuple(r) for r in found.collect()) == sorted([(1, 1, 5, 6), (1, 2, 2, 2), (1, 3, 2, 2), (1, 1, 3, 5), (1, 2, 2, 1), (1, 3, 2, 1)])
+    large = spark.createDataFrame([(1, [1 << 40]), (2, [1 << 40])], "id long, vector array<bigint>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk_search.top_k(large, large).collect()
 
 
 def similar(a, b):
