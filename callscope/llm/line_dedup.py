@@ -29,7 +29,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
     """
     keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
-    rows = docs.select(packed(docs).alias("_row"), F.col(quoted(id_col)).alias("_id"), F.xxhash64(text).alias("_text"), F.split(text, "\n", -1).alias("_lines"))
+    rows = docs.select(packed(docs).alias("_row"), F.col(quoted(id_col)).alias("_id"), F.xxhash64(text).alias("_text"))
     lines = docs.select(F.col(quoted(id_col)).alias("id"), F.xxhash64(text).alias("text"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
     lines = lines.select("id", "text", "pos", line_key(F.col("line")).alias("key")).filter(F.length("key") >= min_chars)
     lines = cut(lines.select("id", "text", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2")))
@@ -40,6 +40,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
     gone = lines.join(shared, ["h1", "h2"]).filter(~F.col("id").eqNullSafe(F.col("last")))
     gone = gone.groupBy("id", "text").agg(F.collect_set("pos").alias("_gone"))
     rows = rows.join(gone, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_text") == F.col("text")), "left")
+    # The text is split again here, so that it meets the join once.
+    rows = rows.withColumn("_lines", F.split(F.coalesce(F.col(f"_row.{quoted(text_col)}"), F.lit("")), "\n", -1))
     n = F.size("_lines")
     stay = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), F.col("_gone")), lambda p: F.element_at(F.col("_lines"), p + 1))
     rows = rows.withColumn("_kept", F.array_join(F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(stay), "\n"))
