@@ -18,11 +18,11 @@ KINDS = (
     ("access", r"AKIA[A-Z0-9]+", 0, 16),
     ("hex", r"[0-9a-f]{32,}", 0, 32),  # runs are maximal, so shorter ones fail either way
 )
-#: Candidates of the models: runs of these characters.
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
+#: Candidates of the models: runs of these characters, with no full stop at an end.
+MARK, INNER = "[A-Za-z0-9+/_=-]", "[A-Za-z0-9+/_=.-]"
 #: Labelled as ordinary: whole runs without digits and marks.
 ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z_]{8,}(?![A-Za-z0-9+/_=-])"
-ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -59,10 +59,20 @@ def _bigrams(values: DataFrame) -> dict[str, int]:
     """Counts of neighbouring characters of ALPHABET in the column value; at most len(ALPHABET)**2."""
     pairs = F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.substring(F.col("value"), i, F.lit(2)))
     pairs = values.filter(F.length("value") >= 2).select(F.explode(pairs).alias("pair"))
-    pairs = pairs.filter(F.col("pair").rlike(r"^[A-Za-z0-9+/_=-]{2}\z"))
+    pairs = pairs.filter(F.col("pair").rlike(rf"^{INNER}{{2}}\z"))
     return {r["pair"]: r["n"] for r in pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
+def looks_random(value: Column, kind: Column) -> Column:
+    """Whether the value of a known form is an example of a random string.
+
+    Access keys and long hexadecimal runs are. An assigned value is one if it has 16 characters or more, digits and
+    letters, and no six small letters in a row: passwords that people make up mostly fail one of these.
+    """
+    made = (F.length(value) >= 16) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike("[a-z]{6}")
+    return (kind > 0) | made
+
+
 def train(random: DataFrame, ordinary: DataFrame, smoothing: float = 0.5, backoff: float = 8.0) -> list[float]:
     """Log-likelihood ratios of a character after another, random against ordinary, by places in ALPHABET.
 
@@ -88,18 +98,20 @@ def mean_ratio(value: Column, model: list[float]) -> Column:
     return total / (F.length(value) - 1)
 
 
-def scan_secrets(docs: DataFrame, sample_rows: int = 2000, least_ratio: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, sample_rows: int = 2000, least_ratio: float = 0.5, least_chars: int = 20, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, spans) of every row: the spans of secrets in its text, by start and then kind.
 
     spans: array of (start, kind, end, value); places are code points, end exclusive; kinds 0 to 2
-    are KINDS, kind 3 is found by the models. A candidate is a run RUN that meets no known
-    form; it is a secret if its mean log-likelihood ratio, random against ordinary, is at least
-    `least_ratio`. Labelled samples: the values of all known forms in the table are random strings;
-    whole runs of eight or more letters or underscores outside them are ordinary identifiers, taken from a
-    sample of about `sample_rows` rows chosen by a hash of the text.
+    are KINDS, kind 3 is found by the models. A candidate is a run of `least_chars` characters of INNER or more
+    that meets no known form; it is a secret if its mean log-likelihood ratio, random against ordinary, is at
+    least `least_ratio`. Labelled samples, each distinct value once: the values of known forms in the table
+    that looks_random() accepts are random strings; whole runs of eight or more letters or underscores outside the known
+    forms are ordinary identifiers, taken from the distinct texts of a sample of about `sample_rows` rows chosen by
+    a hash of id and text. labelled: (value, secret), more samples of both classes.
 
     Null and empty texts have no spans. Rows are scanned one by one, so repeated rows repeat their
-    result. Without any known form the random class is uniform. An empty table gives an empty result.
+    result. Without any known form the random class is uniform. Only the id and text columns are read, so other
+    names cannot clash. An empty table gives an empty result.
     """
     text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
     every = max(1, docs.count() // sample_rows)
@@ -109,10 +121,17 @@ def scan_secrets(docs: DataFrame, sample_rows: int = 2000, least_ratio: float =
         bare = F.regexp_replace(bare, pattern, " ")
     words = F.regexp_extract_all(bare, F.lit(ORDINARY), F.lit(0))
     none = F.array().cast(SPAN)
-    runs = F.when(F.col("text").rlike(RUN), matches(F.col("text"), RUN, 0, 20, len(KINDS))).otherwise(none)
-    found = rows.select("id", base_spans(F.col("text")).alias("base"), runs.alias("runs"), F.when(F.pmod(F.xxhash64("text"), F.lit(every)) == 0, words).alias("words"))
+    long_run = f"{MARK}{INNER}{{{least_chars - 2},}}{MARK}"
+    runs = F.when(F.col("text").rlike(long_run), matches(F.col("text"), long_run, 0, least_chars, len(KINDS))).otherwise(none)
+    sampled = F.pmod(F.xxhash64("id", "text"), F.lit(every)) == 0
+    found = rows.select("id", base_spans(F.col("text")).alias("base"), runs.alias("runs"), F.when(sampled, F.xxhash64("text")).alias("th"), F.when(sampled, words).alias("words"))
     found = cut(found)  # spans only; the texts are read once
-    model = train(found.select(F.explode("base.value").alias("value")), found.select(F.explode("words").alias("value")))
+    known = found.select(F.explode("base").alias("x")).filter(looks_random(F.col("x.value"), F.col("x.kind")))
+    random = known.select("x.value")
+    ordinary = found.filter("th IS NOT NULL").dropDuplicates(["th"]).select(F.explode("words").alias("value"))
+    if labelled is not None:
+        random, ordinary = random.union(labelled.filter("secret").select("value")), ordinary.union(labelled.filter("NOT secret").select("value"))
+    model = train(random.distinct(), ordinary.distinct())
 
     def secret(x: Column) -> Column:
         meets = F.exists("base", lambda b: (b.getField("start") < x.getField("end")) & (x.getField("start") < b.getField("end")))
