@@ -107,15 +107,17 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 12, id_col:
     the text plus 1.
 
     Null text is like the empty text, but is not linked to it: null texts form a group of their own.
-    Repeated rows and ids are placed one by one. A group larger than a quota is split. An empty table
-    gives an empty result.
+    Repeated rows, repeated ids and rows with a null id are placed one by one. A group larger than a quota is
+    split. Only the id and text columns are read, so other names cannot clash. An empty table gives an
+    empty result.
     """
     text = F.col(quoted(text_col))
     rows = docs.select(F.col(quoted(id_col)).alias("id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), F.crc32(F.coalesce(text, F.lit(""))).alias("crc"), F.xxhash64(text).alias("g1"), F.xxhash64(F.lit("group"), text, text.isNull()).alias("g2"))
     rows = cut(rows)
     total = rows.count()
     buckets = bucket_count(total)
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
+    # By id and text: the copies of a text have different ids, and rows without an id different texts.
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id", *GROUP), F.lit(buckets)).cast("int"))
     parts = cut(rows.groupBy(*GROUP, "bucket").agg(F.count(F.lit(1)).alias("n")))
     groups = parts.groupBy(*GROUP).agg(F.sum("n").alias("n")).filter("n > 1")
     cells = propagate(groups, total, shards, rounds)
