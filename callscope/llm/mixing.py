@@ -14,12 +14,12 @@ LEAST_WEIGHT, MOST_WEIGHT = 0.5, 1.0
 
 
 def quality_weight(text: Column) -> Column:
-    """From LEAST_WEIGHT to MOST_WEIGHT: the share of letters among the characters that are not white space.
+    """From LEAST_WEIGHT to MOST_WEIGHT: the share of letters of any script among the characters that are not white space.
 
     Texts without such characters have the least weight.
     """
     shown = F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""))
-    letters = F.length(F.regexp_replace(text, r"[\x00-\x40\x5B-\x60\x7B-\x7F]+", ""))
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}\p{M}]+", ""))
     return F.lit(LEAST_WEIGHT) + (MOST_WEIGHT - LEAST_WEIGHT) * F.when(shown > 0, letters / shown).otherwise(0.0)
 
 
@@ -46,7 +46,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
     return df.withColumn("target", F.coalesce(open_target, F.col("_cap")).cast("double")).drop("_w", "_cap", "_level", "_open", "_last")
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most_epochs: float = 2.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: bool = False) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most_epochs: float = 2.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None, carry: bool = False) -> DataFrame:
     """doc_id, size, source_size, target and taken of every row of docs.
 
     size is the number of words; source_targets() sets the targets. A source first gives whole
@@ -56,7 +56,9 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     taken once more while at least half of it lies within the rest. So a source misses its target
     by half a document at most. taken is size times the number of times.
 
-    With carry, the columns are docs' own and `taken` and `times` instead.
+    With carry, the columns are docs' own and `taken` and `times` instead; docs' own columns of these two
+    names are replaced. weight_col: a column of positive weights in place of quality_weight(); null,
+    nonpositive and non-finite weights count as LEAST_WEIGHT, and all are held between the two bounds.
 
     Null and blank texts have size 0 and take nothing. Null is a source of its own. Rows of equal id
     and text have equal keys; which of them is taken does not show. Sources of size 0 have target 0.
@@ -66,7 +68,11 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     trimmed = F.btrim(text, F.lit(SPACES))
     size = F.when(F.length(trimmed) > 0, F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))).otherwise(0).cast("long")
     u = (F.shiftrightunsigned(F.xxhash64(F.col(quoted(id_col)), text, F.lit(seed)), 11) + 0.5) / float(2**53)
-    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.xxhash64(text).alias("text"), F.col(quoted(source_col)).cast("string").alias("source"), size.alias("size"), (-F.log(u) / quality_weight(text)).alias("key"))
+    weight = quality_weight(text)
+    if weight_col is not None:
+        given = F.col(quoted(weight_col)).cast("double")
+        weight = F.when((given > 0) & (given < float("inf")), F.greatest(F.lit(LEAST_WEIGHT), F.least(F.lit(MOST_WEIGHT), given))).otherwise(LEAST_WEIGHT)
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.xxhash64(text).alias("text"), F.col(quoted(source_col)).cast("string").alias("source"), size.alias("size"), (-F.log(u) / weight).alias("key"))
     rows = cut(rows)  # a few numbers for each document; the texts are read once
     buckets = bucket_count(rows.count())
     # The keys of one source fill the buckets evenly, to within MOST_WEIGHT / LEAST_WEIGHT.
