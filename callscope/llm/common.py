@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -40,10 +41,16 @@ def unpacked(df: DataFrame, columns: Sequence[str], row: str = "_row", changed:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder: the one of spark.checkpoint.dir, or a new one where none is set, as in tests."""
+    """The checkpoint folder: the one of spark.checkpoint.dir, or a new one where none is set on a local master, as in tests.
+
+    On a cluster without that setting it raises, as no folder of one machine can be shared.
+    """
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 

@@ -300,7 +300,8 @@ def jaccard_join(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (4
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with one document of each class of jaccard_join(): the one with the smallest id.
 
-    So of the documents without words one stays, and of repeated rows one.
+    So of the documents without words one stays, and of repeated rows one. All columns of docs pass through
+    packed in one struct, so that none can clash with a working column.
     """
     found = jaccard_join(docs, id_col=id_col, text_col=text_col, **options)
     stay = found.filter(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("th") == F.col("class_th")))
