@@ -125,6 +125,33 @@ def test_mixing(docs, empty):
     assert carried.count() == len(rows) and carried.agg(F.sum("taken")).collect()[0][0] == sum(taken.values())
 
 
+def test_mixing_takes_documents_in_key_order(spark):
+    """Against brute force: per source, whole epochs, then documents by -ln(u) / w while half of the next fits."""
+    rng = random.Random(6)
+    rows = [(k, " ".join(rng.choice(["word", "x1", "##", "é"]) for _ in range(rng.randrange(1, 40))), f"s{k % 3}") for k in range(300)] + [(None, "no id here", "s0"), (None, None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {(r["doc_id"], r["size"]): (r["target"], r["source_size"], r["taken"]) for r in mixing.mix_sources(table, seed=5).collect()}
+    text = F.coalesce("text", F.lit(""))
+    keyed = table.select("doc_id", "source", text.alias("t"), F.xxhash64("doc_id", text, F.lit(5)).alias("h"), mixing.quality_weight(text).alias("w")).collect()
+    for source in ("s0", "s1", "s2"):
+        own = sorted((r for r in keyed if r["source"] == source), key=lambda r: -math.log((((r["h"] & ((1 << 64) - 1)) >> 11) + 0.5) / 2**53) / r["w"])
+        at = 0
+        for r in own:
+            size = len(words(r["t"]))
+            target, source_size, taken = found[r["doc_id"], size]
+            epochs = int(target // source_size)
+            assert taken == size * min(2, epochs + (at + size / 2 <= target - epochs * source_size))
+            at += size
+
+
+def test_mixing_prefers_heavy_documents(spark):
+    table = spark.range(4000).selectExpr("id AS doc_id", "'one two three' AS text", "'s' AS source", "IF(id % 2 = 0, 1.0, CAST(NULL AS DOUBLE)) AS w", "id AS taken", "'t' AS times")
+    found = mixing.mix_sources(table, share=0.3, weight_col="w", carry=True)
+    heavy, light = (found.filter(f"doc_id % 2 = {k} AND times > 0").count() for k in (0, 1))
+    assert heavy + light == 1200 and 1.5 < heavy / light < 2.1
+    assert set(found.columns) == set(table.columns)
+
+
 def test_sharding(docs, empty, spark):
     many = docs.select("doc_id", "text").unionByName(spark.range(1000, 1400).selectExpr("id AS doc_id", "concat('text ', CAST(id % 150 AS STRING)) AS text")).unionByName(spark.range(2000, 2300).selectExpr("id AS doc_id", "'hot' AS text"))
     found = sharding.shard_documents(many).collect()
@@ -143,6 +170,18 @@ def test_sharding(docs, empty, spark):
     assert sharding.shard_documents(empty).count() == 0
 
 
+def test_sharding_odd_rows(spark):
+    """Null ids, repeated ids and rows, clashing columns: all rows are placed, the shards stay even."""
+    rows = [(None, f"text {k}") for k in range(100)] + [(7, "same")] * 60 + [(8, f"other {k}") for k in range(40)] + [(None, None)] * 20
+    table = spark.createDataFrame([(*r, 1, "h", "b") for r in rows], "doc_id long, text string, shard int, home string, bucket string")
+    found = sharding.shard_documents(table).collect()
+    assert Counter(r["doc_id"] for r in found) == {None: 120, 7: 60, 8: 40}
+    assert set(Counter(r["shard"] for r in found).values()) <= {27, 28}
+    for shard in range(8):
+        own = sorted(r["slot"] for r in found if r["shard"] == shard)
+        assert own == list(range(len(own)))
+
+
 def test_accepted_moves_keep_quotas():
     rng = np.random.default_rng(1)
     for _ in range(200):
@@ -180,6 +219,44 @@ def test_secret_scan(spark, docs, empty):
     assert secrets.scan_secrets(empty).count() == 0
 
 
+def test_secret_models_on_held_out_values(spark):
+    """Trained on labelled values, judged on others: random strings of three alphabets against identifiers of several styles."""
+    rng = random.Random(12)
+    alphabets = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+    names = "get set read write config user name value index parse stream buffer count total order item service manager handler request response client server cache path file token version update delete insert select query result table column".split()
+
+    def identifier():
+        w = [rng.choice(names) for _ in range(rng.randrange(3, 6))]
+        style = rng.randrange(5)
+        text = ("_".join(w), w[0] + "".join(x.title() for x in w[1:]), "-".join(w), "/".join(w), "".join(x.title() for x in w) + str(rng.randrange(100)))[style]
+        return text if len(text) >= 20 else identifier()
+
+    made = [("".join(rng.choice(alphabets[k % 3]) for _ in range(rng.randrange(20, 31))), True) for k in range(600)] + [(identifier(), False) for _ in range(600)]
+    rng.shuffle(made)
+    half = len(made) // 2
+    labelled = spark.createDataFrame(made[:half], "value string, secret boolean")
+    texts = [f"see {v} there." for v, _ in made[half:]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["id"]: r["spans"] for r in secrets.scan_secrets(docs, labelled=labelled).collect()}
+    hits = [bool(found[k]) for k in range(len(texts))]
+    true = sum(h and s for h, (_, s) in zip(hits, made[half:], strict=True))
+    precision, recall = true / sum(hits), true / sum(s for _, s in made[half:])
+    assert precision >= 0.97 and recall >= 0.97, (precision, recall)
+    assert all(s["value"] == made[half + k][0] for k, spans in found.items() for s in spans if made[half + k][1] and s["kind"] == 3)
+    shorter = spark.createDataFrame([(0, "see x9K2mPq7Lw4Z there")], "doc_id long, text string")
+    assert [len(secrets.scan_secrets(shorter, labelled=labelled, least_chars=n).collect()[0]["spans"]) for n in (20, 12)] == [0, 1]
+
+
+def test_secret_scan_odd_rows(spark):
+    """Null and repeated ids, repeated rows, clashing columns; passwords that people make up are no random examples."""
+    rows = [(None, "token = abcdefgh12"), (None, None), (1, "passwd: sunshine2024"), (1, "passwd: sunshine2024"), (2, "")]
+    table = spark.createDataFrame([(*r, "a", "b", "c") for r in rows], "doc_id long, text string, id string, spans string, base string")
+    found = Counter((r["id"], tuple((s["start"], s["kind"], s["end"]) for s in r["spans"])) for r in secrets.scan_secrets(table).collect())
+    assert found == {(None, ((0, 0, 18),)): 1, (None, ()): 1, (1, ((0, 0, 20),)): 2, (2, ()): 1}
+    values = spark.createDataFrame([("sunshine2024password", 0), ("x9K2mPq7Lw4Z88Tq", 0), ("0" * 32, 2)], "v string, k int")
+    assert [r[0] for r in values.select(secrets.looks_random(F.col("v"), F.col("k"))).collect()] == [False, True, True]
+
+
 def test_license_scan(docs, empty):
     text_of = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
     for r in license_scan.scan_licenses(docs).collect():
