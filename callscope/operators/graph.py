@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callscope.operators.base import cut
+from callscope.operators.freq import numbered
 
 DEFAULT_DEPTH, LEAST_DEPTH, MOST_DEPTH, NODE_BUDGET = 20, 1, 50, 50_000
 
@@ -22,14 +25,29 @@ def dedup_edges(calls: DataFrame, order: Sequence[str]) -> DataFrame:
     return calls.groupBy("from_id", "to_id").agg(first.alias("_c")).select("from_id", "to_id", "_c.invoke", "_c.line")
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    """(method_id, children): the distinct callees of each caller, sorted."""
-    return edges.groupBy(F.col("from_id").alias("method_id")).agg(F.array_sort(F.collect_set("to_id")).alias("children"))
+def _listed(pairs: DataFrame, most: int | None) -> DataFrame:
+    """(method_id, ids, n): the distinct `other`s of each method, sorted; the first `most` of them and their number."""
+    pairs = pairs.distinct()
+    counts = pairs.groupBy("method_id").agg(F.count(F.lit(1)).alias("n"))
+    if most is not None:
+        rank = F.row_number().over(Window.partitionBy("method_id").orderBy("other"))
+        pairs = pairs.withColumn("_r", rank).filter(F.col("_r") <= most)
+    return pairs.groupBy("method_id").agg(F.array_sort(F.collect_list("other")).alias("ids")).join(counts, "method_id")
 
 
-def parents(edges: DataFrame) -> DataFrame:
-    """(method_id, parents): the distinct callers of each callee, sorted."""
-    return edges.groupBy(F.col("to_id").alias("method_id")).agg(F.array_sort(F.collect_set("from_id")).alias("parents"))
+def adjacency(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(method_id, children, n_children): the distinct callees of each caller, sorted; with `most`, only the first of them.
+
+    The edges themselves are the form without a bound on a row; `most` bounds the rows of hubs.
+    """
+    found = _listed(edges.select(F.col("from_id").alias("method_id"), F.col("to_id").alias("other")), most)
+    return found.select("method_id", F.col("ids").alias("children"), F.col("n").alias("n_children"))
+
+
+def parents(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(method_id, parents, n_parents): the distinct callers of each callee, sorted; with `most`, only the first of them."""
+    found = _listed(edges.select(F.col("to_id").alias("method_id"), F.col("from_id").alias("other")), most)
+    return found.select("method_id", F.col("ids").alias("parents"), F.col("n").alias("n_parents"))
 
 
 def build_edges(resolved: DataFrame) -> DataFrame:
@@ -45,22 +63,80 @@ def build_edges(resolved: DataFrame) -> DataFrame:
     return dedup_edges(direct.unionByName(impl), ["seq"])
 
 
-def reachable(roots: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(entry_id, method_id, depth, is_root): all methods within max_depth calls of an entry's roots.
+def entry_bits(rows: DataFrame) -> DataFrame:
+    """(entry_id, block, bit): every entry's place in blocks of 64, so that one number holds a set of entries."""
+    place = numbered(rows.select("entry_id").distinct(), "_n", F.col("entry_id")).withColumn("_n", F.col("_n") - 1)
+    return cut(place.select("entry_id", F.floor(F.col("_n") / 64).alias("block"), (F.col("_n") % 64).alias("bit")))
+
+
+def bit_set(bit: str = "bit") -> Column:
+    """The set that holds one entry."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col(bit).cast("int"))
+
+
+def with_entries(sets: DataFrame, column: str, places: DataFrame) -> DataFrame:
+    """A row for each entry in the sets of a column, by (block, …)."""
+    held = F.call_function("getbit", F.col(column), F.col("bit").cast("int")) == 1
+    return sets.join(places, "block").filter(held).drop("block", "bit", column)
+
+
+@dataclass(frozen=True)
+class Walk:
+    """Graphs of many entries as sets: (block, method_id, entries, depth), and the entries' places of entry_bits()."""
+
+    sets: DataFrame
+    places: DataFrame
 
-    Several roots may share an entry. Each level expands the last one's new nodes only; duplicates go
-    before the visited ones are taken out; the loop ends when nothing is new.
+    def nodes(self) -> DataFrame:
+        """(entry_id, method_id, depth, is_root): a row for each entry and method."""
+        rows = with_entries(self.sets, "entries", self.places)
+        return rows.select("entry_id", "method_id", "depth", (F.col("depth") == 0).alias("is_root"))
+
+
+def walk_of(nodes: DataFrame) -> Walk:
+    """The sets of graphs that are given as rows (entry_id, method_id, depth), such as stored ones."""
+    places = entry_bits(nodes)
+    sets = nodes.join(places, "entry_id").groupBy("block", "method_id", "depth").agg(F.bit_or(bit_set()).alias("entries"))
+    return Walk(sets, places)
+
+
+def walk(roots: DataFrame, edges: DataFrame, max_depth: int | None = None, max_nodes: int = NODE_BUDGET) -> Walk:
+    """All methods within max_depth calls of each entry's roots, for all entries at once.
+
+    Several roots may share an entry. A row is a method with the set of entries, 64 to a number, that reached it,
+    so methods that many entries share are expanded once for all of them. Each level expands what the last one
+    added; the loop ends when nothing is new. An entry with more than max_nodes nodes goes no deeper;
+    with_truncation() takes its nearest max_nodes and flags it.
     """
     steps = cut(edges.select("from_id", "to_id").distinct())
-    level = cut(roots.select("entry_id", "method_id").distinct())
-    seen = level.withColumn("depth", F.lit(0)).withColumn("is_root", F.lit(True))
+    places = entry_bits(roots)
+    none = F.lit(0).cast("bigint")
+    first = roots.select("entry_id", "method_id").distinct().join(places, "entry_id").groupBy("block", "method_id").agg(F.bit_or(bit_set()).alias("new"))
+    state = cut(first.select("block", "method_id", F.col("new").alias("seen"), "new"))
+    levels = [state.select("block", "method_id", F.col("new").alias("entries"), F.lit(0).alias("depth"))]
+    rows = 0
     for depth in range(1, clamp_depth(max_depth) + 1):
-        found = level.join(steps, F.col("method_id") == F.col("from_id")).select("entry_id", F.col("to_id").alias("method_id")).distinct()
-        level = cut(found.join(seen, ["entry_id", "method_id"], "left_anti"))
-        if level.isEmpty():
+        front = state.filter("new <> 0").select("block", "method_id", "new")
+        if rows > max_nodes:  # else no entry can be above the budget
+            over = with_entries(state.select("block", "method_id", "seen"), "seen", places).groupBy("entry_id").count().filter(F.col("count") > max_nodes)
+            full = over.join(places, "entry_id").groupBy("block").agg(F.bit_or(bit_set()).alias("full"))
+            front = front.join(full, "block", "left").select("block", "method_id", F.col("new").bitwiseAND(F.bitwise_not(F.coalesce("full", none))).alias("new"))
+        found = front.join(steps, F.col("method_id") == F.col("from_id")).select("block", F.col("to_id").alias("method_id"), none.alias("seen"), F.col("new").alias("found"))
+        both = state.select("block", "method_id", "seen", none.alias("found")).unionByName(found)
+        both = both.groupBy("block", "method_id").agg(F.bit_or("seen").alias("seen"), F.bit_or("found").alias("found"))
+        new = F.col("found").bitwiseAND(F.bitwise_not("seen"))
+        state = cut(both.select("block", "method_id", F.col("seen").bitwiseOR(F.col("found")).alias("seen"), new.alias("new")))
+        added = state.filter("new <> 0").select("block", "method_id", F.col("new").alias("entries"), F.lit(depth).alias("depth"))
+        rows, n_added = state.agg(F.count(F.lit(1)), F.count_if(F.col("new") != 0)).first()
+        if not n_added:
             break
-        seen = seen.unionByName(level.withColumn("depth", F.lit(depth)).withColumn("is_root", F.lit(False)))
-    return seen
+        levels.append(added)
+    return Walk(reduce(DataFrame.unionByName, levels), places)
+
+
+def reachable(roots: DataFrame, edges: DataFrame, max_depth: int | None = None, max_nodes: int = NODE_BUDGET) -> DataFrame:
+    """(entry_id, method_id, depth, is_root): the nodes of walk()."""
+    return walk(roots, edges, max_depth, max_nodes).nodes()
 
 
 def graph_edges(nodes: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -180,7 +256,22 @@ def entry_stats(nodes: DataFrame, entry_edges: DataFrame, flags: DataFrame) -> D
     return found.withColumn("n_edges", F.coalesce("n_edges", F.lit(0))).withColumn("truncated", F.coalesce("truncated", F.lit(False)))
 
 
-def batch_summary(stats: DataFrame) -> DataFrame:
-    """The rows of entry_stats() and a total with a null entry_id."""
+NO_ROOT = "未解析到根方法"
+
+
+def batch_entries(stats: DataFrame, asked: DataFrame) -> DataFrame:
+    """A row for each entry that a batch asked for: its stats, failed and error. An entry without stats had no root method."""
+    rows = asked.select("entry_id").join(stats, "entry_id", "left")
+    failed = F.col("n_nodes").isNull()
+    rows = rows.withColumn("failed", failed).withColumn("error", F.when(failed, NO_ROOT)).fillna(False, ["truncated"])
+    return rows.fillna(0, [c for c in stats.columns if c.startswith("n_")])
+
+
+def batch_summary(stats: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """The rows of batch_entries() summed up, and a total with a null entry_id: failed entries are counted, the total warns of them."""
+    rows = batch_entries(stats, stats if asked is None else asked)
     sums = [F.sum(c).alias(c) for c in ("n_nodes", "n_edges", "n_project", "n_dependency", "n_external")]
-    return stats.rollup("entry_id").agg(F.count(F.lit(1)).alias("n_entries"), *sums, F.bool_or("truncated").alias("truncated"))
+    found = rows.rollup("entry_id").agg(F.count(F.lit(1)).alias("n_entries"), *sums, F.bool_or("truncated").alias("truncated"), F.count_if("failed").alias("n_failed"), F.grouping("entry_id").alias("_total"))
+    warning = F.when((F.col("_total") == 1) & (F.col("n_failed") > 0), F.concat(F.lit("批量分析中有 "), F.col("n_failed").cast("string"), F.lit(" 个入口失败，已跳过")))
+    # A total over no rows has no sums.
+    return found.withColumn("warning", warning).fillna(0, ["n_nodes", "n_edges", "n_project", "n_dependency", "n_external"]).fillna(False, ["truncated"]).drop("_total")

@@ -47,7 +47,9 @@ def dispatch_targets(wanted: DataFrame, classes: DataFrame, methods: DataFrame,
     bodies = methods.filter(sig.is_concrete(F.col("access"))).select(F.col("owner").alias("target"), "name", "descriptor")
     below = closure.select(F.col("ancestor").alias("owner"), F.col("class_name").alias("target"))
     wanted = wanted.select(*KEY).distinct()
-    found = wanted.join(bodies.join(solid, "target", "left_semi"), ["name", "descriptor"]).join(below, ["owner", "target"], "left_semi").select(*KEY, "target")
+    # Subtypes of the owner first: joining bodies by name alone would pair every owner of a common name with every class that has it.
+    below = below.join(solid, "target", "left_semi").distinct()
+    found = wanted.join(below, "owner").join(bodies, ["target", "name", "descriptor"], "left_semi").select(*KEY, "target")
     own = wanted.join(bodies.withColumnRenamed("target", "owner"), KEY, "left_semi").join(found.select(*KEY).distinct(), KEY, "left_anti")
     return found.unionByName(own.withColumn("target", F.col("owner")))
 
@@ -101,6 +103,25 @@ def resolve_calls(calls: DataFrame, classes: DataFrame, methods: DataFrame) -> D
     return single.unionByName(multi).unionByName(external)
 
 
+def with_source(rows: DataFrame, known: DataFrame, method: str = "method_id") -> DataFrame:
+    """Each row with the source of its method, EXTERNAL where the method is not known. known: (method_id, source)."""
+    sources = known.select(F.col("method_id").alias(method), F.col("source").alias("_source"))
+    found = rows.drop("source").join(sources, method, "left")
+    return found.withColumn("source", F.coalesce("_source", F.lit("EXTERNAL"))).drop("_source")
+
+
+def project_counts(classes: DataFrame) -> DataFrame:
+    """(source, n_classes, n_locations): how many classes, and directories or jars, a project has by source."""
+    return classes.groupBy("source").agg(F.count(F.lit(1)).alias("n_classes"), F.count_distinct("location").alias("n_locations"))
+
+
+def filter_source(rows: DataFrame, source: str | None) -> DataFrame:
+    """Rows of one source, in any case; ALL, empty and null mean no limit."""
+    if not source or source.upper() == "ALL":
+        return rows
+    return rows.filter(F.upper("source") == source.upper())
+
+
 def resolve_class_names(queries: DataFrame, classes: DataFrame) -> DataFrame:
     """(query, outcome, class_name): a class by full name, else by a simple name that only one class has.
 
@@ -127,10 +148,29 @@ def resolve_entry_roots(entries: DataFrame, methods: DataFrame) -> DataFrame:
 
 
 def verify_entries(entries: DataFrame, methods: DataFrame) -> DataFrame:
-    """(entry_id, status, n_overloads) of entries: missing class or method, mismatch, exact, unique, overloads, ok."""
-    classes = methods.select("class_name").distinct().withColumn("_c", F.lit(True))
-    named = entries.join(methods.select("class_name", F.col("name").alias("method_name"), F.col("descriptor").alias("own")), ["class_name", "method_name"], "left")
-    counts = named.groupBy("entry_id").agg(F.count("own").alias("n"), F.max(F.coalesce(F.col("own") == F.col("descriptor"), F.lit(False))).alias("exact"))
-    found = entries.join(classes, "class_name", "left").join(counts, "entry_id")
-    status = F.when(F.col("_c").isNull(), "CLASS_MISSING").when(F.col("method_name").isNull(), "OK").when(F.col("n") == 0, "METHOD_MISSING").when(F.col("descriptor").isNotNull(), F.when(F.col("exact"), "EXACT").otherwise("MISMATCH")).when(F.col("n") == 1, "UNIQUE").otherwise("OVERLOADS")
-    return found.select("entry_id", status.alias("status"), F.col("n").alias("n_overloads"))
+    """(entry_id, status, class_name, candidates, available, overloads, n_overloads) of entries.
+
+    entries: (entry_id, class_name, method_name, descriptor); methods: (class_name with dots, name, descriptor). A class is
+    found by its full name, else by a simple name that only one class has; CLASS_AMBIGUOUS lists the candidates,
+    CLASS_MISSING has none. Without a method name the status is OK. METHOD_MISSING lists the class's method names.
+    With a descriptor: EXACT or MISMATCH; without: UNIQUE with the one descriptor, or OVERLOADS with all of them.
+    """
+    names = resolve_class_names(entries.select(F.col("class_name").alias("query")), methods)
+    found = entries.select("entry_id", F.col("class_name").alias("query"), "method_name", "descriptor").join(names, "query", "left")
+    is_known = F.coalesce(F.col("outcome").isin("exact", "simple"), F.lit(False))
+    found = found.select("entry_id", "method_name", "descriptor", "outcome", F.when(is_known, F.col("class_name")).alias("class_name"), F.when(F.col("outcome") == "ambiguous", F.col("class_name")).alias("candidates"))
+    own = methods.groupBy("class_name", F.col("name").alias("method_name")).agg(F.array_sort(F.collect_set("descriptor")).alias("overloads"))  # of one method
+    listed = own.groupBy("class_name").agg(F.array_sort(F.collect_set("method_name")).alias("all_names"))  # of one class
+    found = found.join(own, ["class_name", "method_name"], "left").join(listed, "class_name", "left")
+    named, n = F.coalesce(F.col("method_name"), F.lit("")) != "", F.coalesce(F.size("overloads"), F.lit(0))
+    n = F.when(F.col("overloads").isNull(), 0).otherwise(n)
+    exact = F.coalesce(F.array_contains("overloads", F.col("descriptor")), F.lit(False))
+    described = F.coalesce(F.col("descriptor"), F.lit("")) != ""
+    status = (
+        F.when(F.col("outcome") == "ambiguous", "CLASS_AMBIGUOUS").when(F.col("class_name").isNull(), "CLASS_MISSING").when(~named, "OK")
+        .when(described, F.when(exact, "EXACT").otherwise("MISMATCH")).when(n == 0, "METHOD_MISSING").when(n == 1, "UNIQUE").otherwise("OVERLOADS")
+    )
+    text = lambda when, c: F.when(F.col("status") == when, F.array_join(c, ","))
+    found = found.withColumn("status", status)
+    overloads = F.when(F.col("status").isin("UNIQUE", "OVERLOADS"), F.array_join("overloads", ","))
+    return found.select("entry_id", "status", "class_name", "candidates", text("METHOD_MISSING", "all_names").alias("available"), overloads.alias("overloads"), n.cast("long").alias("n_overloads"))

@@ -72,7 +72,7 @@ def build_edges(spark, sf_dir):
 def project_counts(spark, sf_dir):
     source = F.when(F.col("class_name").startswith("com/s/"), "PROJECT").otherwise("DEPENDENCY")
     rows = hierarchy(spark, sf_dir)[0].select("class_name", source.alias("source"), F.regexp_extract("class_name", "^com/([a-z])", 1).alias("location"))
-    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_classes"), F.count_distinct("location").alias("n_locations"))
+    return resolve.project_counts(rows)
 
 
 @query("detect_jobs", f"WITH {H_SQL} SELECT concat('com.s.S', s_suppkey) AS class_name, 'execute' AS method_name, concat('job: com.s.S', s_suppkey, '#execute') AS display FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1 AND s_suppkey % 2 = 0")
@@ -104,8 +104,8 @@ def resolve_class(spark, sf_dir):
     return resolve.resolve_class_names(asked, classes)
 
 
-ASKED = """SELECT method_id AS entry_id, CASE WHEN method_id % 17 = 0 THEN 'no.such.C' ELSE replace(owner, '/', '.') END AS class_name, CASE WHEN method_id % 5 > 0 THEN CASE WHEN method_id % 13 = 0 THEN 'nope' ELSE name END END AS method_name,
-  CASE WHEN method_id % 5 > 2 THEN CASE WHEN method_id % 7 = 0 THEN '(Z)V' ELSE descriptor END END AS descriptor FROM {m} WHERE method_id % 3 = 0"""
+ASKED = """SELECT method_id AS entry_id, CASE WHEN method_id % 17 = 0 THEN 'no.such.C' WHEN method_id % 19 = 0 THEN replace(owner, 'com/acme/economy/', '') ELSE replace(owner, '/', '.') END AS class_name,
+  CASE WHEN method_id % 5 > 0 THEN CASE WHEN method_id % 13 = 0 THEN 'nope' ELSE name END END AS method_name, CASE WHEN method_id % 5 > 2 THEN CASE WHEN method_id % 7 = 0 THEN '(Z)V' ELSE descriptor END END AS descriptor FROM {m}"""
 
 
 def asked(spark, sf_dir):
@@ -124,9 +124,14 @@ def entry_roots(spark, sf_dir):
 
 @query(
     "verify_entries",
-    f"""{M}, a AS ({ASKED.format(m='m')}), n AS (SELECT a.entry_id, count(m.descriptor) AS n, bool_or(coalesce(m.descriptor = a.descriptor, false)) AS exact FROM a LEFT JOIN m ON a.class_name = replace(owner, '/', '.') AND a.method_name = name GROUP BY a.entry_id)
-    SELECT entry_id, CASE WHEN class_name = 'no.such.C' THEN 'CLASS_MISSING' WHEN method_name IS NULL THEN 'OK' WHEN n = 0 THEN 'METHOD_MISSING' WHEN descriptor IS NOT NULL THEN CASE WHEN exact THEN 'EXACT' ELSE 'MISMATCH' END
-      WHEN n = 1 THEN 'UNIQUE' ELSE 'OVERLOADS' END AS status, n::BIGINT AS n_overloads FROM a JOIN n USING (entry_id)""",
+    f"""{M}, a AS ({ASKED.format(m='m')}), c AS (SELECT DISTINCT replace(owner, '/', '.') AS class_name FROM m), s AS (SELECT split_part(class_name, '.', -1) AS simple, string_agg(class_name, ',' ORDER BY class_name) AS names, count(*) AS n FROM c GROUP BY 1),
+    r AS (SELECT entry_id, method_name, descriptor, CASE WHEN c.class_name IS NOT NULL THEN c.class_name WHEN s.n = 1 THEN s.names END AS class_name, CASE WHEN c.class_name IS NULL AND s.n > 1 THEN s.names END AS candidates FROM a LEFT JOIN c ON a.class_name = c.class_name LEFT JOIN s ON a.class_name = s.simple),
+    o AS (SELECT replace(owner, '/', '.') AS class_name, name, string_agg(DISTINCT descriptor, ',' ORDER BY descriptor) AS overloads, count(DISTINCT descriptor) AS n, list(DISTINCT descriptor) AS all_of FROM m GROUP BY 1, 2),
+    l AS (SELECT replace(owner, '/', '.') AS class_name, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM m GROUP BY 1),
+    v AS (SELECT entry_id, r.class_name, candidates, coalesce(o.n, 0)::BIGINT AS n_overloads, o.overloads, l.names, CASE WHEN candidates IS NOT NULL THEN 'CLASS_AMBIGUOUS' WHEN r.class_name IS NULL THEN 'CLASS_MISSING' WHEN method_name IS NULL THEN 'OK'
+      WHEN descriptor IS NOT NULL THEN CASE WHEN list_contains(all_of, descriptor) THEN 'EXACT' ELSE 'MISMATCH' END WHEN coalesce(o.n, 0) = 0 THEN 'METHOD_MISSING' WHEN o.n = 1 THEN 'UNIQUE' ELSE 'OVERLOADS' END AS status
+      FROM r LEFT JOIN o ON o.class_name = r.class_name AND o.name = r.method_name LEFT JOIN l ON l.class_name = r.class_name)
+    SELECT entry_id, status, class_name, candidates, CASE WHEN status = 'METHOD_MISSING' THEN names END AS available, CASE WHEN status IN ('UNIQUE', 'OVERLOADS') THEN overloads END AS overloads, n_overloads FROM v""",
 )
 def verify_entries(spark, sf_dir):
     return resolve.verify_entries(*asked(spark, sf_dir))

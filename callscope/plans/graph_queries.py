@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from callscope.functions import rules, sig
-from callscope.operators import freq, graph, report, search
+from callscope.operators import dfs, freq, graph, report, resolve, search
 from callscope.plans import testviews as tv
 from callscope.plans.registry import query
 from callscope.plans.signature_queries import DISPLAY_SQL, ID_SQL, methods, noise_sql, signed
@@ -29,8 +29,6 @@ PRUNING = tuple(r for r in rules.BUILTIN if r.id != "factory")
 QUIET = f"quiet AS (SELECT method_id FROM m WHERE {noise_sql(of=PRUNING)}), pe AS (SELECT * FROM e WHERE from_id NOT IN (FROM quiet) AND to_id NOT IN (FROM quiet)), pr AS (SELECT * FROM roots WHERE method_id NOT IN (FROM quiet))"
 P_SQL = f"WITH RECURSIVE {E_SQL}, {R_SQL}, {M_SQL}, {QUIET}, {reach_sql(DEPTH, 'pe', 'pr')}"
 
-_GRAPHS: dict = {}
-
 
 def edges(spark, sf_dir):
     return graph.dedup_edges(tv.view(spark, sf_dir, tv.EDGES), ORDER)
@@ -44,16 +42,19 @@ def noise_methods(spark, sf_dir):
     return signed(spark, sf_dir).filter(rules.is_noise(PRUNING, F.col("sig"), F.col("source"))).select("method_id")
 
 
+def walked(spark, sf_dir, pruned: bool = False):
+    """The graphs of all entries and the edges that they were walked on."""
+    r, e = roots(spark, sf_dir), edges(spark, sf_dir)
+    if pruned:
+        r, e = graph.prune(r, e, noise_methods(spark, sf_dir))
+    return graph.walk(r, e, DEPTH), e
+
+
 def graphs(spark, sf_dir, pruned: bool = False):
-    """(nodes, edges) of all entries; the nodes' checkpoint is used again by later queries of the session."""
-    key = (spark.sparkContext.applicationId, sf_dir, pruned)
-    if key not in _GRAPHS:
-        r, e = roots(spark, sf_dir), edges(spark, sf_dir)
-        if pruned:
-            r, e = graph.prune(r, e, noise_methods(spark, sf_dir))
-        _GRAPHS[key] = graph.reachable(r, e, DEPTH), e
-    nodes, e = _GRAPHS[key]
-    return nodes, graph.graph_edges(nodes, e, DEPTH)
+    """(nodes, edges of the entries' graphs, edges walked on)."""
+    walk, e = walked(spark, sf_dir, pruned)
+    nodes = walk.nodes()
+    return nodes, graph.graph_edges(nodes, e, DEPTH), e
 
 
 @query("dedup_edges", f"WITH {E_SQL} SELECT * FROM e")
@@ -65,25 +66,25 @@ def _ids(c: str):
     return F.array_join(F.col(c).cast("array<string>"), ",")
 
 
-@query("adjacency", f"WITH {E_SQL} SELECT from_id AS method_id, string_agg(to_id::VARCHAR, ',' ORDER BY to_id) AS children FROM e GROUP BY from_id")
+@query("adjacency", f"WITH {E_SQL} SELECT from_id AS method_id, string_agg(to_id::VARCHAR, ',' ORDER BY to_id) AS children, count(*)::BIGINT AS n_children FROM e GROUP BY from_id")
 def adjacency(spark, sf_dir):
-    return graph.adjacency(edges(spark, sf_dir)).select("method_id", _ids("children").alias("children"))
+    return graph.adjacency(edges(spark, sf_dir)).select("method_id", _ids("children").alias("children"), F.col("n_children"))
 
 
-@query("parents", f"WITH {E_SQL} SELECT to_id AS method_id, string_agg(from_id::VARCHAR, ',' ORDER BY from_id) AS parents FROM e GROUP BY to_id")
+@query("parents", f"WITH {E_SQL} SELECT to_id AS method_id, string_agg(from_id::VARCHAR, ',' ORDER BY from_id) FILTER (r <= 5) AS parents, count(*)::BIGINT AS n_parents FROM (SELECT *, row_number() OVER (PARTITION BY to_id ORDER BY from_id) AS r FROM e) x GROUP BY to_id")
 def parents(spark, sf_dir):
-    return graph.parents(edges(spark, sf_dir)).select("method_id", _ids("parents").alias("parents"))
+    """The first five callers of each method and how many there are; adjacency has whole lists."""
+    return graph.parents(edges(spark, sf_dir), 5).select("method_id", _ids("parents").alias("parents"), "n_parents")
 
 
-@query("method_source", f"WITH {E_SQL}, {M_SQL} SELECT from_id, to_id, coalesce(source, 'EXTERNAL') AS source FROM e LEFT JOIN (SELECT * FROM m WHERE method_id % 10 > 0) m ON to_id = method_id")
-def method_source(spark, sf_dir):
-    known = methods(spark, sf_dir).filter("method_id % 10 > 0").select(F.col("method_id").alias("to_id"), "source")
-    return with_source(edges(spark, sf_dir), known).select("from_id", "to_id", "source")
+KNOWN = "SELECT CASE WHEN method_id % 10 = 0 THEN -method_id ELSE method_id END AS method_id, source FROM {m}"
 
 
-def with_source(rows, known):
-    """Each row with the source of its to_id, EXTERNAL where the method is not known."""
-    return rows.join(known, "to_id", "left").withColumn("source", F.coalesce("source", F.lit("EXTERNAL")))
+@query("method_source", f"WITH {E_SQL}, {M_SQL}, k AS ({KNOWN.format(m='m')}) SELECT from_id, to_id, coalesce(source, 'EXTERNAL') AS source FROM e LEFT JOIN k ON to_id = method_id")
+def method_source(spark, sf_dir):
+    """Every tenth method stands under another id in the class index, so its calls lead to unknown methods."""
+    known = spark.sql(KNOWN, m=methods(spark, sf_dir))
+    return resolve.with_source(edges(spark, sf_dir), known, "to_id").select("from_id", "to_id", "source")
 
 
 @query("reach", f"{G_SQL} SELECT entry_id, method_id, depth, depth = 0 AS is_root FROM n")
@@ -125,7 +126,7 @@ def call_tree(spark, sf_dir):
 
 @query("reach_pruned", f"{P_SQL} SELECT entry_id, method_id, depth FROM n")
 def reach_pruned(spark, sf_dir):
-    return graphs(spark, sf_dir, pruned=True)[0].select("entry_id", "method_id", "depth")
+    return walked(spark, sf_dir, pruned=True)[0].nodes().select("entry_id", "method_id", "depth")
 
 
 HITS = "hits AS (SELECT method_id FROM m WHERE contains(lower(concat_ws(chr(10), name, {d}, replace(owner, '/', '.'), split_part(owner, '/', -1))), 'brand#1'))".replace("brand#1", "brand11").format(d=DISPLAY_SQL.replace("{", "{{").replace("}", "}}")).replace("{{}}", "{}")
@@ -141,18 +142,37 @@ def match_method(spark, sf_dir):
     return methods(spark, sf_dir).select("method_id", search.match_method(*columns, "Brand11").alias("fuzzy"), search.match_method(*columns, "getName", exact=True).alias("exact"))
 
 
+MARKS_SQL = """up AS (SELECT entry_id, method_id FROM n WHERE method_id IN (FROM hits) UNION SELECT u.entry_id, from_id FROM up u JOIN ne ON ne.entry_id = u.entry_id AND to_id = u.method_id)"""
+
+
+@query("search_marks", f"{G_SQL}, {HITS}, {MARKS_SQL} SELECT entry_id, method_id, CASE WHEN method_id IN (FROM hits) THEN 'hit' ELSE 'contains' END AS mark FROM up")
+def search_marks(spark, sf_dir):
+    return search.search_graphs(*walked(spark, sf_dir), hits(spark, sf_dir), DEPTH)
+
+
+@query("search_hits", f"{G_SQL}, {HITS} SELECT row_number() OVER (ORDER BY entry_id, method_id)::INTEGER AS place, entry_id, method_id FROM n WHERE method_id IN (FROM hits)")
+def search_hits(spark, sf_dir):
+    """The hits of a search in order, to step through."""
+    marks = search.search_graphs(*walked(spark, sf_dir), hits(spark, sf_dir), DEPTH)
+    return search.hit_list(marks).select("place", "entry_id", "method_id")
+
+
+NP_SQL = reach_sql(DEPTH, "pe", "pr", "np").replace("walk AS", "pwalk AS").replace("FROM walk", "FROM pwalk")
+
+
 @query(
-    "search_marks",
-    f"""{G_SQL}, {HITS}, up AS (SELECT entry_id, method_id FROM n WHERE method_id IN (FROM hits) UNION SELECT u.entry_id, from_id FROM up u JOIN ne ON ne.entry_id = u.entry_id AND to_id = u.method_id)
-    SELECT entry_id, method_id, CASE WHEN method_id IN (FROM hits) THEN 'hit' ELSE 'contains' END AS mark FROM up""",
+    "search_hidden",
+    f"""{G_SQL}, {QUIET}, {NP_SQL}, {HITS} SELECT entry_id, count_if(method_id IN (SELECT method_id FROM np WHERE np.entry_id = n.entry_id))::BIGINT AS n_hits, count_if(method_id NOT IN (SELECT method_id FROM np WHERE np.entry_id = n.entry_id))::BIGINT AS n_hidden
+    FROM n WHERE method_id IN (FROM hits) GROUP BY entry_id""",
 )
-def search_marks(spark, sf_dir):
-    return search.search_graphs(*graphs(spark, sf_dir), hits(spark, sf_dir))
+def search_hidden(spark, sf_dir):
+    """Hits that the view without noise shows and hides, by entry."""
+    return search.hidden_hits(walked(spark, sf_dir)[0].nodes(), walked(spark, sf_dir, pruned=True)[0].nodes(), hits(spark, sf_dir))
 
 
 @query("entries_calling", f"{G_SQL}, {HITS}, f AS (SELECT entry_id, count(*)::BIGINT AS n_matches FROM n WHERE method_id IN (FROM hits) GROUP BY entry_id) SELECT *, (SELECT count(*) FROM f)::BIGINT AS n_entries, (SELECT sum(n_matches) FROM f)::BIGINT AS n_total FROM f")
 def entries_calling(spark, sf_dir):
-    return search.entries_calling(graphs(spark, sf_dir)[0], hits(spark, sf_dir))
+    return search.entries_calling(walked(spark, sf_dir)[0].nodes(), hits(spark, sf_dir))
 
 
 @query("tree_matches", f"{T_SQL}, {HITS} SELECT entry_id, node_id, depth, array_to_string(path[1:len(path) - 1], '>') AS above FROM tree WHERE node_id IN (FROM hits)")
@@ -184,8 +204,7 @@ def stats_sql(head: str) -> str:
 
 
 def stats_of(spark, sf_dir, pruned: bool = False):
-    nodes, inner = graphs(spark, sf_dir, pruned)
-    e = _GRAPHS[(spark.sparkContext.applicationId, sf_dir, pruned)][1]
+    nodes, inner, e = graphs(spark, sf_dir, pruned)
     _, flags = graph.with_truncation(nodes, e, DEPTH)
     return graph.entry_stats(nodes.join(methods(spark, sf_dir).select("method_id", "source"), "method_id"), inner, flags)
 
@@ -198,14 +217,33 @@ def entry_stats(spark, sf_dir):
 TOTAL_SQL = " SELECT entry_id, count(*)::BIGINT AS n_entries, sum(n_nodes)::BIGINT AS n_nodes, sum(n_edges)::BIGINT AS n_edges, sum(n_project)::BIGINT AS n_project, sum(n_dependency)::BIGINT AS n_dependency, sum(n_external)::BIGINT AS n_external, bool_or(truncated) AS truncated FROM stats GROUP BY ROLLUP (entry_id)"
 
 
-@query("batch_summary", stats_sql(G_SQL).format(e="e") + TOTAL_SQL)
+#: A batch of the entries of the view and of as many that have no root method; these fail.
+LOST = "SELECT -entry_id AS entry_id FROM {r}"
+BATCH_SQL = f"""{stats_sql(G_SQL).format(e="e")}, asked AS (SELECT entry_id FROM roots UNION ALL {LOST.format(r="roots")}), b AS (SELECT a.entry_id, s.* EXCLUDE (entry_id), s.n_nodes IS NULL AS failed FROM asked a LEFT JOIN stats s USING (entry_id))"""
+
+
+@query(
+    "batch_summary",
+    BATCH_SQL + """ SELECT entry_id, count(*)::BIGINT AS n_entries, coalesce(sum(n_nodes), 0)::BIGINT AS n_nodes, coalesce(sum(n_edges), 0)::BIGINT AS n_edges, coalesce(sum(n_project), 0)::BIGINT AS n_project, coalesce(sum(n_dependency), 0)::BIGINT AS n_dependency,
+    coalesce(sum(n_external), 0)::BIGINT AS n_external, coalesce(bool_or(truncated), false) AS truncated, count_if(failed)::BIGINT AS n_failed, CASE WHEN grouping(entry_id) = 1 AND count_if(failed) > 0 THEN concat('批量分析中有 ', count_if(failed), ' 个入口失败，已跳过') END AS warning
+    FROM b GROUP BY ROLLUP (entry_id)""",
+)
 def batch_summary(spark, sf_dir):
-    return graph.batch_summary(stats_of(spark, sf_dir))
+    r = roots(spark, sf_dir)
+    asked = r.select("entry_id").unionByName(spark.sql(LOST, r=r))
+    return graph.batch_summary(stats_of(spark, sf_dir), asked)
+
+
+@query("batch_entries", BATCH_SQL + " SELECT entry_id, failed, CASE WHEN failed THEN '未解析到根方法' END AS error, coalesce(n_nodes, 0)::BIGINT AS n_nodes FROM b")
+def batch_entries(spark, sf_dir):
+    r = roots(spark, sf_dir)
+    asked = r.select("entry_id").unionByName(spark.sql(LOST, r=r))
+    return graph.batch_entries(stats_of(spark, sf_dir), asked).select("entry_id", "failed", "error", "n_nodes")
 
 
 @query("filtered_stats", stats_sql(P_SQL).format(e="pe") + TOTAL_SQL)
 def filtered_stats(spark, sf_dir):
-    return graph.batch_summary(stats_of(spark, sf_dir, pruned=True))
+    return graph.batch_summary(stats_of(spark, sf_dir, pruned=True)).drop("n_failed", "warning")
 
 
 @query(
@@ -281,9 +319,9 @@ def freq_removed(spark, sf_dir):
     return freq.split_frequency(frequency(spark, sf_dir))[1].select("method_id", "call_count", "sig", "source", "rules")
 
 
-@query("freq_ranked", f"{N_SQL} SELECT row_number() OVER (ORDER BY call_count DESC, sig, method_id)::INTEGER AS rank, method_id, call_count FROM x QUALIFY rank <= 200")
+@query("freq_ranked", f"{N_SQL} SELECT row_number() OVER (ORDER BY call_count DESC, sig, method_id)::INTEGER AS rank, method_id, call_count FROM x")
 def freq_ranked(spark, sf_dir):
-    return freq.with_rank(frequency(spark, sf_dir).select("method_id", "call_count", "sig"), 200, F.desc("call_count"), "sig", "method_id").select("rank", "method_id", "call_count")
+    return freq.numbered(frequency(spark, sf_dir).select("method_id", "call_count", "sig"), "rank", F.desc("call_count"), "sig", "method_id").select("rank", "method_id", "call_count")
 
 
 @query("freq_page", f"{N_SQL} SELECT method_id, call_count, (SELECT (count(*) + 49) // 50 FROM x)::BIGINT AS n_pages FROM x ORDER BY call_count DESC, sig, method_id LIMIT 50 OFFSET 50")
@@ -293,27 +331,27 @@ def freq_page(spark, sf_dir):
     return freq.page(rows, 2, 50, F.desc("call_count"), "sig", "method_id").join(pages, F.lit(True)).select("method_id", "call_count", "n_pages")
 
 
-@query("frequency_sheet", f"{N_SQL}, {TEXT_SQL} SELECT row_number() OVER (ORDER BY x.call_count DESC, sig, method_id)::INTEGER AS rank, method_id, sig, source, x.call_count, callers FROM x JOIN t ON callee_id = method_id WHERE NOT noise QUALIFY rank <= 200")
+def caller_texts(spark, sf_dir):
+    text = freq.callers_text(freq.call_sites(sites(spark, sf_dir)).withColumnRenamed("caller_id", "caller"))
+    return text.withColumnRenamed("callee_id", "method_id").drop("call_count")
+
+
+@query("frequency_sheet", f"{N_SQL}, {TEXT_SQL} SELECT row_number() OVER (ORDER BY x.call_count DESC, sig, method_id)::INTEGER AS rank, method_id, sig, source, x.call_count, callers FROM x JOIN t ON callee_id = method_id WHERE NOT noise")
 def frequency_sheet(spark, sf_dir):
-    kept = freq.split_frequency(frequency(spark, sf_dir))[0].select("method_id", "sig", "source", "call_count")
-    ranked = freq.with_rank(kept, 200, F.desc("call_count"), "sig", "method_id")
-    text = freq.callers_text(freq.call_sites(sites(spark, sf_dir)).withColumnRenamed("caller_id", "caller")).withColumnRenamed("callee_id", "method_id").drop("call_count")
-    return ranked.join(text, "method_id").select("rank", "method_id", "sig", "source", "call_count", "callers")
+    return report.frequency_sheet(frequency(spark, sf_dir), caller_texts(spark, sf_dir))
 
 
-@query("filtered_sheet", f"{N_SQL} SELECT row_number() OVER (ORDER BY call_count DESC, sig, method_id)::INTEGER AS rank, sig, source, call_count, rules FROM x WHERE noise QUALIFY rank <= 200")
+@query("filtered_sheet", f"{N_SQL}, {TEXT_SQL} SELECT row_number() OVER (ORDER BY x.call_count DESC, sig, method_id)::INTEGER AS rank, method_id, sig, source, x.call_count, rules, callers FROM x JOIN t ON callee_id = method_id WHERE noise")
 def filtered_sheet(spark, sf_dir):
-    removed = freq.split_frequency(frequency(spark, sf_dir))[1]
-    return freq.with_rank(removed, 200, F.desc("call_count"), "sig", "method_id").select("rank", "sig", "source", "call_count", "rules")
+    return report.filtered_sheet(frequency(spark, sf_dir), caller_texts(spark, sf_dir))
 
 
 @query("chain_rows")
 def chain_rows(spark, sf_dir, max_nodes: int = graph.NODE_BUDGET):
-    """Order-exact listing within the node budget; SQL cannot state its order. seq is the call's line, then the callee."""
-    from callscope.operators.dfs import chain_rows as listing
-
-    inner = graph.within_budget(*graphs(spark, sf_dir, pruned=False), max_nodes)
-    return listing(roots(spark, sf_dir), inner.withColumn("seq", F.col("line").cast("long")), noise_methods(spark, sf_dir), DEPTH)
+    """Order-exact listing within the node budget; SQL cannot state which visit of a method comes first. seq is the call's line, then the callee."""
+    nodes, inner, _ = graphs(spark, sf_dir)
+    inner = graph.within_budget(nodes, inner, max_nodes)
+    return dfs.chain_rows(roots(spark, sf_dir), inner.withColumn("seq", F.col("line").cast("long")), noise_methods(spark, sf_dir), DEPTH)
 
 
 @query("chain_sheet")

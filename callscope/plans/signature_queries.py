@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callscope.functions import rules, sig
+from callscope.operators import resolve
 from callscope.plans import testviews as tv
 from callscope.plans.registry import query
 
@@ -171,14 +172,7 @@ def labels(spark, sf_dir):
 
 @query("source_filter", f"{M} SELECT method_id, source FROM m WHERE source = 'DEPENDENCY'")
 def source_filter(spark, sf_dir):
-    return filter_source(methods(spark, sf_dir), "dependency").select("method_id", "source")
-
-
-def filter_source(df: DataFrame, source: str | None) -> DataFrame:
-    """Rows of one source, in any case; ALL, empty and null mean no limit."""
-    if not source or source.upper() == "ALL":
-        return df
-    return df.filter(F.upper("source") == source.upper())
+    return resolve.filter_source(methods(spark, sf_dir), "dependency").select("method_id", "source")
 
 
 def noise_sql(layered: bool = False, of=rules.BUILTIN) -> str:
@@ -239,7 +233,7 @@ def rules_sheet(spark, sf_dir):
 
 
 STORED = """SELECT id, name, method_pattern, class_pattern, source, param_count, method_id % 5 = 0 AS enabled, method_id % 3 <> 0 AS builtin FROM (
-  SELECT method_id, concat('g', CAST(method_id % 60 AS VARCHAR(20))) AS id, name, name AS method_pattern, '' AS class_pattern, source, CAST(NULL AS INT) AS param_count FROM {m} WHERE method_id <= 60) x"""
+  SELECT method_id, concat('g', CAST(method_id AS VARCHAR(20))) AS id, name, name AS method_pattern, '' AS class_pattern, source, CAST(NULL AS INT) AS param_count FROM {m}) x"""
 
 
 @query(
