@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from callscope.operators.base import cut
+
 EXCLUDED_BY_USER = "用户排除"
 
 
@@ -91,15 +93,44 @@ def entry_set_fingerprint(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.when(F.count("key") > 0, F.md5(F.array_join(keys, "|"))).otherwise("").alias("fingerprint"))
 
 
-def project_fingerprint(files: DataFrame, version: str = "v1") -> DataFrame:
-    """sha1 over each project's files: `path:mtime:size` sorted within directories, directories sorted.
+def project_fingerprint(files: DataFrame, projects: DataFrame | None = None, builds: DataFrame | None = None, rules: DataFrame | None = None, version: str = "v2") -> DataFrame:
+    """(project, fingerprint): sha1 over all that a project's results hang on.
 
-    files: (project, dir, path, mtime, size). Each directory is hashed on its own first, so that a project of
-    many files gathers a hash for each directory only.
+    files: (project, dir, path, mtime, size) of class files; projects: (project, commit); builds: (project, path, hash) of
+    build files; rules: the rules in force, (project, layer, id, …). Parts that are not there are '-'. Class files
+    are hashed by directory first, so that a project of many files gathers a hash for each directory only.
     """
     one = F.concat_ws(":", "path", F.col("mtime").cast("string"), F.col("size").cast("string"))
     dirs = files.groupBy("project", "dir").agg(F.sha1(F.array_join(F.array_sort(F.collect_list(one)), ",")).alias("h"))
-    return dirs.groupBy("project").agg(F.sha1(F.concat(F.lit(version + "|"), F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "dir", "h"))), "|"))).alias("fingerprint"))
+    listed = lambda item, sep: F.array_join(F.array_sort(F.collect_list(item)), sep)
+    parts = {"classes": dirs.groupBy("project").agg(listed(F.concat_ws("=", "dir", "h"), "|").alias("classes"))}
+    if projects is not None:
+        parts["git"] = projects.select("project", F.col("commit").alias("git"))
+    if builds is not None:
+        parts["build"] = builds.groupBy("project").agg(listed(F.concat_ws("=", "path", "hash"), ";").alias("build"))
+    if rules is not None:
+        parts["rules"] = rule_signature(rules).withColumnRenamed("signature", "rules")
+    found = None
+    for part in parts.values():
+        found = part if found is None else found.join(part, "project", "full_outer")
+    text = [F.concat(F.lit(f"{name}="), F.coalesce(F.col(name), F.lit("-")) if name in parts else F.lit("-")) for name in ("git", "build", "classes", "rules")]
+    return found.select("project", F.sha1(F.concat_ws("|", F.lit(version), *text)).alias("fingerprint"))
+
+
+RULE_BODY = ("layer", "id", "method_pattern", "class_pattern", "source", "param_count", "enabled")
+
+
+def rule_signature(rules: DataFrame) -> DataFrame:
+    """(project, signature): a hash of each project's rules in force, so that a changed rule makes results stale."""
+    body = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in RULE_BODY]), {"ignoreNullFields": "false"})
+    return rules.groupBy("project").agg(F.sha1(F.array_join(F.array_sort(F.collect_list(body)), ",")).alias("signature"))
+
+
+def analysis_fingerprint(entries: DataFrame, projects: DataFrame, max_depth: int, max_nodes: int, source_filter: str = "") -> DataFrame:
+    """(project, key, fingerprint) of entries (project, key): the project's fingerprint, the entry and the parameters."""
+    rows = entries.join(projects.select("project", F.col("fingerprint").alias("_own")), "project", "left")
+    parts = F.concat_ws("|", F.coalesce("_own", F.lit("")), F.col("key"), F.lit(str(max_depth)), F.lit(str(max_nodes)), F.lit(source_filter))
+    return rows.select("project", "key", F.sha1(parts).alias("fingerprint"))
 
 
 def project_status(projects: DataFrame, tolerance: str = "5 minutes") -> DataFrame:
@@ -127,10 +158,30 @@ def tail_log(rows: DataFrame, most: int = 60) -> DataFrame:
     return lines.withColumn("_r", rank).filter(F.col("_r") <= most).drop("_r")
 
 
-def unique_labels(rows: DataFrame, most: int = 31) -> DataFrame:
-    """(…, label): the base cut to `most` characters; later rows of a base get (2), (3) and so on, cut to fit."""
+def unique_labels(rows: DataFrame, most: int = 31, first: int | None = None) -> DataFrame:
+    """(…, label): the base cut to `most` characters; later rows of a base get (2), (3) and so on, cut to fit.
+
+    rows: (…, base, ord), ord distinct. Labels that meet a label of another row, as a suffixed one may meet another base,
+    are made again with the next numbers until all differ. With `first`, only so many rows, by ord, get a label,
+    as a workbook holds only so many sheets.
+    """
+    if first is not None:
+        rows = rows.orderBy("ord").limit(first)
+
+    def label(k: Column) -> Column:
+        suffix = F.concat(F.lit("("), k.cast("string"), F.lit(")"))
+        return F.when(k == 1, F.col("_base")).otherwise(F.concat(F.substring(F.col("_base"), F.lit(1), F.least(F.length("_base"), most - F.length(suffix))), suffix))
+
     base = F.substring("base", 1, most)
     rows = rows.withColumn("_base", base).withColumn("_k", F.row_number().over(Window.partitionBy(base).orderBy("ord")))
-    suffix = F.concat(F.lit("("), F.col("_k").cast("string"), F.lit(")"))
-    label = F.when(F.col("_k") == 1, F.col("_base")).otherwise(F.concat(F.substring(F.col("_base"), F.lit(1), F.least(F.length("_base"), most - F.length(suffix))), suffix))
-    return rows.withColumn("label", label).drop("_base", "_k")
+    rows = cut(rows.withColumn("label", label(F.col("_k"))))
+    while True:
+        # Of the rows of one label the one that has it as its base stays, else the first.
+        nth = F.row_number().over(Window.partitionBy("label").orderBy(F.col("_k") > 1, "ord"))
+        marked = cut(rows.withColumn("_moves", nth > 1))
+        if marked.filter("_moves").isEmpty():
+            return marked.drop("_base", "_k", "_moves")
+        top = marked.groupBy("_base").agg(F.max("_k").alias("_top"))
+        order = Window.partitionBy("_base").orderBy("ord")
+        moved = marked.filter("_moves").join(top, "_base").withColumn("_k", F.col("_top") + F.row_number().over(order)).drop("_top")
+        rows = marked.filter("NOT _moves").unionByName(moved.withColumn("label", label(F.col("_k")))).drop("_moves")

@@ -10,20 +10,55 @@ from callscope.operators.base import cut
 MOST_HOPS = 10
 
 
+def norm_path(path: Column) -> Column:
+    """A path without . parts, and without .. parts and what they undo."""
+    start = F.array().cast("array<string>")
+
+    def step(done: Column, part: Column) -> Column:
+        up = (part == "..") & (F.size(done) > 0) & (F.element_at(done, -1) != "..")
+        return F.when(part.isin(".", ""), done).when(up, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(F.concat(done, F.array(part)))
+
+    parts = F.aggregate(F.split(path, "/"), start, step)
+    return F.concat(F.when(path.startswith("/"), F.lit("/")).otherwise(F.lit("")), F.array_join(parts, "/"))
+
+
+def link_parents(poms: DataFrame) -> DataFrame:
+    """(pom, parent, how) of build files: the parent by its coordinates, else by its relative path; how: repository, path, missing, none.
+
+    poms: (pom, path, gav, parent_gav, relative_path), gav as group:artifact:version. Without a relative path the
+    parent is looked for in ../pom.xml. Of several files of equal coordinates the one with the smallest name counts.
+    """
+    by_gav = poms.filter("gav IS NOT NULL").groupBy(F.col("gav").alias("parent_gav")).agg(F.min("pom").alias("_by_gav"))
+    by_path = poms.groupBy(norm_path(F.col("path")).alias("_at")).agg(F.min("pom").alias("_by_path"))
+    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    given = F.coalesce(F.when(F.col("relative_path") != "", F.col("relative_path")), F.lit("../pom.xml"))
+    given = F.when(given.endswith(".xml"), given).otherwise(F.concat_ws("/", given, F.lit("pom.xml")))
+    wanted = poms.select("pom", "parent_gav", norm_path(F.concat_ws("/", folder, given)).alias("_at"))
+    found = wanted.join(by_gav, "parent_gav", "left").join(by_path, "_at", "left")
+    # A file is never its own parent.
+    near = F.when(F.col("_by_gav") != F.col("pom"), F.col("_by_gav"))
+    far = F.when(F.col("_by_path") != F.col("pom"), F.col("_by_path"))
+    asked = F.col("parent_gav").isNotNull()
+    how = F.when(~asked, "none").when(near.isNotNull(), "repository").when(far.isNotNull(), "path").otherwise("missing")
+    return found.select("pom", F.when(asked, F.coalesce(near, far)).alias("parent"), how.alias("how"))
+
+
 def parent_chain(poms: DataFrame) -> DataFrame:
-    """(pom, ancestor, hop): each build file with itself and its parents, child first, at most ten hops.
+    """(pom, ancestor, hop): each build file with itself and its parents, child first, at most ten hops; a file comes once in a chain.
 
-    poms: (pom, parent). A parent that is no row of poms ends the chain; missing_parents() lists it.
+    poms: (pom, parent), as link_parents() finds them. A parent that is no row of poms ends the chain;
+    missing_parents() lists it.
     """
     links = cut(poms.select(F.col("pom").alias("ancestor"), "parent"))
-    chain = level = cut(poms.select("pom", F.col("pom").alias("ancestor"), F.lit(0).alias("hop")))
+    chain = level = cut(poms.select("pom", F.col("pom").alias("ancestor"), F.lit(0).alias("hop"), F.array("pom").alias("_seen")))
     for hop in range(1, MOST_HOPS + 1):
-        up = level.join(links.filter("parent IS NOT NULL"), "ancestor").select("pom", F.col("parent").alias("ancestor"))
-        level = cut(up.join(links.select("ancestor"), "ancestor", "left_semi").select("pom", "ancestor", F.lit(hop).alias("hop")))
+        up = level.join(links.filter("parent IS NOT NULL"), "ancestor").filter(~F.array_contains("_seen", F.col("parent")))
+        up = up.select("pom", F.col("parent").alias("ancestor"), F.lit(hop).alias("hop"), F.concat("_seen", F.array("parent")).alias("_seen"))
+        level = cut(up.join(links.select("ancestor"), "ancestor", "left_semi"))
         if level.isEmpty():
             break
         chain = chain.unionByName(level)
-    return chain
+    return chain.drop("_seen")
 
 
 def missing_parents(poms: DataFrame) -> DataFrame:
@@ -31,10 +66,33 @@ def missing_parents(poms: DataFrame) -> DataFrame:
     return poms.filter("parent IS NOT NULL").join(poms.select(F.col("pom").alias("parent")), "parent", "left_anti").select("pom", "parent")
 
 
-def effective_props(chain: DataFrame, props: DataFrame) -> DataFrame:
-    """(pom, key, value): properties of the nearest build file in the chain. props: (pom, key, value)."""
+def builtin_props(chain: DataFrame, coordinates: DataFrame) -> DataFrame:
+    """(pom, key, value): the project.* properties of build files, from their own coordinates and those of their parents.
+
+    coordinates: (pom, group_id, artifact_id, version). A file without a group has its parent's.
+    """
+    own = coordinates.select(F.col("pom").alias("ancestor"), "group_id", "artifact_id", "version")
+    rows = chain.filter("hop <= 1").join(own, "ancestor").select("pom", "hop", "group_id", "artifact_id", "version")
+    of = lambda c, hop: F.max(F.when(F.col("hop") == hop, F.when(F.col(c) != "", F.col(c))))
+    wide = rows.groupBy("pom").agg(*[of(c, hop).alias(f"{c}_{hop}") for c in ("group_id", "artifact_id", "version") for hop in (0, 1)])
+    values = {
+        "project.version": F.col("version_0"), "project.groupId": F.coalesce("group_id_0", "group_id_1"), "project.artifactId": F.col("artifact_id_0"),
+        "project.parent.version": F.col("version_1"), "project.parent.groupId": F.col("group_id_1"), "project.parent.artifactId": F.col("artifact_id_1"),
+    }
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in values.items()])).alias("p")
+    return wide.select("pom", pairs).select("pom", "p.key", "p.value").filter("value IS NOT NULL")
+
+
+def effective_props(chain: DataFrame, props: DataFrame, builtin: DataFrame | None = None) -> DataFrame:
+    """(pom, key, value): properties of the nearest build file in the chain. props: (pom, key, value).
+
+    builtin: builtin_props(), which count over properties of the same name.
+    """
     own = props.withColumnRenamed("pom", "ancestor")
-    return chain.join(own, "ancestor").groupBy("pom", "key").agg(F.min_by("value", "hop").alias("value"))
+    rows = chain.join(own, "ancestor").select("pom", "key", "value", "hop")
+    if builtin is not None:
+        rows = rows.unionByName(builtin.select("pom", "key", "value", F.lit(-1).alias("hop")))
+    return rows.groupBy("pom", "key").agg(F.min_by("value", "hop").alias("value"))
 
 
 def props_map(props: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from callscope.functions import sig
 from callscope.operators import entries as en
 from callscope.operators import search
+from callscope.operators.freq import numbered
 from callscope.plans import testviews as tv
 from callscope.plans.graph_queries import M_SQL
 from callscope.plans.registry import query
@@ -102,13 +103,33 @@ def entry_fingerprint(spark, sf_dir):
 FILES = "SELECT o_custkey AS project, o_orderpriority AS dir, concat('C', CAST(o_orderkey AS VARCHAR(20)), '.class') AS path, CAST(o_orderkey * 1000 AS BIGINT) AS mtime, CAST(o_orderkey % 977 AS BIGINT) AS size FROM {orders}"
 
 
-@query(
-    "project_fingerprint",
-    f"""WITH f AS {tv.plain(FILES)}, d AS (SELECT project, dir, sha1(string_agg(concat(path, ':', mtime, ':', size), ',' ORDER BY concat(path, ':', mtime, ':', size))) AS h FROM f GROUP BY project, dir)
-    SELECT project, sha1(concat('v1|', string_agg(concat(dir, '=', h), '|' ORDER BY concat(dir, '=', h)))) AS fingerprint FROM d GROUP BY project""",
-)
+#: Commits, build files and rules of the projects of FILES; some have none.
+COMMITS = "SELECT c_custkey AS project, CASE WHEN c_custkey % 5 > 0 THEN md5(c_name) END AS commit FROM {customer}"
+BUILDS = "SELECT o_custkey AS project, concat('m', CAST(o_orderkey % 7 AS VARCHAR(9)), '/pom.xml') AS path, md5(CAST(min(o_orderkey) AS VARCHAR(20))) AS hash FROM {orders} WHERE o_orderkey % 2 = 0 GROUP BY o_custkey, o_orderkey % 7"
+IN_FORCE = """SELECT o_custkey AS project, CASE WHEN o_orderkey % 3 = 0 THEN 'P' ELSE 'G' END AS layer, concat('r', CAST(o_orderkey AS VARCHAR(20))) AS id, 'get' AS method_pattern, '' AS class_pattern, 'ALL' AS source,
+  CASE WHEN o_orderkey % 2 = 0 THEN 1 END AS param_count, o_orderkey % 5 > 0 AS enabled FROM {orders} WHERE o_orderstatus = 'F'"""
+PARTS_SQL = f"""f AS {tv.plain(FILES)}, d AS (SELECT project, dir, sha1(string_agg(concat(path, ':', mtime, ':', size), ',' ORDER BY concat(path, ':', mtime, ':', size))) AS h FROM f GROUP BY project, dir),
+  k AS (SELECT project, string_agg(concat(dir, '=', h), '|' ORDER BY concat(dir, '=', h)) AS classes FROM d GROUP BY project), g AS {tv.plain(COMMITS)}, b0 AS {tv.plain(BUILDS)},
+  b AS (SELECT project, string_agg(concat(path, '=', hash), ';' ORDER BY concat(path, '=', hash)) AS build FROM b0 GROUP BY project), r0 AS {tv.plain(IN_FORCE)},
+  r1 AS (SELECT project, concat('{{"layer":"', layer, '","id":"', id, '","method_pattern":"get","class_pattern":"","source":"ALL","param_count":', CASE WHEN param_count IS NULL THEN 'null' ELSE concat('"', param_count, '"') END, ',"enabled":"', enabled, '"}}') AS body FROM r0),
+  r AS (SELECT project, sha1(string_agg(body, ',' ORDER BY body)) AS rules FROM r1 GROUP BY project),
+  p AS (SELECT project, sha1(concat('v2|git=', coalesce(g.commit, '-'), '|build=', coalesce(build, '-'), '|classes=', coalesce(classes, '-'), '|rules=', coalesce(rules, '-'))) AS fingerprint FROM g LEFT JOIN k USING (project) LEFT JOIN b USING (project) LEFT JOIN r USING (project))"""
+
+
+def fingerprints(spark, sf_dir):
+    parts = [tv.view(spark, sf_dir, x) for x in (FILES, COMMITS, BUILDS, IN_FORCE)]
+    return en.project_fingerprint(*parts)
+
+
+@query("project_fingerprint", f"WITH {PARTS_SQL} SELECT * FROM p")
 def project_fingerprint(spark, sf_dir):
-    return en.project_fingerprint(tv.view(spark, sf_dir, FILES))
+    return fingerprints(spark, sf_dir)
+
+
+@query("analysis_fingerprint", f"WITH {PARTS_SQL} SELECT project, o_orderkey::VARCHAR AS key, sha1(concat(fingerprint, '|', o_orderkey, '|20|50000|ALL')) AS fingerprint FROM orders JOIN p ON o_custkey = project")
+def analysis_fingerprint(spark, sf_dir):
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("project"), F.col("o_orderkey").cast("string").alias("key"))
+    return en.analysis_fingerprint(keys, fingerprints(spark, sf_dir), 20, 50_000, "ALL")
 
 
 @query("project_status", f"WITH p AS {tv.plain(tv.PROJECTS)} SELECT project, CASE WHEN missing = 1 THEN 'MISSING' WHEN class_time IS NULL OR source_time > class_time + INTERVAL 5 MINUTE THEN 'NEEDS_COMPILE' WHEN analysed = 0 THEN 'NEEDS_ANALYZE' ELSE 'UP_TO_DATE' END AS state FROM p")
@@ -127,15 +148,13 @@ def latest_result(spark, sf_dir):
     """WITH b AS (SELECT c_custkey AS id, c_name AS name, TIMESTAMP '2020-01-01' AS last_opened_at, 0 AS v FROM customer
       UNION ALL SELECT * FROM (SELECT o_custkey, 'opened', max(o_orderdate)::TIMESTAMP, 1 FROM orders GROUP BY o_custkey)),
     u AS (SELECT id, name, last_opened_at FROM b QUALIFY row_number() OVER (PARTITION BY id ORDER BY v DESC, last_opened_at DESC) = 1)
-    SELECT id, name, row_number() OVER (ORDER BY last_opened_at DESC, id)::INTEGER AS place FROM u QUALIFY place <= 100""",
+    SELECT id, name, row_number() OVER (ORDER BY last_opened_at DESC, id)::INTEGER AS place FROM u""",
 )
 def projects_sorted(spark, sf_dir):
-    from callscope.operators.freq import with_rank
-
     stored = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.expr("TIMESTAMP '2020-01-01 00:00:00'").alias("last_opened_at"))
     opened = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_orderdate").cast("timestamp").alias("last_opened_at")).withColumn("name", F.lit("opened"))
     rows = en.upsert_projects(stored, opened, ["id", "name", "last_opened_at"])
-    return with_rank(rows, 100, F.desc("last_opened_at"), "id").select("id", "name", F.col("rank").alias("place"))
+    return numbered(rows, "place", F.desc("last_opened_at"), "id").select("id", "name", "place")
 
 
 @query("tail_log", f"WITH l AS {tv.plain(tv.LOGS)} SELECT job, trim(line) AS line, event_id FROM l WHERE trim(line) <> '' QUALIFY row_number() OVER (PARTITION BY job ORDER BY ts DESC, event_id DESC) <= 60")
@@ -145,12 +164,12 @@ def tail_log(spark, sf_dir):
 
 @query(
     "unique_labels",
-    f"""WITH {M_SQL}, b AS (SELECT method_id, substr(concat(split_part(owner, '/', -1), '#', name), 1, 31) AS base FROM m WHERE method_id <= 200),
+    f"""WITH {M_SQL}, b AS (SELECT method_id, substr(concat(split_part(owner, '/', -1), '#', name), 1, 31) AS base FROM m),
     k AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY method_id) AS k FROM b)
     SELECT method_id, CASE WHEN k = 1 THEN base ELSE concat(substr(base, 1, least(length(base), 31 - length(concat('(', k, ')')))), '(', k, ')') END AS label FROM k""",
 )
 def unique_labels(spark, sf_dir):
-    rows = methods(spark, sf_dir).filter("method_id <= 200").select("method_id", F.concat(sig.simple_name(F.col("owner")), F.lit("#"), F.col("name")).alias("base"), F.col("method_id").alias("ord"))
+    rows = methods(spark, sf_dir).select("method_id", F.concat(sig.simple_name(F.col("owner")), F.lit("#"), F.col("name")).alias("base"), F.col("method_id").alias("ord"))
     return en.unique_labels(rows).select("method_id", "label")
 
 

@@ -33,10 +33,45 @@ def parent_chain(spark, sf_dir):
     return poms.parent_chain(fleet(spark, sf_dir))
 
 
-@query("effective_props", f"{PROPS_SQL}, f AS (SELECT pom, max(CASE key WHEN 'k0' THEN value END) AS k0, max(CASE key WHEN 'k1' THEN value END) AS k1, max(CASE key WHEN 'k2' THEN value END) AS k2 FROM eff GROUP BY pom) SELECT pom, key, replace(replace(replace(value, '${{k0}}', coalesce(k0, '${{k0}}')), '${{k1}}', coalesce(k1, '${{k1}}')), '${{k2}}', coalesce(k2, '${{k2}}')) AS value FROM eff JOIN f USING (pom)".replace("{{", "{").replace("}}", "}"))
+#: Coordinates: supplier files have no group of their own. Every third one names its parent by a relative path only.
+COORDINATES = "SELECT pom, CASE WHEN substr(pom, 1, 1) <> 's' THEN concat('g.', pom) END AS group_id, concat('a-', pom) AS artifact_id, concat('1.', CAST(num AS VARCHAR(9))) AS version FROM {p}"
+FILES = """SELECT pom, CASE substr(pom, 1, 1) WHEN 'r' THEN concat('/src/', pom, '/pom.xml') WHEN 'n' THEN concat('/src/', parent, '/', pom, '/pom.xml') ELSE concat('/src/all/', parent, '/', pom, '/./pom.xml') END AS path,
+  concat('g:', pom) AS gav, CASE WHEN parent IS NOT NULL THEN CASE WHEN num % 3 = 0 THEN concat('lost:', parent) ELSE concat('g:', parent) END END AS parent_gav, CASE WHEN substr(pom, 1, 1) = 's' AND num % 2 = 0 THEN concat('../../../r', CAST(num % 5 AS VARCHAR(9))) END AS relative_path FROM {p}"""
+
+
+@query(
+    "link_parents",
+    f"""{P_SQL}, q AS (SELECT pom, parent, num, substr(pom, 1, 1) AS k FROM p) SELECT pom, CASE WHEN parent IS NULL THEN NULL WHEN num % 3 > 0 THEN parent WHEN k = 'n' THEN parent WHEN k = 's' AND num % 2 = 0 THEN concat('r', num % 5) END AS parent,
+    CASE WHEN parent IS NULL THEN 'none' WHEN num % 3 > 0 THEN 'repository' WHEN k = 'n' OR num % 2 = 0 THEN 'path' ELSE 'missing' END AS how FROM q""",
+)
+def link_parents(spark, sf_dir):
+    return poms.link_parents(spark.sql(FILES, p=fleet(spark, sf_dir)))
+
+
+BUILTIN_SQL = f"""co AS ({COORDINATES.format(p='p')}), bp AS (SELECT p.pom, unnest([('project.version', o.version), ('project.groupId', coalesce(o.group_id, u.group_id)), ('project.artifactId', o.artifact_id),
+  ('project.parent.version', u.version), ('project.parent.groupId', u.group_id), ('project.parent.artifactId', u.artifact_id)]) AS kv FROM p JOIN co o ON o.pom = p.pom LEFT JOIN co u ON u.pom = p.parent),
+  bi AS (SELECT pom, kv[1] AS key, kv[2] AS value FROM bp WHERE kv[2] IS NOT NULL)"""
+
+
+@query("builtin_props", f"{P_SQL}, {BUILTIN_SQL} SELECT * FROM bi")
+def builtin_props(spark, sf_dir):
+    p = fleet(spark, sf_dir)
+    return poms.builtin_props(poms.parent_chain(p), spark.sql(COORDINATES, p=p))
+
+
+#: A property that names a built-in one, beside the others.
+OWN = "SELECT pom, 'next' AS key, concat('$', '{{project.version}}+$', '{{project.parent.artifactId}}') AS value FROM {p}"
+
+
+@query(
+    "effective_props",
+    f"""{PROPS_SQL}, {BUILTIN_SQL}, x AS (SELECT * FROM eff UNION ALL SELECT * FROM bi UNION ALL SELECT * FROM ({OWN.format(p='p')})), f AS (SELECT pom, {", ".join(f"max(CASE key WHEN '{k}' THEN value END) AS {c}" for k, c in (("k0", "k0"), ("k1", "k1"), ("k2", "k2"), ("project.version", "v"), ("project.parent.artifactId", "pa")))} FROM x GROUP BY pom)
+    SELECT pom, key, replace(replace(replace(replace(replace(value, '${{k0}}', coalesce(k0, '${{k0}}')), '${{k1}}', coalesce(k1, '${{k1}}')), '${{k2}}', coalesce(k2, '${{k2}}')), '${{project.version}}', v), '${{project.parent.artifactId}}', coalesce(pa, '${{project.parent.artifactId}}')) AS value FROM x JOIN f USING (pom)""".replace("{{", "{").replace("}}", "}"),
+)
 def effective_props(spark, sf_dir):
     p = fleet(spark, sf_dir)
-    found = poms.effective_props(poms.parent_chain(p), spark.sql(PROPS, p=p))
+    chain, props = poms.parent_chain(p), spark.sql(PROPS, p=p).union(spark.sql(OWN, p=p))
+    found = poms.effective_props(chain, props, poms.builtin_props(chain, spark.sql(COORDINATES, p=p)))
     return found.join(poms.props_map(found), "pom").select("pom", "key", poms.substitute(F.col("value"), F.col("props")).alias("value"))
 
 

@@ -42,8 +42,20 @@ def read_noise_rules(spark: SparkSession, paths: list[str]) -> tuple[DataFrame,
 
 
 def read_poms(spark: SparkSession, path: str) -> DataFrame:
-    """Build files as rows: own and parent coordinates, properties, managed and declared dependencies."""
-    return spark.read.format("xml").option("rowTag", "project").schema(POM).load(path)
+    """Build files as rows: path, own and parent coordinates, properties, managed and declared dependencies."""
+    rows = spark.read.format("xml").option("rowTag", "project").schema(POM).load(path)
+    return rows.select(F.col("_metadata.file_path").alias("path"), "*")
+
+
+def pom_links(poms: DataFrame) -> DataFrame:
+    """(pom, path, gav, parent_gav, relative_path) of read_poms(), for poms.link_parents(); a file is named by its path.
+
+    A file without a group or version has its parent's.
+    """
+    gav = lambda *parts: F.when(F.greatest(*[p.isNull() for p in parts]), F.lit(None)).otherwise(F.concat_ws(":", *parts))
+    parent = [F.col(f"parent.{c}") for c in ("groupId", "artifactId", "version")]
+    own = F.coalesce("groupId", parent[0]), F.col("artifactId"), F.coalesce("version", parent[2])
+    return poms.select(F.col("path").alias("pom"), "path", gav(*own).alias("gav"), gav(*parent).alias("parent_gav"), F.col("parent.relativePath").alias("relative_path"))
 
 
 def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
