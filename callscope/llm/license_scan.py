@@ -16,21 +16,98 @@ PHRASES = (
     ("apache-2", "apache license version 2"),
     ("cc-by-nc", "cc by nc"),
 )
-#: Notices of public licences, in words.
+#: Texts and notices of public licences. Their words count only, see words_of().
 TEMPLATES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
-    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("gpl-3", "licensed under the gnu general public license version 3"),
-    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
-    ("gpl-2", "licensed under the gnu general public license version 2"),
-    ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("bsd", "released under the bsd license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    (
+        "mit",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+        in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software,
+        and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included
+        in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+        WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR
+        OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    ),
+    (
+        "bsd-3-clause",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source
+        code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
+        this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor
+        the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE
+        COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A
+        PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+        DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+        LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+        POSSIBILITY OF SUCH DAMAGE.""",
+    ),
+    (
+        "bsd-2-clause",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source
+        code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
+        this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS
+        AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+        DISCLAIMED.""",
+    ),
+    (
+        "isc",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this
+        permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+        MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF
+        USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    ),
+    (
+        "zlib",
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+        Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+        restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an
+        acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as
+        being the original software. 3. This notice may not be removed or altered from any source distribution.""",
+    ),
+    (
+        "unlicense",
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in
+        source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of
+        this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of
+        our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.""",
+    ),
+    (
+        "bsl-1.0",
+        """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the
+        "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the
+        Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction
+        and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works
+        are solely in the form of machine-executable object code generated by a source language processor.""",
+    ),
+    (
+        "apache-2",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+        http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+        WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    ),
+    (
+        "gpl-3",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either
+        version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+        warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    ),
+    (
+        "gpl-2",
+        """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either
+        version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+        warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    ),
+    (
+        "lgpl-2.1",
+        """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation;
+        either version 2.1 of the License, or (at your option) any later version.""",
+    ),
+    ("mpl-2", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"""),
+    ("epl-2", """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"""),
+    ("gpl-3", "licensed under the GNU General Public License version 3"),
+    ("gpl-2", "licensed under the GNU General Public License version 2"),
+    ("bsd", "released under the BSD license"),
+    ("cc-by", "licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-sa", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc0", "dedicated to the public domain under the Creative Commons CC0 1.0 Universal Public Domain Dedication"),
 )
 #: Upper case becomes lower case; ASCII that is no letter or digit becomes a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -45,23 +122,24 @@ class Automaton:
     """The generalised suffix automaton of several word sequences.
 
     A state stands for the factors that end at the same places. It knows its transitions, the
-    length of its longest factor, its suffix link, and for each sequence that has the factors the first
-    place where they end.
+    length of its longest factor, its suffix link, and for each sequence that has the factors all
+    places where they end, if its longest factor has at least `least` words.
     """
 
-    def __init__(self, sequences: list[list[bytes]]):
+    def __init__(self, sequences: list[list[bytes]], least: int = 1):
         self.next: list[dict[bytes, int]] = [{}]
         self.length, self.link = [0], [-1]
-        self.ends: list[dict[int, int]] = [{}]
+        self.ends: list[dict[int, list[int]]] = [{}]
         for k, sequence in enumerate(sequences):
             last = 0
             for at, word in enumerate(sequence):
                 last = self._extend(last, word)
-                self.ends[last].setdefault(k, at + 1)
+                self.ends[last].setdefault(k, []).append(at + 1)
         for state in sorted(range(1, len(self.next)), key=self.length.__getitem__, reverse=True):
-            up = self.ends[self.link[state]]
-            for k, at in self.ends[state].items():
-                up[k] = min(at, up.get(k, at))
+            if self.length[self.link[state]] >= least:
+                up = self.ends[self.link[state]]
+                for k, places in self.ends[state].items():
+                    up[k] = sorted({*places, *up.get(k, ())})
 
     def _state(self, length: int, nxt: dict[bytes, int], link: int) -> int:
         self.next.append(nxt)
@@ -99,10 +177,10 @@ class Scanner:
 
     def __init__(self, phrases=PHRASES, templates=TEMPLATES, least: int = 4, gap: int = 8, coverage: float = 0.6):
         self.labels = [label for label, _ in (*phrases, *templates)]
-        sequences = [text.encode().split() for _, text in (*phrases, *templates)]
+        sequences = [words_of(text.encode()) for _, text in (*phrases, *templates)]
         self.sizes, self.n_phrases = [len(s) for s in sequences], len(phrases)
         self.least, self.gap, self.coverage = least, gap, coverage
-        self.automaton = Automaton(sequences)
+        self.automaton = Automaton(sequences, least)
         # The phrases that are suffixes of a state's longest factor.
         self.closed: list[list[int]] = [[] for _ in self.automaton.next]
         for k in range(self.n_phrases):
@@ -144,21 +222,28 @@ class Scanner:
         return places, self.chains(matches) if matches else []
 
     def chains(self, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
-        """Matches of one template with at most `gap` words between them, as spans with their coverage."""
-        open_: dict[int, list[int]] = {}  # template: first word, end, covered template words as bits
+        """Matches of one template with at most `gap` words between them, as spans with their coverage.
+
+        A match that stands at several places of the template counts at the next one in the template's order; if
+        there is none, at the one that covers most new words, of equal ones at the first.
+        """
+        open_: dict[int, list[int]] = {}  # template: first word, end, covered template words as bits, end in the template
         done: list[tuple[int, int, int, float]] = []
 
         def close(k: int) -> None:
-            first, end, bits = open_.pop(k)
+            first, end, bits, _ = open_.pop(k)
             done.append((k, first, end, bits.bit_count() / self.sizes[k]))
 
         for end, size, state in matches:
-            for k, at in self.automaton.ends[state].items():
-                bits = ((1 << size) - 1) << (at - size)
+            for k, places in self.automaton.ends[state].items():
                 if k in open_ and end - size - open_[k][1] > self.gap:
                     close(k)
-                chain = open_.setdefault(k, [end - size, end, 0])
-                chain[1], chain[2] = end, chain[2] | bits
+                chain = open_.setdefault(k, [end - size, end, 0, 0])
+                block = (1 << size) - 1
+                at = next((p for p in places if p - size >= chain[3]), None)
+                if at is None:
+                    at = max(places, key=lambda p: ((block << (p - size) & ~chain[2]).bit_count(), -p))
+                chain[1:] = end, chain[2] | block << (at - size), at
         for k in list(open_):
             close(k)
         return done
@@ -193,7 +278,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     phrase. options: see Scanner.
 
     Null and empty texts have no words, empty labels, null places and score 0. Rows are scanned one
-    by one: repeated rows repeat their result, and an empty table gives an empty result.
+    by one: repeated rows repeat their result, and an empty table gives an empty result. Only the id and
+    text columns are read, so other names cannot clash.
     """
     rows = docs.select(F.col(quoted(id_col)).alias("id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).cast("binary").alias("text"))
 

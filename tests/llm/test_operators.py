@@ -268,13 +268,67 @@ def test_license_scan(docs, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def brute_chains(scanner, sequences, w):
+    """Spans of chained matches by comparing with every factor of every sequence."""
+    places = lambda s, f: [j for j in range(len(f), len(s) + 1) if s[j - len(f) : j] == f]
+    longest = [max(n for n in range(i + 1) if n == 0 or any(places(s, w[i - n : i]) for s in sequences)) for i in range(len(w) + 1)]
+    found, done = {}, []
+    for i in range(1, len(w) + 1):
+        n = longest[i]
+        if n < scanner.least or (i < len(w) and longest[i + 1] == n + 1):
+            continue
+        for k, s in enumerate(sequences):
+            ends = places(s, w[i - n : i])
+            if not ends:
+                continue
+            if k in found and i - n - found[k][1] > scanner.gap:
+                done.append((k, found[k][0], found[k][1], len(found[k][2]) / len(s)))
+                del found[k]
+            first, _, covered, last = found.get(k, (i - n, i, frozenset(), 0))
+            later = [e for e in ends if e - n >= last]
+            at = later[0] if later else max(ends, key=lambda e: (len(set(range(e - n, e)) - covered), -e))
+            found[k] = (first, i, covered | set(range(at - n, at)), at)
+    return sorted([*done, *((k, f, e, len(c) / len(sequences[k])) for k, (f, e, c, _) in found.items())])
+
+
+def test_license_chains_against_brute_force():
+    rng = random.Random(21)
+    for _ in range(150):
+        texts = [" ".join(rng.choice("abcdef") for _ in range(rng.randrange(5, 25))) for _ in range(3)]
+        scanner = license_scan.Scanner(phrases=(("p", "a b"),), templates=tuple((f"t{k}", t) for k, t in enumerate(texts)), least=2, gap=3, coverage=0.5)
+        parts = [rng.choice(texts).split()[rng.randrange(5) : rng.randrange(6, 25)] if rng.random() < 0.6 else [rng.choice("abxyz") for _ in range(rng.randrange(6))] for _ in range(5)]
+        w = [x.encode() for part in parts for x in part]
+        sequences = [license_scan.words_of(t.encode()) for t in ("a b", *texts)]
+        places, spans = scanner.scan(w)
+        wanted = brute_chains(scanner, sequences, w)
+        assert sorted(spans) == wanted
+        assert sorted(places) == [(k, 0) for k in range(len(w) - 1) if w[k : k + 2] == [b"a", b"b"]]
+        row = scanner.report(b" ".join(w))
+        assert row["labels"] == ",".join(sorted({scanner.labels[k] for k, _, _, c in wanted if c >= 0.5} | ({"p"} if places else set())))
+        assert row["score"] == max([c for *_, c in wanted] + [1.0] * bool(places), default=0.0)
+
+
+def test_license_texts():
+    """Each text with its words changed here and there is found, with no other label of the longer texts."""
+    scanner = license_scan.Scanner()
+    for label, text in license_scan.TEMPLATES[:8]:
+        w = license_scan.words_of(text.encode())
+        changed = [b"changed" if k % 25 == 24 else x for k, x in enumerate(w)]
+        row = scanner.report(b"before " + b" ".join(changed) + b" after")
+        assert label in row["labels"].split(",") and 0.8 < row["score"]
+        assert not {"isc", "zlib", "unlicense", "bsl-1.0", "mit", "bsd-3-clause"} & set(row["labels"].split(",")) - {label}, (label, row["labels"])
+    # A sentence that stands twice in a text is covered twice.
+    twice = license_scan.Scanner(phrases=(), templates=(("t", "one two three four mid five six seven mid one two three four"),), least=4)
+    assert twice.report(b"one two three four x one two three four")["score"] == 8 / 13
+
+
 def test_license_chains():
     scanner = license_scan.Scanner()
-    words_ = license_scan.TEMPLATES[0][1].split()
-    broken = words_[:20] + ["something", "else"] + words_[22:]
-    row = scanner.report(("before " + " ".join(broken) + " after").encode())
+    words_ = license_scan.words_of(license_scan.TEMPLATES[0][1].encode())
+    broken = words_[:20] + [b"something", b"else"] + words_[22:]
+    row = scanner.report(b"before " + b" ".join(broken) + b" after")
     assert row["labels"] == "mit" and row["n_base"] == 0 and 0.9 < row["score"] < 1
-    assert scanner.report(" ".join(words_[:10]).encode())["labels"] == ""
+    assert scanner.report(b" ".join(words_[:10]))["labels"] == ""
     for seed in range(200):  # matching statistics against every factor
         rng = random.Random(seed)
         sequences = [[rng.choice("abc") for _ in range(rng.randrange(1, 12))] for _ in range(3)]
