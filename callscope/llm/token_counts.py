@@ -32,11 +32,12 @@ class Trie:
 
     The forward score is the least (cost, tokens) of a segmentation of the prefix. A character that is
     no piece can stand as its UTF-8 bytes, one token each, at a cost above any piece's. The trie is
-    cleared at `most_nodes` nodes, the terminal counts at `most_words`; memory is bounded by both.
+    cleared before a pre-token that would bring it above `most_nodes` nodes, the terminal counts at `most_words` words or
+    `most_bytes` bytes of them; memory is bounded by these and the longest pre-token.
     """
 
-    def __init__(self, pieces: dict[str, int], most_nodes: int = 600_000, most_words: int = 600_000):
-        self.most_nodes, self.most_words = most_nodes, most_words
+    def __init__(self, pieces: dict[str, int], most_nodes: int = 600_000, most_words: int = 600_000, most_bytes: int = 1 << 25):
+        self.most_nodes, self.most_words, self.most_bytes = most_nodes, most_words, most_bytes
         # Every suffix of a piece: the piece's cost, or -1 if only longer pieces end so.
         self.suffixes: dict[str, int] = {}
         for piece in pieces:
@@ -45,6 +46,7 @@ class Trie:
         self.suffixes |= pieces
         self.byte_cost = max(pieces.values(), default=0) + 1
         self.counts: dict[bytes, int] = {}
+        self.held = 0
         self.clear()
 
     def clear(self) -> None:
@@ -74,21 +76,18 @@ class Trie:
         if len(self.score) + len(text) > self.most_nodes:
             self.clear()
         nxt, score, node, scores = self.next, self.score, 0, [(0, 0)]
-        if len(text) <= 64:
-            for i in range(1, len(text) + 1):
-                key = node << 21 | ord(text[i - 1])
-                node = nxt.get(key)
-                if node is None:
-                    node = nxt[key] = len(score)
-                    score.append(self.forward(text, i, scores))
-                scores.append(score[node])
-        else:  # long runs share little and would fill the trie
-            for i in range(1, len(text) + 1):
-                scores.append(self.forward(text, i, scores))
-            return scores[-1][1]
-        if len(self.counts) >= self.most_words:
+        for i in range(1, len(text) + 1):
+            key = node << 21 | ord(text[i - 1])
+            node = nxt.get(key)
+            if node is None:
+                node = nxt[key] = len(score)
+                score.append(self.forward(text, i, scores))
+            scores.append(score[node])
+        if len(self.counts) >= self.most_words or self.held + len(word) > self.most_bytes:
             self.counts.clear()
+            self.held = 0
         self.counts[word] = scores[-1][1]
+        self.held += len(word)
         return scores[-1][1]
 
     def count(self, text: bytes) -> tuple[int, int]:
@@ -103,10 +102,11 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     A word is segmented on its own, after the mark of a word's start, into the pieces of the file at
     `path` with the least cost (see read_pieces), then the fewest tokens. This is a unigram segmentation
     with the file's vocabulary, not the merges that the file was made for. The pieces, of the
-    vocabulary's size, are broadcast. Each task keeps a trie of bounded size, and nothing is shuffled.
+    vocabulary's size, are broadcast. Each task inserts its distinct pre-tokens in a trie of bounded size, so
+    that nothing is shuffled: to share one trie of the whole corpus, all words would have to be.
 
     Null and blank texts have 0 words and tokens. Repeated rows repeat their result; an empty table
-    gives an empty result.
+    gives an empty result. Only the id and text columns are read, so other names cannot clash.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_pieces(path))
     rows = docs.select(F.col(quoted(id_col)).alias("id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).cast("binary").alias("text"))
