@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -60,11 +59,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df from a table written in the folder that all executors share."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+def table_folder(spark: SparkSession) -> str:
+    """Where a run keeps its tables: spark.checkpoint.dir itself, which a later application finds again, or the session's own folder."""
+    return spark.conf.get("spark.checkpoint.dir", None) or shared_folder(spark)
+
+
+def _located(spark: SparkSession, path: str):
+    """A path and its file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
+
+
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    system, where = _located(spark, f"{path}/_SUCCESS")
+    return system.exists(where)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    system, where = _located(spark, path)
+    system.delete(where, True)
 
 
 def bucket_count(rows: int, per_bucket: int = 2000, least: int = 64) -> int:

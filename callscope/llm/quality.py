@@ -8,8 +8,15 @@ from pyspark.sql import functions as F
 from callscope.llm.common import packed, quoted, unpacked, words_of
 
 SYMBOLS = "[#*$%&|<>]"
-#: Phrases of page furniture, matched in lines of at most BOILERPLATE_WORDS words.
-BOILERPLATE = r"(?i)all rights reserved|cookie policy|privacy policy|terms of (?:use|service)|enable javascript|lorem ipsum|click here|sign up|subscribe (?:now|to)|skip to (?:main )?content|back to top|share (?:this|on)"
+#: Phrases of page furniture in English, French, German and Spanish, matched in lines of at most BOILERPLATE_WORDS words.
+BOILERPLATE = (
+    r"(?i)(?:^|[^A-Za-z])(?:"
+    r"all rights reserved|cookie policy|privacy policy|terms of (?:use|service)|enable javascript|lorem ipsum|click here|sign up|subscribe (?:now|to)|skip to (?:main )?content|back to top|share (?:this|on)"
+    r"|tous droits r[éÉ]serv[éÉ]s|politique de confidentialit[éÉ]|conditions d.utilisation|mentions l[éÉ]gales|cliquez ici|retour en haut|partager sur|accepter les cookies"
+    r"|alle rechte vorbehalten|datenschutzerkl[äÄ]rung|nutzungsbedingungen|impressum|hier klicken|zum seitenanfang|cookie-richtlinie|jetzt abonnieren"
+    r"|todos los derechos reservados|pol[íÍ]tica de (?:privacidad|cookies)|t[éÉ]rminos y condiciones|aviso legal|haga clic|volver arriba|compartir en|suscr[íÍ]bete"
+    r")"
+)
 BOILERPLATE_WORDS = 20
 
 
@@ -49,13 +56,14 @@ def failing_line(line: Column) -> Column:
     Punctuation: no mark of a sentence at all in a line of five words or more, or one run of
     `!` or `?` for every five words. Boilerplate: a short line with a phrase of page furniture.
     """
+    # Each part tests what few lines have first, so that words are counted in these only.
     n_words = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
+    more_than = lambda n: line.rlike(rf"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){{{n}}}[^\x20\x09-\x0D]")
     navigation = line.rlike(r"(?:[|»›>][^|»›>]*){2}|[|»›>][\x20\x09-\x0D]*\z")
-    symbols = 4 * F.length(F.regexp_replace(line, "[^#*$%&|<>]+", "")) >= n_words
-    symbols = symbols & line.rlike(SYMBOLS)
-    bare = (n_words >= 5) & ~line.rlike(r"[.!?:;…。！？]")
+    symbols = line.rlike(SYMBOLS) & (4 * F.length(F.regexp_replace(line, "[^#*$%&|<>]+", "")) >= n_words)
+    bare = ~line.rlike(r"[.!?:;…。！？]") & more_than(4)
     shouting = line.rlike(r"[!?]{2}") & (5 * F.regexp_count(line, F.lit(r"[!?]{2,}")) >= n_words)
-    return navigation | symbols | bare | shouting | ((n_words <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE))
+    return navigation | symbols | bare | shouting | (~more_than(BOILERPLATE_WORDS) & line.rlike(BOILERPLATE))
 
 
 def quality_rules(docs: DataFrame, max_lost: float = 0.5, text_col: str = "text") -> DataFrame:

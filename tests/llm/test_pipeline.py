@@ -37,6 +37,37 @@ def test_stages(spark, tmp_path):
     assert whole.count() == len(parts) and whole.distinct().count() == len(set(parts))
 
 
+def test_run_goes_on_after_its_last_stage(spark, tmp_path, monkeypatch):
+    """Lost in the third stage; the second run starts there, gives the whole result and leaves one table, which clean() deletes."""
+    import os
+
+    rows = [(k, f"This is document {k} of the run, and it has some more words than ten in it.", "en", "s", 70) for k in range(20)]
+    spark.createDataFrame(rows, COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
+    wanted = sorted(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    stages, began, broken = corpus_pipeline.STAGES, [], [True]
+
+    def watched(name, stage):
+        def f(spark, docs, sf_dir):
+            began.append(name)
+            if name == "near_duplicates" and broken[0]:
+                raise RuntimeError("lost")
+            return stage(spark, docs, sf_dir)
+
+        return name, f
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [watched(*s) for s in stages])
+    try:
+        corpus_pipeline.run(spark, str(tmp_path), "again")
+    except RuntimeError:
+        broken[0] = False
+    found = sorted(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path), "again").collect())
+    assert found == wanted and began == ["quality", "line_dedup", "near_duplicates", "near_duplicates", "mixing", "bpe"]
+    folder = corpus_pipeline.tables(spark, "again").removeprefix("file:")
+    assert os.listdir(folder) == ["3-mixing"]
+    corpus_pipeline.clean(spark, "again")
+    assert not os.path.exists(folder)
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
