@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callscope.llm.bpe import encode_documents
-from callscope.llm.common import stored
+from callscope.llm.common import delete, is_written, table_folder
 from callscope.llm.line_dedup import dedup_lines
 from callscope.llm.mixing import mix_sources
 from callscope.llm.near_duplicates import deduplicate
@@ -43,9 +45,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document of the mix, and the text that they decode to."""
+    """Token ids of every document of the mix, and digests of what they decode to."""
     found = encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return found.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return found.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), F.sha2("plain", 256).alias("plain_sha256"))
 
 
 STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("mixing", mixing), ("bpe", bpe)]
@@ -54,9 +56,29 @@ STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_duplicates",
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each written as a table that the next one reads."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+def tables(spark: SparkSession, run_id: str) -> str:
+    """The folder of a run's tables."""
+    return f"{table_folder(spark)}/pipeline-{run_id}"
+
+
+def run(spark: SparkSession, sf_dir: str, run_id: str | None = None) -> DataFrame:
+    """The stages applied to documents, each written as a table that the next one reads.
+
+    run_id names the tables; a run that was lost and starts again with the same id goes on after its last written
+    stage. A stage's table is deleted when the next one is written; clean() deletes the last, which the result reads.
+    Null ids and texts, repeated rows and an empty table go through every stage as its operator states.
+    """
+    folder = tables(spark, run_id or uuid.uuid4().hex)
+    paths = [f"{folder}/{k}-{name}" for k, (name, _) in enumerate(STAGES[:-1])]
+    done = max((k + 1 for k, path in enumerate(paths) if is_written(spark, path)), default=0)
+    for k in range(done, len(paths)):
+        docs = spark.read.parquet(paths[k - 1] if k else f"{sf_dir}/documents.parquet")
+        STAGES[k][1](spark, docs, sf_dir).write.mode("overwrite").parquet(paths[k])
+        if k:
+            delete(spark, paths[k - 1])
+    return STAGES[-1][1](spark, spark.read.parquet(paths[-1]), sf_dir)
+
+
+def clean(spark: SparkSession, run_id: str) -> None:
+    """Deletes what is left of a run's tables."""
+    delete(spark, tables(spark, run_id))
