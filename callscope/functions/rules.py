@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,20 +39,22 @@ BUILTIN = (
 RULE_COLUMNS = ["id", "name", "method_pattern", "class_pattern", "source", "param_count", "enabled"]
 
 
-def valid_regex(spark: SparkSession, pattern: str) -> bool:
-    """Whether Spark itself can use the pattern: it is tried on one row."""
-    try:
-        spark.range(1).select(F.col("id").cast("string").rlike(pattern)).collect()
-    except Exception as e:  # of the JVM, which names the pattern
-        if "PATTERN" not in str(e).upper():
-            raise
-        return False
-    return True
+def valid_patterns(spark: SparkSession, patterns: Sequence[str]) -> set[str]:
+    """Those of the patterns that the regex engine behind rlike() accepts."""
+    compiler, valid = spark._jvm.java.util.regex.Pattern, set()
+    for pattern in set(patterns):
+        try:
+            compiler.compile(pattern)
+            valid.add(pattern)
+        except IllegalArgumentException:
+            continue
+    return valid
 
 
 def usable(spark: SparkSession, rules: Sequence[Rule]) -> list[Rule]:
     """The rules whose patterns are valid; a bad pattern never matches."""
-    return [r for r in rules if all(valid_regex(spark, p) for p in (r.method, r.cls) if p)]
+    valid = valid_patterns(spark, [p for r in rules for p in (r.method, r.cls) if p])
+    return [r for r in rules if all(p in valid for p in (r.method, r.cls) if p)]
 
 
 def matches(rule: Rule, sig: Column, source: Column) -> Column:

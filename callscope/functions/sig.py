@@ -48,7 +48,7 @@ def param_types(desc: Column) -> Column:
 
     def one(d: Column) -> Column:
         base = F.regexp_replace(d, r"^\[+", "")
-        name = F.when(base.startswith("L"), short_name(F.rtrim(base, F.lit(";")))).otherwise(_lookup(PRIMITIVES, base))
+        name = F.when(base.startswith("L"), short_name(F.regexp_replace(base, "^L|;$", ""))).otherwise(_lookup(PRIMITIVES, base))
         return F.concat(name, F.repeat(F.lit("[]"), F.length(d) - F.length(base)))
 
     return F.transform(_params(desc), one)

@@ -268,10 +268,12 @@ def batch_entries(stats: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def batch_summary(stats: DataFrame, asked: DataFrame | None = None) -> DataFrame:
-    """The rows of batch_entries() summed up, and a total with a null entry_id: failed entries are counted, the total warns of them."""
+    """The rows of batch_entries() summed up, and a total with a null entry_id: failed entries are counted, the total warns of them.
+
+    An empty batch has no rows.
+    """
     rows = batch_entries(stats, stats if asked is None else asked)
     sums = [F.sum(c).alias(c) for c in ("n_nodes", "n_edges", "n_project", "n_dependency", "n_external")]
     found = rows.rollup("entry_id").agg(F.count(F.lit(1)).alias("n_entries"), *sums, F.bool_or("truncated").alias("truncated"), F.count_if("failed").alias("n_failed"), F.grouping("entry_id").alias("_total"))
     warning = F.when((F.col("_total") == 1) & (F.col("n_failed") > 0), F.concat(F.lit("批量分析中有 "), F.col("n_failed").cast("string"), F.lit(" 个入口失败，已跳过")))
-    # A total over no rows has no sums.
     return found.withColumn("warning", warning).fillna(0, ["n_nodes", "n_edges", "n_project", "n_dependency", "n_external"]).fillna(False, ["truncated"]).drop("_total")
