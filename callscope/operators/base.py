@@ -5,19 +5,24 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df from a checkpoint in the folder that all executors share, so that lineage does not grow.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of this session.
 
-    The folder is that of spark.checkpoint.dir; where it is not set, a local master gets a new one, as in tests, and a
+    It is that of spark.checkpoint.dir; where it is not set, a local master gets a new one, as in tests, and a
     cluster an error, as no folder of one machine can be shared.
     """
-    spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df from a checkpoint in the folder that all executors share, so that lineage does not grow."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

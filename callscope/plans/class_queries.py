@@ -158,6 +158,33 @@ def detect_rest(spark, sf_dir):
     return detect.detect_rest(*annotated(spark, sf_dir)).select("class_name", "method_name", "descriptor", "display")
 
 
+def services(spark, sf_dir):
+    """The classes of annotated(), marked as services in three ways."""
+    classes, m = annotated(spark, sf_dir)
+    marks = [f"struct('{name}' AS name, {values} AS values)" for name, values in zip(detect.SERVICES, ("map('interfaceClass', array(concat('Lorg/api/A', k, ';')))", "map('interfaceName', array(concat('org.api.B', k)))", "map('interfaceClass', array('Ljava/lang/Void;'))"), strict=True)]
+    keys = m.groupBy(F.col("owner").alias("class_name")).agg(F.min("method_id").alias("k"))
+    found = F.expr(f"CASE k % 4 WHEN 0 THEN array({marks[0]}) WHEN 1 THEN array({marks[1]}) WHEN 2 THEN array({marks[2]}) ELSE array() END").cast("array<struct<name:string,values:map<string,array<string>>>>")
+    return classes.join(keys, "class_name").withColumn("annotations", found).drop("k"), m
+
+
+@query(
+    "detect_dubbo",
+    f"""{M}, c AS (SELECT owner, min(method_id) AS k FROM m GROUP BY owner) SELECT replace(owner, '/', '.') AS class_name, name AS method_name, descriptor,
+    concat('dubbo: ', CASE k % 4 WHEN 0 THEN concat('org.api.A', k) WHEN 1 THEN concat('org.api.B', k) ELSE replace(owner, '/', '.') END, '#', name) AS display
+    FROM m JOIN c USING (owner) WHERE k % 4 < 3 AND name NOT LIKE '<%' AND access & 1 = 1 AND access & 8 = 0 AND access & 4160 = 0""",
+)
+def detect_dubbo(spark, sf_dir):
+    return detect.detect_dubbo(*services(spark, sf_dir)).select("class_name", "method_name", "descriptor", "display")
+
+
+STARTS = "SELECT owner, CASE WHEN method_id % 3 = 0 THEN 'main' ELSE name END AS name, CASE WHEN method_id % 2 = 0 THEN '([Ljava/lang/String;)V' ELSE descriptor END AS descriptor, access FROM {m}"
+
+
+@query("detect_main", f"{M}, s AS ({STARTS.format(m='m')}) SELECT replace(owner, '/', '.') AS class_name, concat('main: ', replace(owner, '/', '.')) AS display FROM s WHERE name = 'main' AND descriptor = '([Ljava/lang/String;)V' AND access & 9 = 9")
+def detect_main(spark, sf_dir):
+    return detect.detect_main(annotated(spark, sf_dir)[0], spark.sql(STARTS, m=methods(spark, sf_dir))).select("class_name", "display")
+
+
 RULES = (
     detect.ScanRule("api", "ANNOTATION_METHOD", detect.SPRING.replace("/", ".") + "GetMapping"),
     detect.ScanRule("promo", "PACKAGE", "com.acme.promo", recursive=False),
