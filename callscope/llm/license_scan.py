@@ -298,3 +298,27 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def op9_license_scan(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return scan_licenses(docs).withColumnRenamed("id", "doc_id").drop("spans")
+
+
+def license_phrases(spark, sf_dir: str) -> DataFrame:
+    """The part of op9_license_scan that SQL can state: the places of the phrases."""
+    return op9_license_scan(spark, sf_dir).drop("labels", "score")
+
+
+def _places(phrase: str) -> str:
+    """SQL: the places in the list w where the words of a phrase stand together."""
+    words = phrase.split()
+    return f"list_filter(range(greatest(0, len(w) - {len(words) - 1})), lambda i: w[i + 1:i + {len(words)}] = {words})"
+
+
+#: Lists of places by label.
+_LISTS = ", ".join(f"{_places(phrase)} AS p{k}" for k, (_, phrase) in enumerate(PHRASES))
+SQL = rf"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+placed AS (SELECT doc_id, w, {_LISTS} FROM words),
+found AS (SELECT *, list_concat({", ".join(f"p{k}" for k in range(len(PHRASES)))}) AS every FROM placed)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(every)::BIGINT AS n_base, list_min(every)::BIGINT AS first_word, list_max(every)::BIGINT AS last_word,
+  array_to_string(list_sort(list_filter([{", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, (label, _) in enumerate(PHRASES))}], lambda x: x IS NOT NULL)), ',') AS base_labels
+FROM found
+"""

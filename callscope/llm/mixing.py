@@ -108,3 +108,19 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return mix_sources(docs)
+
+
+def mix_targets(spark, sf_dir: str) -> DataFrame:
+    """The part of op7_mixing that SQL can state: sizes and targets."""
+    return op7_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+#: A source is full if the level that is left for it and for all with a larger cap by weight reaches its cap.
+SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, ([5, 2, 1])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM d GROUP BY source),
+r AS (SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER (ORDER BY 2 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(w) OVER (ORDER BY 2 * source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s),
+t AS (SELECT source, source_size, least(2 * source_size, coalesce((SELECT arg_min(level, 2 * source_size / w) FILTER (level * w < 2 * source_size) FROM r), 1e300) * w) AS target FROM r)
+SELECT doc_id, size, source_size, round(target, 3)::DOUBLE AS target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+"""

@@ -15,10 +15,17 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    # What SQL can state of three others.
+    "secret_forms": secrets.secret_forms,
+    "mix_targets": mixing.mix_targets,
+    "license_phrases": license_scan.license_phrases,
 }
 
 SQL = {
     "op1_quality_rules": quality.SQL,
     "op2_topk_search": topk_search.SQL,
     "op10_line_dedup": line_dedup.SQL,
+    "secret_forms": secrets.SQL,
+    "mix_targets": mixing.SQL,
+    "license_phrases": license_scan.SQL,
 }

@@ -152,3 +152,27 @@ def op4_secret_scan(spark, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda x: x.getField("kind") < len(KINDS))
     counts = [count(k).alias(f"n_{name}") for k, (name, *_) in enumerate(KINDS)]
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(joined_spans(base), 256).alias("base_sha256"), joined_spans(F.col("spans")).alias("spans"))
+
+
+def secret_forms(spark, sf_dir: str) -> DataFrame:
+    """The part of op4_secret_scan that SQL can state: the known forms."""
+    return op4_secret_scan(spark, sf_dir).drop("spans")
+
+
+def _matches_sql(k: int) -> str:
+    """SQL: the matches of a known form with the text before each."""
+    name, pattern, group, least = KINDS[k]
+    quoted_pattern = "'" + pattern.replace("'", "''") + "'"
+    of = lambda g: f"regexp_extract_all(t, {quoted_pattern}, {g})"
+    return f"SELECT doc_id, {k} AS k, '{name}' AS kind, {least} AS least, unnest({of(0)}) AS whole, unnest({of(group)}) AS value, unnest(regexp_split_to_array(t, {quoted_pattern})[1:len({of(0)})]) AS gap, generate_subscripts({of(0)}, 1) AS nth FROM d"
+
+
+SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(_matches_sql(k) for k in range(len(KINDS)))}),
+placed AS (SELECT *, sum(length(gap) + length(whole)) OVER (PARTITION BY doc_id, k ORDER BY nth) AS stop FROM m),
+good AS (SELECT doc_id, k, kind, (stop - length(whole))::BIGINT AS start, stop::BIGINT AS stop FROM placed WHERE length(value) >= least)
+SELECT d.doc_id, {", ".join(f"count(*) FILTER (k = {k})::BIGINT AS n_{KINDS[k][0]}" for k in range(len(KINDS)))},
+  sha256(coalesce(string_agg(concat(kind, ':', start, ':', stop), ',' ORDER BY start, k) FILTER (k IS NOT NULL), '')) AS base_sha256
+FROM d LEFT JOIN good ON good.doc_id = d.doc_id GROUP BY d.doc_id
+"""
