@@ -346,16 +346,35 @@ def filtered_sheet(spark, sf_dir):
     return report.filtered_sheet(frequency(spark, sf_dir), caller_texts(spark, sf_dir))
 
 
-@query("chain_rows")
+#: The listing as a recursion that moves every entry's depth-first walk on by one call: its path and next calls, what it has listed, and marks.
+CHAIN_SQL = f"""WITH RECURSIVE {E_SQL}, {R_SQL}, {M_SQL}, quiet AS MATERIALIZED (SELECT method_id FROM m WHERE {noise_sql(of=PRUNING)}),
+  a AS MATERIALIZED (SELECT from_id, list({{'to': to_id, 'invoke': invoke, 'line': line, 'quiet': to_id IN (FROM quiet)}} ORDER BY line, to_id) AS calls FROM e GROUP BY from_id),
+  walk(entry_id, stack, nxt, seen, levels, invokes, lines, cycles) USING KEY (entry_id) AS (
+    SELECT entry_id, [method_id], [1]::BIGINT[], [method_id], [0], [NULL]::VARCHAR[], [NULL]::INTEGER[], []::BIGINT[] FROM roots WHERE method_id NOT IN (FROM quiet)
+    UNION SELECT entry_id, CASE WHEN c IS NULL THEN stack[:-2] WHEN new THEN list_append(stack, c.to) ELSE stack END,
+      CASE WHEN c IS NULL THEN nxt[:-2] WHEN new THEN list_append(list_append(nxt[:-2], nxt[-1] + 1), 1) ELSE list_append(nxt[:-2], nxt[-1] + 1) END,
+      CASE WHEN new THEN list_append(seen, c.to) ELSE seen END, CASE WHEN new THEN list_append(levels, len(stack)::INTEGER) ELSE levels END,
+      CASE WHEN new THEN list_append(invokes, c.invoke) ELSE invokes END, CASE WHEN new THEN list_append(lines, c.line) ELSE lines END, CASE WHEN list_contains(stack, c.to) THEN list_append(cycles, c.to) ELSE cycles END
+    FROM (SELECT w.*, a.calls[nxt[-1]] AS c, coalesce(NOT (list_contains(seen, a.calls[nxt[-1]].to) OR a.calls[nxt[-1]].quiet OR len(stack) > {DEPTH}), false) AS new FROM walk w LEFT JOIN a ON a.from_id = stack[-1] WHERE len(stack) > 0) x),
+  listed AS (SELECT entry_id, unnest(range(len(seen))) AS ord, unnest(levels) AS level, unnest(seen) AS method_id, unnest(invokes) AS invoke, unnest(lines) AS line,
+    unnest(list_transform(seen, lambda x: CASE WHEN list_contains(cycles, x) THEN '{dfs.CYCLE}' ELSE '' END)) AS remark FROM walk)"""
+
+
+@query("chain_rows", f"{CHAIN_SQL} SELECT * FROM listed")
 def chain_rows(spark, sf_dir, max_nodes: int = graph.NODE_BUDGET):
-    """Order-exact listing within the node budget; SQL cannot state which visit of a method comes first. seq is the call's line, then the callee."""
+    """Order-exact listing within the node budget. seq is the call's line, then the callee."""
     nodes, inner, _ = graphs(spark, sf_dir)
     inner = graph.within_budget(nodes, inner, max_nodes)
     return dfs.chain_rows(roots(spark, sf_dir), inner.withColumn("seq", F.col("line").cast("long")), noise_methods(spark, sf_dir), DEPTH)
 
 
-@query("chain_sheet")
+@query(
+    "chain_sheet",
+    f"""{CHAIN_SQL} SELECT entry_id, ord, level, {DISPLAY_SQL} AS method, CASE source WHEN 'PROJECT' THEN '项目' WHEN 'DEPENDENCY' THEN '依赖' ELSE '外部' END AS source,
+    CASE invoke WHEN 'VIRTUAL' THEN '虚调用' WHEN 'STATIC' THEN '静态' WHEN 'INTERFACE' THEN '接口' ELSE '入口' END AS invoke, CASE WHEN line > 0 THEN line::VARCHAR ELSE '' END AS line,
+    concat_ws('；', CASE WHEN remark <> '' THEN remark END, CASE WHEN source = 'EXTERNAL' THEN '外部：类不在类路径' END) AS remarks FROM listed JOIN m USING (method_id)""",
+)
 def chain_sheet(spark, sf_dir):
-    """The listing as a report table; like chain_rows, SQL cannot state its order."""
+    """The listing as a report table."""
     named = methods(spark, sf_dir).select("method_id", sig.display(F.col("owner"), F.col("name"), F.col("descriptor")).alias("display"), "source")
     return report.chain_sheet(chain_rows(spark, sf_dir), named)
