@@ -22,7 +22,10 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df from a checkpoint in the folder that all executors share, so that lineage does not grow."""
+def cut(df: DataFrame, eager: bool = True) -> DataFrame:
+    """df from a checkpoint in the folder that all executors share, so that lineage does not grow.
+
+    With eager=False it is written by the first action on it, which saves a job where a loop looks at each step anyway.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    return df.checkpoint(eager)

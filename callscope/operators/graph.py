@@ -125,7 +125,7 @@ def walk(roots: DataFrame, edges: DataFrame, max_depth: int | None = None, max_n
         both = state.select("block", "method_id", "seen", none.alias("found")).unionByName(found)
         both = both.groupBy("block", "method_id").agg(F.bit_or("seen").alias("seen"), F.bit_or("found").alias("found"))
         new = F.col("found").bitwiseAND(F.bitwise_not("seen"))
-        state = cut(both.select("block", "method_id", F.col("seen").bitwiseOR(F.col("found")).alias("seen"), new.alias("new")))
+        state = cut(both.select("block", "method_id", F.col("seen").bitwiseOR(F.col("found")).alias("seen"), new.alias("new")), eager=False)
         added = state.filter("new <> 0").select("block", "method_id", F.col("new").alias("entries"), F.lit(depth).alias("depth"))
         rows, n_added = state.agg(F.count(F.lit(1)), F.count_if(F.col("new") != 0)).first()
         if not n_added:
