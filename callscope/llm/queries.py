@@ -15,8 +15,9 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_line_dedup": line_dedup.op10_line_dedup,
-    # What SQL can state of three others.
+    # What SQL can state of four others.
     "secret_forms": secrets.secret_forms,
+    "shard_quotas": sharding.shard_quotas,
     "mix_targets": mixing.mix_targets,
     "license_phrases": license_scan.license_phrases,
 }
@@ -26,6 +27,7 @@ SQL = {
     "op2_topk_search": topk_search.SQL,
     "op10_line_dedup": line_dedup.SQL,
     "secret_forms": secrets.SQL,
+    "shard_quotas": sharding.SQL,
     "mix_targets": mixing.SQL,
     "license_phrases": license_scan.SQL,
 }

@@ -153,3 +153,17 @@ def op6_sharding(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = shard_documents(docs)
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def shard_quotas(spark, sf_dir: str) -> DataFrame:
+    """The part of op6_sharding that SQL can state: rows and slots of each shard, and the sizes of all."""
+    found = op6_sharding(spark, sf_dir)
+    total = F.sum(F.sum("size")).over(Window.partitionBy(F.lit(0)))  # over a row for each shard
+    return found.groupBy("shard").agg(F.count(F.lit(1)).alias("n_rows"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"), F.count_distinct("slot").alias("n_slots"), total.alias("all_sizes"))
+
+
+SQL = """
+WITH d AS (SELECT count(*) AS n, sum(coalesce(strlen(text), 0) + 1)::BIGINT AS all_sizes FROM documents),
+s AS (SELECT shard::INTEGER AS shard, n // 8 + CASE WHEN shard < n % 8 THEN 1 ELSE 0 END AS n_rows, all_sizes FROM d, range(8) r(shard))
+SELECT shard, n_rows::BIGINT AS n_rows, 0::BIGINT AS first_slot, (n_rows - 1)::BIGINT AS last_slot, n_rows::BIGINT AS n_slots, all_sizes FROM s
+"""
