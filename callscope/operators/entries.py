@@ -133,10 +133,19 @@ def analysis_fingerprint(entries: DataFrame, projects: DataFrame, max_depth: int
     return rows.select("project", "key", F.sha1(parts).alias("fingerprint"))
 
 
+def project_times(files: DataFrame) -> DataFrame:
+    """(project, class_time, source_time, analysed): the newest class and source file of each project, and whether it has a result.
+
+    files: (project, kind, mtime), kind class, source or result.
+    """
+    newest = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("mtime")))
+    return files.groupBy("project").agg(newest("class").alias("class_time"), newest("source").alias("source_time"), F.max(F.when(F.col("kind") == "result", 1).otherwise(0)).alias("analysed"))
+
+
 def project_status(projects: DataFrame, tolerance: str = "5 minutes") -> DataFrame:
-    """(project, state) from missing, class_time, source_time, analysed."""
+    """(project, state) from missing, and class_time, source_time, analysed of project_times(); without files these are null."""
     newer = F.col("source_time") > F.col("class_time") + F.expr(f"INTERVAL {tolerance}")
-    state = F.when(F.col("missing") == 1, "MISSING").when(F.col("class_time").isNull() | F.coalesce(newer, F.lit(False)), "NEEDS_COMPILE").when(F.col("analysed") == 0, "NEEDS_ANALYZE").otherwise("UP_TO_DATE")
+    state = F.when(F.col("missing") == 1, "MISSING").when(F.col("class_time").isNull() | F.coalesce(newer, F.lit(False)), "NEEDS_COMPILE").when(F.coalesce("analysed", F.lit(0)) == 0, "NEEDS_ANALYZE").otherwise("UP_TO_DATE")
     return projects.select("project", state.alias("state"))
 
 

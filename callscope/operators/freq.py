@@ -36,12 +36,6 @@ def callers_text(sites: DataFrame, most: int = 20) -> DataFrame:
     return counts.join(first, "callee_id").select("callee_id", "call_count", F.concat(lines, more).alias("callers"))
 
 
-def with_rank(freq: DataFrame, most: int, *order) -> DataFrame:
-    """The first `most` rows in order, numbered; only these meet in one task."""
-    first = freq.orderBy(*order).limit(most)
-    return first.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-
-
 def numbered(rows: DataFrame, name: str, *order) -> DataFrame:
     """All rows, numbered from 1 in order, which must be total. No task sees more than a range of them.
 

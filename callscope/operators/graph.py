@@ -114,10 +114,10 @@ def walk(roots: DataFrame, edges: DataFrame, max_depth: int | None = None, max_n
     first = roots.select("entry_id", "method_id").distinct().join(places, "entry_id").groupBy("block", "method_id").agg(F.bit_or(bit_set()).alias("new"))
     state = cut(first.select("block", "method_id", F.col("new").alias("seen"), "new"))
     levels = [state.select("block", "method_id", F.col("new").alias("entries"), F.lit(0).alias("depth"))]
-    rows = 0
+    methods = steps.select("from_id").union(steps.select("to_id")).union(roots.select("method_id")).distinct().count()
     for depth in range(1, clamp_depth(max_depth) + 1):
         front = state.filter("new <> 0").select("block", "method_id", "new")
-        if rows > max_nodes:  # else no entry can be above the budget
+        if methods > max_nodes:  # else no entry can be above the budget
             over = with_entries(state.select("block", "method_id", "seen"), "seen", places).groupBy("entry_id").count().filter(F.col("count") > max_nodes)
             full = over.join(places, "entry_id").groupBy("block").agg(F.bit_or(bit_set()).alias("full"))
             front = front.join(full, "block", "left").select("block", "method_id", F.col("new").bitwiseAND(F.bitwise_not(F.coalesce("full", none))).alias("new"))
@@ -127,8 +127,7 @@ def walk(roots: DataFrame, edges: DataFrame, max_depth: int | None = None, max_n
         new = F.col("found").bitwiseAND(F.bitwise_not("seen"))
         state = cut(both.select("block", "method_id", F.col("seen").bitwiseOR(F.col("found")).alias("seen"), new.alias("new")), eager=False)
         added = state.filter("new <> 0").select("block", "method_id", F.col("new").alias("entries"), F.lit(depth).alias("depth"))
-        rows, n_added = state.agg(F.count(F.lit(1)), F.count_if(F.col("new") != 0)).first()
-        if not n_added:
+        if added.isEmpty():
             break
         levels.append(added)
     return Walk(reduce(DataFrame.unionByName, levels), places)

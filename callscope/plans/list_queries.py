@@ -134,7 +134,10 @@ def analysis_fingerprint(spark, sf_dir):
 
 @query("project_status", f"WITH p AS {tv.plain(tv.PROJECTS)} SELECT project, CASE WHEN missing = 1 THEN 'MISSING' WHEN class_time IS NULL OR source_time > class_time + INTERVAL 5 MINUTE THEN 'NEEDS_COMPILE' WHEN analysed = 0 THEN 'NEEDS_ANALYZE' ELSE 'UP_TO_DATE' END AS state FROM p")
 def project_status(spark, sf_dir):
-    return en.project_status(tv.view(spark, sf_dir, tv.PROJECTS))
+    kind = F.when(F.col("o_orderstatus") == "F", "class").when(F.col("o_orderstatus") == "O", "source").otherwise("result")
+    found = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("project"), kind.alias("kind"), F.col("o_orderdate").alias("mtime"))
+    projects = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("project"), F.when(F.col("c_acctbal") < 0, 1).otherwise(0).alias("missing"))
+    return en.project_status(projects.join(en.project_times(found), "project", "left"))
 
 
 @query("latest_result", "SELECT o_custkey AS project, o_orderkey AS result FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
