@@ -348,16 +348,15 @@ def filtered_sheet(spark, sf_dir):
 
 #: The listing as a recursion that moves every entry's depth-first walk on by one call: its path and next calls, what it has listed, and marks.
 CHAIN_SQL = f"""WITH RECURSIVE {E_SQL}, {R_SQL}, {M_SQL}, quiet AS MATERIALIZED (SELECT method_id FROM m WHERE {noise_sql(of=PRUNING)}),
-  a AS MATERIALIZED (SELECT from_id, list({{'to': to_id, 'invoke': invoke, 'line': line, 'quiet': to_id IN (FROM quiet)}} ORDER BY line, to_id) AS calls FROM e GROUP BY from_id),
-  walk(entry_id, stack, nxt, seen, levels, invokes, lines, cycles) USING KEY (entry_id) AS (
-    SELECT entry_id, [method_id], [1]::BIGINT[], [method_id], [0], [NULL]::VARCHAR[], [NULL]::INTEGER[], []::BIGINT[] FROM roots WHERE method_id NOT IN (FROM quiet)
-    UNION SELECT entry_id, CASE WHEN c IS NULL THEN stack[:-2] WHEN new THEN list_append(stack, c.to) ELSE stack END,
-      CASE WHEN c IS NULL THEN nxt[:-2] WHEN new THEN list_append(list_append(nxt[:-2], nxt[-1] + 1), 1) ELSE list_append(nxt[:-2], nxt[-1] + 1) END,
-      CASE WHEN new THEN list_append(seen, c.to) ELSE seen END, CASE WHEN new THEN list_append(levels, len(stack)::INTEGER) ELSE levels END,
-      CASE WHEN new THEN list_append(invokes, c.invoke) ELSE invokes END, CASE WHEN new THEN list_append(lines, c.line) ELSE lines END, CASE WHEN list_contains(stack, c.to) THEN list_append(cycles, c.to) ELSE cycles END
-    FROM (SELECT w.*, a.calls[nxt[-1]] AS c, coalesce(NOT (list_contains(seen, a.calls[nxt[-1]].to) OR a.calls[nxt[-1]].quiet OR len(stack) > {DEPTH}), false) AS new FROM walk w LEFT JOIN a ON a.from_id = stack[-1] WHERE len(stack) > 0) x),
-  listed AS (SELECT entry_id, unnest(range(len(seen))) AS ord, unnest(levels) AS level, unnest(seen) AS method_id, unnest(invokes) AS invoke, unnest(lines) AS line,
-    unnest(list_transform(seen, lambda x: CASE WHEN list_contains(cycles, x) THEN '{dfs.CYCLE}' ELSE '' END)) AS remark FROM walk)"""
+  a AS MATERIALIZED (SELECT from_id, row_number() OVER (PARTITION BY from_id ORDER BY line, to_id) AS nth, to_id, invoke, line, to_id IN (FROM quiet) AS is_quiet, row_number() OVER (ORDER BY from_id, line, to_id) AS call FROM e),
+  walk(entry_id, stack, nxt, seen, calls, cycles) USING KEY (entry_id) AS (
+    SELECT entry_id, [method_id], [1]::BIGINT[], [method_id], [0]::BIGINT[], []::BIGINT[] FROM roots WHERE method_id NOT IN (FROM quiet)
+    UNION SELECT entry_id, CASE WHEN to_id IS NULL THEN stack[:-2] WHEN new THEN list_append(stack, to_id) ELSE stack END,
+      CASE WHEN to_id IS NULL THEN nxt[:-2] WHEN new THEN list_append(list_append(nxt[:-2], nxt[-1] + 1), 1) ELSE list_append(nxt[:-2], nxt[-1] + 1) END,
+      CASE WHEN new THEN list_append(seen, to_id) ELSE seen END, CASE WHEN new THEN list_append(calls, 64 * call + len(stack)) ELSE calls END, CASE WHEN list_contains(stack, to_id) THEN list_append(cycles, to_id) ELSE cycles END
+    FROM (SELECT w.*, to_id, call, coalesce(NOT (list_contains(seen, to_id) OR is_quiet OR len(stack) > {DEPTH}), false) AS new FROM walk w LEFT JOIN a ON a.from_id = stack[-1] AND a.nth = nxt[-1] WHERE len(stack) > 0) x),
+  flat AS (SELECT entry_id, unnest(range(len(seen))) AS ord, unnest(seen) AS method_id, unnest(calls) AS packed, unnest(list_transform(seen, lambda x: CASE WHEN list_contains(cycles, x) THEN '{dfs.CYCLE}' ELSE '' END)) AS remark FROM walk),
+  listed AS (SELECT entry_id, ord, (packed % 64)::INTEGER AS level, method_id, invoke, line, remark FROM flat LEFT JOIN a ON call = packed // 64)"""
 
 
 @query("chain_rows", f"{CHAIN_SQL} SELECT * FROM listed")
