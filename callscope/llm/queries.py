@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from callscope.llm import bpe, license_scan, line_dedup, mixing, near_duplicates, quality, secrets, sharding, token_counts, topk_search
+from callscope.llm import bpe, byte_bpe, collocations, license_scan, line_dedup, mixing, near_duplicates, quality, resampling, secrets, sharding, token_counts, topk_search
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_byte_bpe": byte_bpe.op11_byte_bpe,
+    "op12_resampling": resampling.op12_resampling,
+    "op13_collocations": collocations.op13_collocations,
     # What SQL can state of four others.
     "secret_forms": secrets.secret_forms,
     "shard_quotas": sharding.shard_quotas,
@@ -26,6 +29,8 @@ SQL = {
     "op1_quality_rules": quality.SQL,
     "op2_topk_search": topk_search.SQL,
     "op10_line_dedup": line_dedup.SQL,
+    "op12_resampling": resampling.SQL,
+    "op13_collocations": collocations.SQL,
     "secret_forms": secrets.SQL,
     "shard_quotas": sharding.SQL,
     "mix_targets": mixing.SQL,
