@@ -29,9 +29,14 @@ ENTRY = ["type", "class_name", "method_name", "descriptor", "display"]
 DETECTORS: dict[str, tuple[str, Callable[[DataFrame, DataFrame], DataFrame]]] = {}
 
 
-def register_detector(kind: str, label: str, detect: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-    """Adds a detector: (classes, methods) to a frame of ENTRY columns."""
+#: Types outside of the projects that detectors look for above classes.
+KNOWN_TYPES: set[str] = set()
+
+
+def register_detector(kind: str, label: str, detect: Callable[[DataFrame, DataFrame], DataFrame], types: Sequence[str] = ()) -> None:
+    """Adds a detector: (classes, methods) to a frame of ENTRY columns. types: the types that it looks for above classes, if any."""
     DETECTORS[kind] = (label, detect)
+    KNOWN_TYPES.update(types)
 
 
 def annotation(column: Column, name: str) -> Column:
@@ -100,7 +105,7 @@ def detect_main(classes: DataFrame, methods: DataFrame) -> DataFrame:
 
 register_detector("REST", "REST 接口", detect_rest)
 register_detector("DUBBO", "Dubbo 服务", detect_dubbo)
-register_detector("ELASTIC_JOB", "ElasticJob 作业", detect_jobs)
+register_detector("ELASTIC_JOB", "ElasticJob 作业", detect_jobs, JOBS)
 register_detector("MAIN", "main 启动类", detect_main)
 
 
@@ -155,8 +160,13 @@ def scan_entries(classes: DataFrame, methods: DataFrame, detectors: dict[str, bo
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    return with_place(out)
+
+
+def with_place(entries: DataFrame) -> DataFrame:
+    """entries with their group's place in a full scan."""
     place = F.array_position(F.array(*[F.lit(g) for g in GROUPS]), F.col("type"))
-    return out.withColumn("place", F.when(place == 0, len(GROUPS) + 1).otherwise(place).cast("int"))
+    return entries.withColumn("place", F.when(place == 0, len(GROUPS) + 1).otherwise(place).cast("int"))
 
 
 def scan_groups(entries: DataFrame) -> DataFrame:

@@ -37,16 +37,18 @@ def callers_text(sites: DataFrame, most: int = 20) -> DataFrame:
 
 
 def numbered(rows: DataFrame, name: str, *order) -> DataFrame:
-    """All rows, numbered from 1 in order, which must be total. No task sees more than a range of them.
+    """All rows, numbered from 1 in order (bigint), which must be total. No task sees more than a range of them.
 
-    Each range of the sorted rows is numbered on its own and moved by the sizes of the ranges before it.
+    The rows are sorted once, in ranges; a row's number is its place in its range and the sizes of the ranges before it,
+    one number for each partition.
     """
-    ranges = cut(rows.orderBy(*order).withColumn("_range", F.spark_partition_id()))
-    sizes = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    ranges = cut(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    sizes = ranges.groupBy(F.shiftright("_at", 33).alias("_range")).agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return ranges.withColumn("_inside", inside).join(sizes, "_range").withColumn(name, (F.col("_before") + F.col("_inside")).cast("int")).drop("_range", "_inside", "_before")
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    joined = ranges.join(F.broadcast(sizes), F.shiftright("_at", 33) == F.col("_range"))
+    return joined.withColumn(name, F.col("_before") + inside).drop("_at", "_range", "_before")
 
 
 def page(freq: DataFrame, number: int, size: int = 50, *order) -> DataFrame:

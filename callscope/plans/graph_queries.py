@@ -154,7 +154,7 @@ def search_marks(spark, sf_dir):
 def search_hits(spark, sf_dir):
     """The hits of a search in order, to step through."""
     marks = search.search_graphs(*walked(spark, sf_dir), hits(spark, sf_dir), DEPTH)
-    return search.hit_list(marks).select("place", "entry_id", "method_id")
+    return search.hit_list(marks).select(F.col("place").cast("int").alias("place"), "entry_id", "method_id")
 
 
 NP_SQL = reach_sql(DEPTH, "pe", "pr", "np").replace("walk AS", "pwalk AS").replace("FROM walk", "FROM pwalk")
@@ -252,7 +252,7 @@ def filtered_stats(spark, sf_dir):
 )
 def overview(spark, sf_dir):
     named = stats_of(spark, sf_dir).join(signed(spark, sf_dir).select(F.col("method_id").alias("entry_id"), F.col("sig").alias("entry")), "entry_id")
-    return report.overview(named)
+    return report.overview(named).withColumn("seq", F.col("seq").cast("int"))
 
 
 @query("entry_signature", f"WITH {M_SQL}, {R_SQL} SELECT entry_id, CASE WHEN entry_id % 2 = 0 THEN {ID_SQL} ELSE concat(replace(owner, '/', '.'), '#', name) END AS signature FROM roots JOIN m USING (method_id)")
@@ -321,7 +321,7 @@ def freq_removed(spark, sf_dir):
 
 @query("freq_ranked", f"{N_SQL} SELECT row_number() OVER (ORDER BY call_count DESC, sig, method_id)::INTEGER AS rank, method_id, call_count FROM x")
 def freq_ranked(spark, sf_dir):
-    return freq.numbered(frequency(spark, sf_dir).select("method_id", "call_count", "sig"), "rank", F.desc("call_count"), "sig", "method_id").select("rank", "method_id", "call_count")
+    return freq.numbered(frequency(spark, sf_dir).select("method_id", "call_count", "sig"), "rank", F.desc("call_count"), "sig", "method_id").select(F.col("rank").cast("int").alias("rank"), "method_id", "call_count")
 
 
 @query("freq_page", f"{N_SQL} SELECT method_id, call_count, (SELECT (count(*) + 49) // 50 FROM x)::BIGINT AS n_pages FROM x ORDER BY call_count DESC, sig, method_id LIMIT 50 OFFSET 50")
@@ -338,12 +338,12 @@ def caller_texts(spark, sf_dir):
 
 @query("frequency_sheet", f"{N_SQL}, {TEXT_SQL} SELECT row_number() OVER (ORDER BY x.call_count DESC, sig, method_id)::INTEGER AS rank, method_id, sig, source, x.call_count, callers FROM x JOIN t ON callee_id = method_id WHERE NOT noise")
 def frequency_sheet(spark, sf_dir):
-    return report.frequency_sheet(frequency(spark, sf_dir), caller_texts(spark, sf_dir))
+    return report.frequency_sheet(frequency(spark, sf_dir), caller_texts(spark, sf_dir)).withColumn("rank", F.col("rank").cast("int"))
 
 
 @query("filtered_sheet", f"{N_SQL}, {TEXT_SQL} SELECT row_number() OVER (ORDER BY x.call_count DESC, sig, method_id)::INTEGER AS rank, method_id, sig, source, x.call_count, rules, callers FROM x JOIN t ON callee_id = method_id WHERE noise")
 def filtered_sheet(spark, sf_dir):
-    return report.filtered_sheet(frequency(spark, sf_dir), caller_texts(spark, sf_dir))
+    return report.filtered_sheet(frequency(spark, sf_dir), caller_texts(spark, sf_dir)).withColumn("rank", F.col("rank").cast("int"))
 
 
 #: The listing as a recursion that moves every entry's depth-first walk on by one call: its path and next calls, what it has listed, and marks.

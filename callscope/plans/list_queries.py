@@ -157,7 +157,7 @@ def projects_sorted(spark, sf_dir):
     stored = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.expr("TIMESTAMP '2020-01-01 00:00:00'").alias("last_opened_at"))
     opened = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_orderdate").cast("timestamp").alias("last_opened_at")).withColumn("name", F.lit("opened"))
     rows = en.upsert_projects(stored, opened, ["id", "name", "last_opened_at"])
-    return numbered(rows, "place", F.desc("last_opened_at"), "id").select("id", "name", "place")
+    return numbered(rows, "place", F.desc("last_opened_at"), "id").select("id", "name", F.col("place").cast("int").alias("place"))
 
 
 @query("tail_log", f"WITH l AS {tv.plain(tv.LOGS)} SELECT job, trim(line) AS line, event_id FROM l WHERE trim(line) <> '' QUALIFY row_number() OVER (PARTITION BY job ORDER BY ts DESC, event_id DESC) <= 60")

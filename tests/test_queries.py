@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from callscope.plans import class_queries, graph_queries, list_queries, pom_queries, signature_queries, store_queries  # noqa: F401
+from callscope.plans import class_queries, fleet_queries, graph_queries, list_queries, pom_queries, signature_queries, store_queries  # noqa: F401
 from callscope.plans.registry import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
