@@ -188,7 +188,7 @@ def resample(
     drawn = weighed.filter(able).count() * percent // 100
     none = F.lit(None).cast("bigint")
     ranked = numbered(weighed.filter(able), "rank", F.desc("score"), F.asc_nulls_first("id"), "n_features", "n_words", "_place")
-    ranked = ranked.withColumn("rank", F.when(F.col("rank") <= drawn, F.col("rank")))
+    ranked = ranked.withColumn("rank", F.when(F.col("rank") <= drawn, F.col("rank").cast("bigint")))
     return ranked.unionByName(weighed.filter(~able).withColumn("rank", none)).select("id", "n_words", "n_features", "weight", "score", "rank")
 
 
