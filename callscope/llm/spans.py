@@ -61,7 +61,7 @@ class PerfectHash:
             raise ValueError("keys must differ")
         self.buckets, self.slots = np.uint64(max(1, len(keys) // per_bucket)), np.uint64(max(1, len(keys)))
         self.shift = np.zeros(int(self.buckets), np.int64)
-        order = self._place(hashes)
+        order = self._place(hashes)[: len(keys)]
         self.data, self.length, self.start = data, length[order], start[order]
         self.values = np.asarray(values, np.int64)[order]
 
