@@ -109,21 +109,27 @@ def substitute(text: Column, props: Column, passes: int = 5) -> Column:
     return F.aggregate(F.array(*[F.lit(i) for i in range(passes)]), text, lambda s, _: once(s))
 
 
-def managed_versions(chain: DataFrame, managed: DataFrame, most_imports: int = 5) -> DataFrame:
+def managed_versions(chain: DataFrame, managed: DataFrame, bom_parents: bool = False) -> DataFrame:
     """(pom, ga, version): managed versions, child before parent, imports in place, the first declaration wins.
 
-    managed: (pom, ord, ga, version, bom); a row with bom stands for all that the chain of that build file manages.
+    managed: (pom, ord, ga, version, bom); a row with bom stands for all that the build file of that name manages itself, and with
+    bom_parents for what its parents manage too. Imports have any depth. For a build file each import counts once, where it is met first;
+    so what an import stands for is placed by its first place, and imports in a circle end. A round follows imports whose
+    first place is new or came forward.
     """
-    rows = cut(chain.join(managed.withColumnRenamed("pom", "ancestor"), "ancestor").select("pom", F.array("hop", "ord").alias("at"), "ga", "version", "bom"))
-    inner = rows.select(F.col("pom").alias("bom"), F.col("at").alias("in_at"), F.col("ga").alias("in_ga"), F.col("version").alias("in_version"), F.col("bom").alias("in_bom"))
-    done, level = rows.filter("bom IS NULL"), rows.filter("bom IS NOT NULL")
-    for _ in range(most_imports):
-        level = cut(level.drop("ga", "version").join(inner, "bom").select("pom", F.concat("at", "in_at").alias("at"), F.col("in_ga").alias("ga"), F.col("in_version").alias("version"), F.col("in_bom").alias("bom")))
-        done = done.unionByName(level.filter("bom IS NULL"))
-        level = level.filter("bom IS NOT NULL")
-        if level.isEmpty():
-            break
-    return done.groupBy("pom", "ga").agg(F.min_by("version", "at").alias("version"))
+    rows = cut(chain.join(managed.withColumnRenamed("pom", "ancestor"), "ancestor").select("pom", "hop", F.array("hop", "ord").alias("at"), "ga", "version", "bom"))
+    inner = rows if bom_parents else rows.filter("hop = 0")
+    inner = cut(inner.select(F.col("pom").alias("bom"), F.col("at").alias("in_at"), "ga", "version", F.col("bom").alias("in_bom")))
+    imports = inner.filter("in_bom IS NOT NULL").drop("ga", "version")
+    first = level = cut(rows.filter("bom IS NOT NULL").groupBy("pom", "bom").agg(F.min("at").alias("at")))
+    while not level.isEmpty():
+        below = level.join(imports, "bom").groupBy("pom", F.col("in_bom").alias("bom")).agg(F.min(F.concat("at", "in_at")).alias("_new"))
+        both = cut(first.join(below, ["pom", "bom"], "full"))
+        sooner = F.col("at").isNull() | (F.col("_new") < F.col("at"))
+        level = both.filter(F.col("_new").isNotNull() & sooner).select("pom", "bom", F.col("_new").alias("at"))
+        first = both.select("pom", "bom", F.when(F.col("_new").isNotNull() & sooner, F.col("_new")).otherwise(F.col("at")).alias("at"))
+    imported = first.join(inner.filter("in_bom IS NULL"), "bom").select("pom", F.concat("at", "in_at").alias("at"), "ga", "version")
+    return rows.filter("bom IS NULL").select("pom", "at", "ga", "version").unionByName(imported).groupBy("pom", "ga").agg(F.min_by("version", "at").alias("version"))
 
 
 def chain_dependencies(chain: DataFrame, declared: DataFrame, child_wins: bool = False) -> DataFrame:

@@ -25,7 +25,7 @@ def fleet(spark, sf_dir):
 
 def managed(spark, sf_dir):
     rows = spark.sql(MANAGED, p=fleet(spark, sf_dir), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
-    return poms.managed_versions(poms.parent_chain(fleet(spark, sf_dir)), rows)
+    return poms.managed_versions(poms.parent_chain(fleet(spark, sf_dir)), rows, bom_parents=True)
 
 
 @query("parent_chain", f"{P_SQL} SELECT pom, ancestor, hop FROM chain")
@@ -80,6 +80,26 @@ def managed_versions(spark, sf_dir):
     return managed(spark, sf_dir)
 
 
+#: Imports of any depth: each nation's file imports the next one, the last the first again, and every third an own one of its region.
+IMPORTED = """SELECT pom, 0 AS ord, CAST(NULL AS BIGINT) AS ga, CAST(NULL AS VARCHAR(20)) AS version, concat('n', CAST(num % 25 AS VARCHAR(9))) AS bom FROM {p} WHERE substr(pom, 1, 1) = 's'
+  UNION ALL SELECT pom, 1 + num % 2 * 3, NULL, NULL, concat('n', CAST((num + 1) % 25 AS VARCHAR(9))) FROM {p} WHERE substr(pom, 1, 1) = 'n'
+  UNION ALL SELECT pom, 2, NULL, NULL, parent FROM {p} WHERE substr(pom, 1, 1) = 'n' AND num % 3 = 0
+  UNION ALL SELECT pom, 3, CAST(num AS BIGINT), concat('2.', CAST(num AS VARCHAR(9))), NULL FROM {p} WHERE substr(pom, 1, 1) = 'n'
+  UNION ALL SELECT pom, 5, CAST(100 + num % 4 AS BIGINT), concat('3.', CAST(num AS VARCHAR(9))), NULL FROM {p} WHERE substr(pom, 1, 1) <> 's'"""
+#: The walk as the depth-first listing does it: all simple paths of imports; a file counts at its first place.
+IMPORTED_SQL = f"""{P_SQL}, man AS ({IMPORTED.format(p='p')}), lev AS (SELECT c.pom, hop, [hop, ord] AS pos, ga, version, bom FROM chain c JOIN man q ON q.pom = c.ancestor), own AS (SELECT * FROM lev WHERE hop = 0),
+  imp AS (SELECT pom, bom, pos, [bom] AS seen FROM lev WHERE bom IS NOT NULL UNION ALL SELECT i.pom, o.bom, list_concat(i.pos, o.pos), list_append(seen, o.bom) FROM imp i JOIN own o ON o.pom = i.bom WHERE o.bom IS NOT NULL AND NOT list_contains(seen, o.bom)),
+  spot AS (SELECT pom, bom, min(pos) AS pos FROM imp GROUP BY pom, bom),
+  every AS (SELECT pom, pos, ga, version FROM lev WHERE bom IS NULL UNION ALL SELECT a.pom, list_concat(a.pos, o.pos), o.ga, o.version FROM spot a JOIN own o ON o.pom = a.bom WHERE o.bom IS NULL)"""
+
+
+@query("managed_imports", f"{IMPORTED_SQL} SELECT pom, ga, arg_min(version, pos) AS version FROM every GROUP BY pom, ga")
+def managed_imports(spark, sf_dir):
+    """Versions that come through chains of up to 25 imports, which end in a circle."""
+    p = fleet(spark, sf_dir)
+    return poms.managed_versions(poms.parent_chain(p), spark.sql(IMPORTED, p=p))
+
+
 DEPS = "SELECT concat('s', CAST(project AS VARCHAR(20))) AS pom, ga, CASE WHEN ga % 31 = 0 THEN '[1,2)' ELSE version END AS version, scope FROM {d}"
 REPO = "SELECT ga, version FROM {v} WHERE (ga + length(version)) % 4 > 0"
 

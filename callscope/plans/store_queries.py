@@ -13,6 +13,7 @@ from callscope.plans.graph_queries import E_SQL, R_SQL, edges, roots
 from callscope.plans.list_queries import L_SQL, saved
 from callscope.plans.registry import query
 from callscope.sources import files
+from callscope.sources.snapshots import SnapshotStore
 
 
 def new_folder(spark, name: str) -> str:
@@ -53,6 +54,39 @@ def entry_files(spark, sf_dir):
     return files.read_entries(spark, [path]).select("class_name", "status", "exclude_reason", "ord")
 
 
+@query(
+    "entry_files_fleet",
+    f"{L_SQL}, q AS (SELECT s.*, concat('p', id % 20) AS project FROM saved s JOIN o USING (key)) SELECT project, concat('com.C', key) AS class_name, status, exclude_reason, (row_number() OVER (PARTITION BY project, status ORDER BY key) - 1)::INTEGER AS ord FROM q",
+)
+def entry_files_fleet(spark, sf_dir):
+    """Entry lists of twenty projects written to one folder and read back."""
+    rows, path = saved(spark, sf_dir).join(tv.view(spark, sf_dir, tv.ENTRIES).select("key", "id"), "key"), new_folder(spark, "entries")
+    rows = rows.select(F.concat(F.lit("p"), (F.col("id") % 20).cast("string")).alias("project"), F.concat(F.lit("com.C"), "key").alias("class_name"), F.lit("m").alias("method_name"), F.lit("()V").alias("descriptor"), F.lit("MANUAL").alias("source"), F.lit("g").alias("group"), "status", "exclude_reason", F.col("key").alias("ord"))
+    files.write_entries(rows, path)
+    return files.read_entries(spark, [path]).select("project", "class_name", "status", "exclude_reason", "ord")
+
+
+#: A store of several versions: graphs of depth 1; entries divisible by 3 keep their root only, those divisible by 5 go; then it is compacted.
+HISTORY_SQL = f"""{STORE_SQL}, v AS (SELECT entry_id, method_id FROM n WHERE entry_id % 5 > 0 AND entry_id % 3 > 0 UNION ALL SELECT entry_id, method_id FROM roots WHERE entry_id % 3 = 0 AND entry_id % 5 > 0)"""
+
+
+@query("graph_history", f"{HISTORY_SQL} SELECT 'now' AS version, entry_id, method_id FROM v UNION ALL SELECT 'first', entry_id, method_id FROM n")
+def graph_history(spark, sf_dir):
+    """The nodes of a store after three writes and a compaction, and those of its first version."""
+    r, e = roots(spark, sf_dir), edges(spark, sf_dir)
+    nodes = graph.reachable(r, e, 1).select("entry_id", "method_id")
+    inner, path = graph.graph_edges(graph.reachable(r, e, 1), e, 1), new_folder(spark, "graphs")
+    count = lambda rows: rows.groupBy("entry_id").agg(F.count(F.lit(1)).alias("n_nodes"))
+    first = files.write_graphs(nodes, inner, count(nodes), path)
+    again = r.filter("entry_id % 3 = 0").select("entry_id", "method_id")
+    files.write_graphs(again, inner.limit(0), count(again), path)
+    store = SnapshotStore(spark, path)
+    store.delete(r.filter("entry_id % 5 = 0"))
+    store.compact()
+    now = store.read("nodes").withColumn("version", F.lit("now"))
+    return now.unionByName(store.read("nodes", first).withColumn("version", F.lit("first"))).select("version", "entry_id", "method_id")
+
+
 #: Rule files of suppliers: every second one is a bare array, the others are objects.
 RULE_FILES = """SELECT s_suppkey AS project, CASE WHEN s_suppkey % 2 = 0 THEN concat('[{{"id":"r', CAST(s_suppkey AS VARCHAR(20)), '","name":"n","methodPattern":"get","source":"ALL","enabled":false}}]')
   ELSE concat('{{"globalOverrides":{{"g1":', CASE WHEN s_suppkey % 3 = 0 THEN 'true' ELSE 'false' END, '}},"customRules":[{{"id":"r', CAST(s_suppkey AS VARCHAR(20)), '","paramCount":', CAST(s_suppkey % 4 AS VARCHAR(9)), '}}]}}') END AS value FROM {supplier}"""

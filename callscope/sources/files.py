@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.operators.base import cut
+from callscope.sources.snapshots import SnapshotStore
 
 ENTRY = "array<struct<className:string,methodName:string,descriptor:string,source:string,group:string,excludeReason:string>>"
 RULE = "struct<id:string,name:string,methodPattern:string,classPattern:string,source:string,paramCount:int,enabled:boolean,builtin:boolean>"
@@ -15,18 +15,28 @@ POM = f"""groupId string, artifactId string, version string, parent struct<group
 
 
 def read_entries(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Rows of entry lists, confirmed and excluded, with their file and place."""
-    rows = spark.read.schema(f"confirmed {ENTRY}, excluded {ENTRY}").option("multiLine", "true").json(paths).withColumn("project", F.input_file_name())
+    """Rows of entry lists, confirmed and excluded, with their project and place.
+
+    A file holds one object over many lines, or an object of a project on each line, as write_entries() makes them. The project is
+    the object's projectPath, else the file. Files whose lines are no objects of their own are read whole; others are split by lines.
+    """
+    schema = f"projectPath string, confirmed {ENTRY}, excluded {ENTRY}"
+    text = spark.read.text(paths).select(F.col("_metadata.file_path").alias("_file"), "value").filter(F.trim("value") != "")
+    lines = text.select("_file", F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("o")).select("_file", "o.*")
+    whole = lines.filter("_bad IS NOT NULL").select("_file").distinct()
+    one = spark.read.schema(schema).option("multiLine", "true").json(paths).withColumn("_file", F.col("_metadata.file_path"))
+    rows = lines.drop("_bad").join(whole, "_file", "left_anti").unionByName(one.join(whole, "_file", "left_semi"))
+    rows = rows.withColumn("project", F.coalesce("projectPath", "_file"))
     parts = [rows.select("project", F.posexplode(c).alias("ord", "e"), F.lit(c).alias("status")) for c in ("confirmed", "excluded")]
     both = parts[0].unionByName(parts[1])
     return both.select("project", F.col("e.className").alias("class_name"), F.col("e.methodName").alias("method_name"), F.col("e.descriptor").alias("descriptor"), F.col("e.source").alias("source"), F.col("e.group").alias("group"), "status", F.col("e.excludeReason").alias("exclude_reason"), "ord")
 
 
 def write_entries(rows: DataFrame, path: str) -> None:
-    """One JSON object for each project, with both lists in order."""
+    """One line with a JSON object for each project: its projectPath and both lists in order. A project's list is one object, as in its format."""
     item = F.struct(F.col("class_name").alias("className"), F.col("method_name").alias("methodName"), "descriptor", "source", "group", F.col("exclude_reason").alias("excludeReason"))
     lists = [F.transform(F.array_sort(F.collect_list(F.when(F.col("status") == s, F.struct("ord", item.alias("e"))))), lambda x: x.getField("e")).alias(s) for s in ("confirmed", "excluded")]
-    rows.groupBy("project").agg(*lists).drop("project").write.mode("overwrite").json(path)
+    rows.groupBy(F.col("project").cast("string").alias("projectPath")).agg(*lists).write.mode("overwrite").json(path)
 
 
 def read_noise_rules(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -58,53 +68,20 @@ def pom_links(poms: DataFrame) -> DataFrame:
     return poms.select(F.col("path").alias("pom"), "path", gav(*own).alias("gav"), gav(*parent).alias("parent_gav"), F.col("parent.relativePath").alias("relative_path"))
 
 
-def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
-    return df.withColumn("entry_bucket", F.pmod(F.hash("entry_id"), F.lit(buckets)))
+def write_graphs(nodes: DataFrame, edges: DataFrame, stats: DataFrame, path: str, buckets: int | None = None) -> int:
+    """Adds graphs to the store at a path, with stats as its index, and gives the store's new version.
 
+    The entries of any of the tables are replaced in all three; all others stay. buckets: of entries, for a new store (16). See
+    snapshots.SnapshotStore for readers and writers at the same time, older versions and compaction.
+    """
+    tables = {"nodes": nodes, "edges": edges, "stats": stats}
+    return SnapshotStore(nodes.sparkSession, path, {name: df.schema for name, df in tables.items()}, buckets).put(tables)
 
-def write_graphs(nodes: DataFrame, edges: DataFrame, stats: DataFrame, path: str, buckets: int = 16) -> None:
-    """Graph tables by bucket of entries, and stats, the index. A later write replaces the entries it holds and keeps all others.
 
-    Every write to a store must have the same number of buckets. The rows of a bucket are gathered in a
-    checkpoint before the bucket is replaced.
-    """
-    spark = nodes.sparkSession
-    written = cut(_bucketed(nodes.select("entry_id").union(edges.select("entry_id")).union(stats.select("entry_id")).distinct(), buckets))
-    ids = written.select("entry_id")
-    touched = [r[0] for r in written.select("entry_bucket").distinct().collect()]  # `buckets` numbers at most
-    for name, df in (("nodes", nodes), ("edges", edges)):
-        new = _bucketed(df, buckets)
-        replaced = _exists(spark, f"{path}/{name}")
-        if replaced:
-            stored = spark.read.schema(new.schema).parquet(f"{path}/{name}").filter(F.col("entry_bucket").isin(touched))
-            new = cut(new.unionByName(stored.join(ids, "entry_id", "left_anti")))
-        new.repartition("entry_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("entry_bucket").parquet(f"{path}/{name}")
-        # A bucket whose last rows went is not among the written ones.
-        for bucket in set(touched) - {r[0] for r in new.select("entry_bucket").distinct().collect()} if replaced else ():
-            _delete(spark, f"{path}/{name}/entry_bucket={bucket}")
-    if _exists(spark, f"{path}/stats"):
-        stats = cut(stats.unionByName(spark.read.schema(stats.schema).parquet(f"{path}/stats").join(ids, "entry_id", "left_anti")))
-    stats.write.mode("overwrite").parquet(f"{path}/stats")
-
-
-def _located(spark: SparkSession, path: str):
-    """A path and its file system."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    system, where = _located(spark, path)
-    return system.exists(where)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    system, where = _located(spark, path)
-    system.delete(where, True)
-
-
-def read_graphs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"), spark.read.parquet(f"{path}/stats")
+def read_graphs(spark: SparkSession, path: str, version: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, stats) of a store at its last version, or at another one."""
+    store = SnapshotStore(spark, path)
+    return tuple(store.read(name, version) for name in ("nodes", "edges", "stats"))
 
 
 def write_callers_csv(callers: DataFrame, path: str) -> None:

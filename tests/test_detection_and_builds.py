@@ -1,5 +1,7 @@
 """Detectors, build files, entry lists and labels on a made-up lending library."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from callscope.operators import detect, entries, poms
@@ -135,3 +137,38 @@ def test_changed_rules_change_the_fingerprint(spark):
     of = lambda *parts: entries.project_fingerprint(class_files, *parts).collect()[0]["fingerprint"]
     seen = [of(), of(commits("c1")), of(commits("c2")), of(commits("c1"), builds("h")), of(commits("c1"), builds("h"), rules(True)), of(commits("c1"), builds("h"), rules(False))]
     assert len(set(seen)) == len(seen) and of(commits(None)) == of()
+
+
+def dfs_versions(chain, managed, pom):
+    """Managed versions by a depth-first walk that visits each import once."""
+    found, seen = {}, set()
+
+    def walk(rows):
+        for _, ga, version, bom in sorted(rows):
+            if bom is None:
+                found.setdefault(ga, version)
+            elif bom not in seen:
+                seen.add(bom)
+                walk(managed.get(bom, []))
+
+    for ancestor in chain[pom]:
+        walk(managed.get(ancestor, []))
+    return found
+
+
+def test_imports_of_any_depth_count_where_they_are_met_first(spark):
+    rng = random.Random(6)
+    for trial in range(6):
+        names = [f"b{k}" for k in range(12)]
+        managed = {n: [(k, *rng.choice([(rng.randrange(6), f"{n}.{k}", None), ("", "", rng.choice(names))])) for k in range(rng.randrange(4))] for n in names}
+        if trial == 0:  # a chain longer than any bound
+            managed = {f"b{k}": [(0, k, f"v{k}", None), (1, "", "", f"b{k + 1}")] for k in range(11)} | {"b11": [(0, 0, "late", None), (1, "", "", "b0"), (2, 99, "end", None)]}
+        chain = {n: [n, rng.choice(names)] for n in names}
+        chain = {n: list(dict.fromkeys(c)) for n, c in chain.items()}
+        rows = [(n, k, None if bom else int(ga), version or None, bom) for n, own in managed.items() for k, ga, version, bom in own]
+        found = poms.managed_versions(
+            spark.createDataFrame([(n, a, hop) for n, c in chain.items() for hop, a in enumerate(c)], "pom string, ancestor string, hop int"),
+            spark.createDataFrame(rows, "pom string, ord int, ga int, version string, bom string"),
+        ).collect()
+        wanted = {(n, ga, v) for n in names for ga, v in dfs_versions(chain, managed, n).items()}
+        assert {(r["pom"], r["ga"], r["version"]) for r in found} == wanted, trial
