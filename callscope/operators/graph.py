@@ -144,11 +144,15 @@ def graph_edges(nodes: DataFrame, edges: DataFrame, max_depth: int | None = None
     return inner.join(edges, "from_id").select("entry_id", "from_id", "to_id", "invoke", "line")
 
 
-def with_truncation(nodes: DataFrame, edges: DataFrame, max_depth: int | None = None, max_nodes: int = NODE_BUDGET) -> tuple[DataFrame, DataFrame]:
-    """Nodes within the budget, nearest first, and (entry_id, truncated): budget used up, or calls at the depth limit."""
+def with_truncation(nodes: DataFrame, edges: DataFrame, max_depth: int | None = None, max_nodes: int = NODE_BUDGET, callers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes within the budget, nearest first, and (entry_id, truncated): budget used up, or calls at the depth limit.
+
+    callers: (method_id) of the methods with any raw call, such as resolve.raw_callers() gives; edges hold no calls of the JDK, so
+    without it a method at the limit that calls nothing else is not flagged.
+    """
     rank = F.row_number().over(Window.partitionBy("entry_id").orderBy("depth", "method_id"))
     kept = nodes.withColumn("_r", rank).filter(F.col("_r") <= max_nodes).drop("_r")
-    callers = edges.select(F.col("from_id").alias("method_id")).distinct().withColumn("_calls", F.lit(True))
+    callers = (edges.select(F.col("from_id").alias("method_id")) if callers is None else callers.select("method_id")).distinct().withColumn("_calls", F.lit(True))
     at_limit = (F.col("depth") >= clamp_depth(max_depth)) & F.col("_calls").isNotNull()
     flags = nodes.join(callers, "method_id", "left").groupBy("entry_id").agg((F.max(at_limit) | (F.count(F.lit(1)) > max_nodes)).alias("truncated"))
     return kept, flags
@@ -218,7 +222,7 @@ def call_tree(roots: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
     """(entry_id, path, depth, node_id, invoke, line, cycle): every call path from the roots.
 
     A method met again on its own path is a leaf with the cycle mark. The rows grow with the number of
-    paths, so the depth is the caller's choice; reachable() is the form for large graphs.
+    paths, so the depth is the caller's choice; tree.call_tree_within() is the form with a budget of nodes.
     """
     level = roots.select("entry_id", F.array("method_id").alias("path"), F.lit(0).alias("depth"), F.col("method_id").alias("node_id"), F.lit(None).cast("string").alias("invoke"), F.lit(None).cast("int").alias("line"), F.lit(False).alias("cycle"))
     tree = level = cut(level)

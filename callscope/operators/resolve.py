@@ -174,3 +174,12 @@ def verify_entries(entries: DataFrame, methods: DataFrame) -> DataFrame:
     found = found.withColumn("status", status)
     overloads = F.when(F.col("status").isin("UNIQUE", "OVERLOADS"), F.array_join("overloads", ","))
     return found.select("entry_id", "status", "class_name", "candidates", text("METHOD_MISSING", "all_names").alias("available"), overloads.alias("overloads"), n.cast("long").alias("n_overloads"))
+
+
+def raw_callers(sites: DataFrame, methods: DataFrame) -> DataFrame:
+    """(method_id) of the methods with any call site, of the JDK too.
+
+    sites: (caller_owner, caller_name, caller_descriptor); methods: (method_id, owner, name, descriptor).
+    """
+    own = sites.select(F.col("caller_owner").alias("owner"), F.col("caller_name").alias("name"), F.col("caller_descriptor").alias("descriptor")).distinct()
+    return methods.join(own, KEY, "left_semi").select("method_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from callscope.functions import rules, sig
-from callscope.operators import dfs, freq, graph, report, resolve, search
+from callscope.operators import dfs, freq, graph, report, resolve, search, tree
 from callscope.plans import testviews as tv
 from callscope.plans.registry import query
 from callscope.plans.signature_queries import DISPLAY_SQL, ID_SQL, methods, noise_sql, signed
@@ -109,6 +109,38 @@ def truncation(spark, sf_dir):
     return kept.groupBy("entry_id").agg(F.count(F.lit(1)).alias("n_nodes")).join(flags, "entry_id")
 
 
+@query(
+    "truncation_raw",
+    f"""WITH RECURSIVE {E_SQL}, {R_SQL}, {M_SQL}, {reach_sql(3)} SELECT entry_id, bool_or(depth = 3 AND n.method_id IN (SELECT from_id FROM e UNION SELECT method_id FROM m WHERE access % 3 = 0)) AS truncated FROM n GROUP BY entry_id""",
+)
+def truncation_raw(spark, sf_dir):
+    """The flag by raw calls: methods of every third access also call the JDK, which has no edges."""
+    e, m = edges(spark, sf_dir), methods(spark, sf_dir)
+    sites = m.filter("access % 3 = 0").select(F.col("owner").alias("caller_owner"), F.col("name").alias("caller_name"), F.col("descriptor").alias("caller_descriptor"), "method_id")
+    own = sites.select(F.concat("caller_owner", F.col("method_id").cast("string")).alias("caller_owner"), "caller_name", "caller_descriptor")
+    raw = resolve.raw_callers(own, m.select("method_id", F.concat("owner", F.col("method_id").cast("string")).alias("owner"), "name", "descriptor"))
+    callers = raw.union(e.select(F.col("from_id").alias("method_id")))
+    return graph.with_truncation(graph.reachable(roots(spark, sf_dir), e, 3), e, 3, callers=callers)[1]
+
+
+#: The tree in depth-first order: nodes are ordered by their places among siblings.
+BUDGET_SQL = f"""WITH RECURSIVE {E_SQL}, {R_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY line, to_id) AS ord FROM (SELECT from_id, to_id, min(line) AS line, arg_min(invoke, line) AS invoke FROM e GROUP BY from_id, to_id)),
+  d AS (SELECT from_id, count(*) AS n FROM o GROUP BY from_id), tree AS (SELECT entry_id, method_id AS root_id, [method_id] AS path, []::BIGINT[] AS pos, 0 AS depth, method_id AS node_id, NULL::INTEGER AS line, false AS cycle FROM roots
+    UNION ALL SELECT entry_id, root_id, list_append(path, to_id), list_append(pos, ord), depth + 1, to_id, o.line, list_contains(path, to_id) FROM tree t JOIN o ON node_id = from_id WHERE depth < 5 AND NOT cycle),
+  b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entry_id, root_id ORDER BY pos) - 1 AS place FROM tree) WHERE place < 12),
+  h AS (SELECT entry_id, root_id, pos[1 : len(pos) - 1] AS pos, count(*) AS held FROM b WHERE depth > 0 GROUP BY ALL)"""
+
+
+@query(
+    "call_tree_budget",
+    f"{BUDGET_SQL} SELECT b.entry_id, place, array_to_string(path, '>') AS path, depth, node_id, line, cycle, NOT cycle AND coalesce(n, 0) > 0 AND (depth >= 5 OR coalesce(held, 0) < n) AS truncated FROM b LEFT JOIN h ON h.entry_id = b.entry_id AND h.root_id = b.root_id AND h.pos = b.pos LEFT JOIN d ON node_id = from_id",
+)
+def call_tree_budget(spark, sf_dir):
+    """The first twelve nodes of every call tree of depth 5."""
+    found = tree.call_tree_within(roots(spark, sf_dir), edges(spark, sf_dir), 5, 12)
+    return found.select("entry_id", "place", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "depth", "node_id", "line", "cycle", "truncated")
+
+
 @query("cycle_nodes", f"WITH RECURSIVE {E_SQL}, c AS (SELECT from_id AS a, to_id AS b FROM e UNION SELECT a, to_id FROM c JOIN e ON b = from_id) SELECT DISTINCT a AS method_id FROM c WHERE a = b")
 def cycle_nodes(spark, sf_dir):
     return graph.cycle_nodes(edges(spark, sf_dir))
