@@ -25,8 +25,8 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 BREAK, BLANK = b".,;:!?\n\x0b\x0c\r", b" \t"
 KINDS = np.array([2 if b in BREAK else 1 if b in BLANK else 0 for b in range(256)], np.uint8)
 BREAKS = regex.compile(rb"[.,;:!?\n\x0b\x0c\r]")
-#: A set of phrases as a bitmap of their hashes: 2^27 bits, 16 MB, whatever the number of phrases. Chance members are sorted out later.
-BITS = 27
+#: A set of phrases as a bitmap of their hashes: 2^26 bits, 8 MB, whatever the number of phrases. Chance members are sorted out later.
+BITS = 26
 COUNTS = "lang string, phrase string, n bigint"
 KEY = ["lang", "phrase"]
 
@@ -101,15 +101,28 @@ def slices(batches: Iterator[pa.RecordBatch], slice_bytes: int) -> Iterator[tupl
         yield texts, langs, hashes
 
 
-def count(corpus: DataFrame, opened: np.ndarray | None, known: np.ndarray | None, longest: int, slice_bytes: int) -> DataFrame:
+def grown(w: Words, opened: np.ndarray, known: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(m, words that begin a phrase of m words whose first m - 1 are an opened node), if its inner words and pairs are frequent."""
+    able = tested(known, w.key(1))
+    pair = tested(known, w.key(2)) if longest > 2 and len(w.start) > 1 else None
+    for m in range(2, longest + 1):
+        first = w.whole(m)
+        first = first[able[first] & able[first + m - 1]]
+        for k in range(m - 1 if m > 2 and pair is not None else 0):
+            first = first[pair[first + k]]
+        first = first[tested(opened, w.key(m - 1)[first])]
+        if len(first):
+            yield m, first
+
+
+def count(corpus: DataFrame, opened: np.ndarray | None, known: np.ndarray | None, longest: int, slice_bytes: int, only: np.ndarray | None = None) -> DataFrame:
     """(lang, phrase, n): occurrences of the phrases of one word more than an opened node, which they begin with.
 
     opened, known: bitmaps of the opened nodes and of all frequent phrases of one and two words. A phrase is counted only
-    if its inner words and pairs are frequent, as it could not be frequent otherwise. Without bitmaps single words are counted, and
-    with a null phrase all words. Phrases are summed up in each slice of a task's texts before Spark groups them.
+    if its inner words and pairs are frequent, as it could not be frequent otherwise, and if `only`, a bitmap, holds it. Without bitmaps single
+    words are counted, and with a null phrase all words. Phrases are summed up in each slice of a task's texts before Spark groups them.
     """
-    spark = corpus.sparkSession
-    shared = spark.sparkContext.broadcast((opened, known))
+    shared = corpus.sparkSession.sparkContext.broadcast((opened, known, only))
 
     def rows(w: Words, first: np.ndarray, m: int, names: pa.Array, lang_of: np.ndarray) -> Iterator[pa.RecordBatch]:
         _, at, n = np.unique(w.key(m)[first], return_index=True, return_counts=True)
@@ -119,7 +132,7 @@ def count(corpus: DataFrame, opened: np.ndarray | None, known: np.ndarray | None
             yield pa.RecordBatch.from_arrays([lang, texts, pa.array(n[some].astype(np.int64))], ["lang", "phrase", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, frequent = shared.value
+        nodes, frequent, sieve = shared.value
         for texts, langs, hashes in slices(batches, slice_bytes):
             w = Words(texts, np.array(hashes, np.int64).view(np.uint64))
             names = sorted(set(langs))
@@ -130,22 +143,43 @@ def count(corpus: DataFrame, opened: np.ndarray | None, known: np.ndarray | None
                 total = np.bincount(lang_of[w.text], minlength=len(names))
                 yield pa.RecordBatch.from_arrays([names, pa.nulls(len(names), pa.string()), pa.array(total)], ["lang", "phrase", "n"])
                 continue
-            able = tested(frequent, w.key(1))
-            pair = tested(frequent, w.key(2)) if longest > 2 and len(w.start) > 1 else None
-            for m in range(1, longest):
-                first = w.whole(m + 1)
-                first = first[able[first] & able[first + m]]
-                for k in range(m if m > 1 and pair is not None else 0):
-                    first = first[pair[first + k]]
-                first = first[tested(nodes, w.key(m)[first])]
-                if len(first):
-                    yield from rows(w, first, m + 1, names, lang_of)
+            for m, first in grown(w, nodes, frequent, longest):
+                yield from rows(w, first if sieve is None else first[tested(sieve, w.key(m)[first])], m, names, lang_of)
 
     return corpus.mapInArrow(run, COUNTS).groupBy(*KEY).agg(F.sum("n").alias("n"))
 
 
+def sieve(corpus: DataFrame, opened: np.ndarray, known: np.ndarray, least: int, longest: int, slice_bytes: int) -> np.ndarray:
+    """A bitmap that holds all phrases count() would find `least` times: those whose hash is met so often.
+
+    Most pairs of frequent words are rare; as hashes they cost less to shuffle and to group than as texts. Phrases of one
+    hash only add to each other's number, so none that is frequent is missed; count() then counts their texts.
+    """
+    shared = corpus.sparkSession.sparkContext.broadcast((opened, known))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, frequent = shared.value
+        for texts, _, hashes in slices(batches, slice_bytes):
+            w = Words(texts, np.array(hashes, np.int64).view(np.uint64))
+            for m, first in grown(w, nodes, frequent, longest):
+                keys, n = np.unique(w.key(m)[first], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+
+    keys = corpus.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    place = F.call_function("shiftrightunsigned", F.col("key"), F.lit(64 - BITS))
+    return packed(keys.select(F.shiftright(place, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int")).alias("bits")))
+
+
+def packed(rows: DataFrame) -> np.ndarray:
+    """The bitmap whose words (at) hold the bits of all rows; Spark joins them, at most one row for each word comes to the driver."""
+    found = rows.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << BITS - 6, np.uint64)
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
 def bitmap(nodes: DataFrame) -> np.ndarray:
-    """The bitmap of some phrases: Spark makes its words, of which there are 2^21 at most."""
+    """The bitmap of some phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,11 +193,7 @@ def bitmap(nodes: DataFrame) -> np.ndarray:
             bits = (np.uint64(1) << (place & np.uint64(63))).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array((place >> np.uint64(6)).view(np.int64)), pa.array(bits)], ["at", "bits"])
 
-    rows = nodes.select("phrase", F.xxhash64("lang").alias("code")).mapInArrow(run, "at bigint, bits bigint")
-    found = rows.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(1 << BITS - 6, np.uint64)
-    out[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-    return out
+    return packed(nodes.select("phrase", F.xxhash64("lang").alias("code")).mapInArrow(run, "at bigint, bits bigint"))
 
 
 def score(a: Column, parts: Column) -> Column:
@@ -235,8 +265,8 @@ def collocations(
     occurrences are dropped. Order: score, then a, both falling, then the phrase in bytes.
 
     Nodes are opened in rounds, the best bounds first; each round is one scan of the corpus, which sends only phrases that its
-    opened nodes begin and whose inner words and pairs are frequent. Two bitmaps of fixed size are all that is broadcast; they lose
-    nothing, and what they let pass by chance is dropped by a join. Counts of texts, phrases and candidates are Spark tables.
+    opened nodes begin and whose inner words and pairs are frequent; pairs of words are sieved by their hashes first. Three bitmaps
+    of fixed size are all that is broadcast; they lose nothing, and what they let pass by chance is dropped by a join. Counts of texts, phrases and candidates are Spark tables.
     Inside a slice of a text phrases are told apart by a 64-bit hash, between tasks by their text.
 
     Null texts are empty; null languages are 'und'. Repeated rows count each. An empty table, and a language without a frequent
@@ -252,11 +282,12 @@ def collocations(
     opened = nodes.select(*KEY, "lead")  # the bound of every word is the greatest there is
     frequent = None
     while True:
-        now = bitmap(opened)
+        now, only = bitmap(opened), None
         if frequent is None:
             frequent = now
+            only = sieve(corpus, now, frequent, least, longest, slice_bytes)
         heads = opened.select("lang", F.col("phrase").alias("head"), "lead")
-        new = count(corpus, now, frequent, longest, slice_bytes).filter(F.col("n") >= least)
+        new = count(corpus, now, frequent, longest, slice_bytes, only).filter(F.col("n") >= least)
         new = new.withColumn("m", F.size(F.split("phrase", " "))).withColumn("head", first_words("m - 1")).join(heads, ["lang", "head"])
         new = cut(new.select(*KEY, "m", F.col("n").alias("f"), "lead", F.lit(False).alias("open")))
         known = nodes.join(opened.select(*KEY, F.lit(True).alias("_now")), KEY, "left").withColumn("open", F.col("open") | F.coalesce("_now", F.lit(False))).drop("_now")

@@ -263,9 +263,9 @@ def test_collocations_open_only_what_bounds_allow(spark):
     grown = []
     count = collocations.count
 
-    def watched(corpus, opened, known, longest, slice_bytes):
+    def watched(corpus, opened, known, longest, slice_bytes, only=None):
         grown.append(None if opened is None else int(np.bitwise_count(opened).sum()))
-        return count(corpus, opened, known, longest, slice_bytes)
+        return count(corpus, opened, known, longest, slice_bytes, only)
 
     collocations.count = watched
     try:
