@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 from collections.abc import Sequence
@@ -81,6 +82,44 @@ def delete(spark: SparkSession, path: str) -> None:
     system.delete(where, True)
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Makes a folder that is deleted when the application ends, unless its driver is killed."""
+    system, where = _located(spark, path)
+    system.mkdirs(where)
+    if not system.deleteOnExit(where):
+        raise OSError(f"{path} could not be made")
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file."""
+    system, where = _located(spark, path)
+    stream = system.create(where, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+
+
+def get_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text; None if it is not there."""
+    system, where = _located(spark, path)
+    if not system.exists(where):
+        return None
+    stream = system.open(where)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def files_fingerprint(spark: SparkSession, path: str) -> str:
+    """A digest of the names, sizes and times of all files below a path."""
+    system, where = _located(spark, path)
+    found, files = [], system.listFiles(where, True)
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath().toString()}:{f.getLen()}:{f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
+
+
 def bucket_count(rows: int, per_bucket: int = 2000, least: int = 64) -> int:
     """Buckets for rows of a table, so that even a bucket of one hot key stays small."""
     return max(least, -(-rows // per_bucket))
@@ -89,12 +128,21 @@ def bucket_count(rows: int, per_bucket: int = 2000, least: int = 64) -> int:
 def running_total(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Column], value: str, out: str) -> DataFrame:
     """Adds to each row the sum of `value` over the rows of its key before it.
 
-    Rows stand in the order (bucket, *order) within a key; null keys are keys. No key is
-    gathered in one task: totals by (key, bucket) are summed first, then each bucket on its own.
+    Rows stand in the order (bucket, *order) within a key; bucket is a whole number, null keys are keys. No key is gathered in one
+    task: totals by (key, bucket) are summed first, then each bucket on its own. The totals are summed in two levels as
+    well: those of a block of 1024 buckets, and the blocks' own totals, which are a thousandth of a thousandth of a key's rows or fewer.
     """
-    cells = df.groupBy(*keys, bucket).agg(F.sum(value).alias("_cell"))
-    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(bucket).alias("_bucket"), F.coalesce(F.sum("_cell").over(before), F.lit(0)).alias("_before"))
+    cells = df.groupBy(*keys, bucket).agg(F.sum(value).alias("_cell")).withColumn("_block", F.floor(F.col(bucket) / 1024))
+    blocks = cells.groupBy(*keys, "_block").agg(F.sum("_cell").alias("_whole"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*[F.col(k).alias(f"_b_{k}") for k in keys], F.col("_block").alias("_b"), F.coalesce(F.sum("_whole").over(before), F.lit(0)).alias("_blocks"))
+    inside = Window.partitionBy(*keys, "_block").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("_in", F.coalesce(F.sum("_cell").over(inside), F.lit(0)))
+    same = F.col("_block") == F.col("_b")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_b_{k}"))
+    cells = cells.join(blocks, same)
+    cells = cells.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(bucket).alias("_bucket"), (F.col("_blocks") + F.col("_in")).alias("_before"))
     same = F.col(bucket) == F.col("_bucket")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
