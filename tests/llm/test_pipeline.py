@@ -71,3 +71,38 @@ def test_run_goes_on_after_its_last_stage(spark, tmp_path, monkeypatch):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def written(spark, path, n, word):
+    rows = [(k, f"This is the {word} document {k} of a run, and it has some more words than ten in it.", "en", "s", 70) for k in range(n)]
+    spark.createDataFrame(rows, COLUMNS).write.mode("overwrite").parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_run_id_over_other_input_or_code_starts_anew(spark, tmp_path, monkeypatch):
+    one, two = written(spark, tmp_path / "one", 12, "small"), written(spark, tmp_path / "two", 30, "large")
+    ids = lambda at: sorted({r["doc_id"] for r in corpus_pipeline.run(spark, at, "twice").collect()})
+    assert ids(one)[-1] < 12 and ids(two)[-1] >= 12 and ids(one)[-1] < 12
+    began, stage = [], corpus_pipeline.STAGES[0][1]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("quality", lambda *a: began.append(1) or stage(*a)), *corpus_pipeline.STAGES[1:]])
+    ids(one)
+    assert not began  # the same input and code: only the last stage
+    written(spark, tmp_path / "one", 13, "small")  # the same place, other files
+    ids(one)
+    assert len(began) == 1
+    monkeypatch.setattr(corpus_pipeline, "code_fingerprint", lambda: "changed")
+    ids(one)
+    assert len(began) == 2
+    corpus_pipeline.clean(spark, "twice")
+
+
+def test_run_without_an_id_leaves_no_table_behind(spark, tmp_path, monkeypatch):
+    """The folder is handed over for deletion at the application's end, before anything is written to it."""
+    folders = []
+    keep = corpus_pipeline.delete_at_end
+    monkeypatch.setattr(corpus_pipeline, "delete_at_end", lambda spark, path: folders.append(path) or keep(spark, path))
+    corpus_pipeline.run(spark, written(spark, tmp_path, 12, "only"))
+    where = spark._jvm.org.apache.hadoop.fs.Path(folders[0])
+    system = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    assert system.exists(where) and system.cancelDeleteOnExit(where)
+    corpus_pipeline.delete(spark, folders[0])
