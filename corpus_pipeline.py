@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
+from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callscope.llm.bpe import encode_documents
-from callscope.llm.common import delete, is_written, table_folder
+from callscope.llm.common import delete, delete_at_end, files_fingerprint, get_text, is_written, put_text, table_folder
 from callscope.llm.line_dedup import dedup_lines
 from callscope.llm.mixing import mix_sources
 from callscope.llm.near_duplicates import deduplicate
@@ -61,21 +64,36 @@ def tables(spark: SparkSession, run_id: str) -> str:
     return f"{table_folder(spark)}/pipeline-{run_id}"
 
 
+def code_fingerprint() -> str:
+    """A digest of this file, of the operators that the stages call, and of the tokenizer file."""
+    own = Path(__file__)
+    parts = [own, *sorted((own.parent / "callscope/llm").glob("*.py")), Path(public_tokenizers.path("word_bpe_49k.json"))]
+    return hashlib.sha256(b"".join(hashlib.sha256(p.read_bytes()).digest() for p in parts)).hexdigest()
+
+
 def run(spark: SparkSession, sf_dir: str, run_id: str | None = None) -> DataFrame:
     """The stages applied to documents, each written as a table that the next one reads.
 
     run_id names the tables; a run that was lost and starts again with the same id goes on after its last written
-    stage. A stage's table is deleted when the next one is written; clean() deletes the last, which the result reads.
+    stage, if that was made from the same input files by the same code and stages; else it starts anew. A stage's table is deleted
+    when the next one is written; clean() deletes the last, which the result reads. Without an id the tables are deleted when the application ends.
     Null ids and texts, repeated rows and an empty table go through every stage as its operator states.
     """
-    folder = tables(spark, run_id or uuid.uuid4().hex)
+    folder, documents = tables(spark, run_id or uuid.uuid4().hex), f"{sf_dir}/documents.parquet"
+    if run_id is None:
+        delete_at_end(spark, folder)
     paths = [f"{folder}/{k}-{name}" for k, (name, _) in enumerate(STAGES[:-1])]
-    done = max((k + 1 for k, path in enumerate(paths) if is_written(spark, path)), default=0)
+    made_of = [files_fingerprint(spark, documents), code_fingerprint()]
+    marks = [json.dumps([*made_of, [name for name, _ in STAGES[: k + 1]]]) for k in range(len(paths))]
+    done = max((k + 1 for k, path in enumerate(paths) if is_written(spark, path) and get_text(spark, f"{path}/_made_of") == marks[k]), default=0)
     for k in range(done, len(paths)):
-        docs = spark.read.parquet(paths[k - 1] if k else f"{sf_dir}/documents.parquet")
+        docs = spark.read.parquet(paths[k - 1] if k else documents)
         STAGES[k][1](spark, docs, sf_dir).write.mode("overwrite").parquet(paths[k])
+        put_text(spark, f"{paths[k]}/_made_of", marks[k])
         if k:
             delete(spark, paths[k - 1])
+    for path in paths[:-1]:  # of a lost run, or of one with other input
+        delete(spark, path)
     return STAGES[-1][1](spark, spark.read.parquet(paths[-1]), sf_dir)
 
 
