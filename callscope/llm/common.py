@@ -110,6 +110,12 @@ def get_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def folder_files(spark: SparkSession, path: str) -> list[str]:
+    """The files of a folder, by their full names."""
+    system, where = _located(spark, path)
+    return sorted(f.getPath().toString() for f in system.listStatus(where) if f.isFile())
+
+
 def files_fingerprint(spark: SparkSession, path: str) -> str:
     """A digest of the names, sizes and times of all files below a path."""
     system, where = _located(spark, path)

@@ -478,6 +478,31 @@ def test_top_k_odd_rows(spark):
         topk_search.top_k(large, large).collect()
 
 
+def test_top_k_of_large_components(spark):
+    """Products that pass 64 bits and are not asked for do no harm; those that are asked for and fit are exact."""
+    schema = "id long, vector array<bigint>"
+    few = spark.createDataFrame([(1, [1, 2]), (2, [1, 10**10]), (3, [3, 1])], schema)
+    found = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in topk_search.top_k(few, few, 1).collect()}
+    assert found == {(1, 1): (2, 1 + 2 * 10**10), (2, 1): (1, 1 + 2 * 10**10), (3, 1): (2, 3 + 10**10)}
+    rng = random.Random(9)
+    # Large components are mostly below 0, so that the sums beyond 64 bits are seldom the best ones.
+    rows = {k: [rng.choice([-1, 1]) * rng.randrange(2**28) if k % 3 else -rng.randrange(2 ** rng.choice([20, 40, 61])) for _ in range(5)] for k in range(59)}
+    rows[59] = [2**30] * 5
+    asked = {k: [rng.randrange(4 if k % 2 else 2**30) for _ in range(5)] for k in range(100, 130)}
+    wanted, small = {}, 0
+    for q, v in asked.items():
+        best = sorted(((-sum(a * b for a, b in zip(v, w, strict=True)), k) for k, w in rows.items()))[:4]
+        if all(-(2**63) <= s < 2**63 for s, _ in best):
+            wanted |= {(q, n): (k, -s) for n, (s, k) in enumerate(best, 1)}
+            small += any(abs(sum(a * b for a, b in zip(v, w, strict=True))) >= 2**63 for w in rows.values())
+    assert small > 3  # queries with sums beyond 64 bits that are not among the best
+    table = spark.createDataFrame(list(rows.items()), schema).repartition(3)
+    queries = spark.createDataFrame([(q, v) for q, v in asked.items() if (q, 1) in wanted], schema)
+    for block_bytes in (1 << 26, 300):
+        found = topk_search.top_k(table, queries, 4, 7, block_bytes).collect()
+        assert {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in found} == wanted
+
+
 def similar(a, b):
     """Whether two shingle sets have a Jaccard similarity of 0.8 or more; equal sets are similar."""
     return a == b or (bool(a and b) and 9 * len(a & b) >= 4 * (len(a) + len(b)))
