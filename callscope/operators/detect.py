@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callscope.functions import sig
@@ -174,16 +174,13 @@ def scan_groups(entries: DataFrame) -> DataFrame:
 
 
 def effective_profiles(projects: DataFrame, profiles: DataFrame, global_active: str = "standard") -> DataFrame:
-    """(project, profile_id, detector_main): the profile in force of each project.
+    """(project, profile_id, detector_main): the profile in force of each project, with one of its switches.
 
-    projects: (project, active_id, has_custom); profiles: (project or null for global, id, builtin, ord, detector_main).
-    A project's custom profiles replace the global custom ones; built-ins always stay. The project's active id counts
-    over the global one; an unknown id falls back to `standard`, then to the first. An unset detector is on.
+    projects: (project, active_id, has_custom); profiles: (project or null for global, id, builtin, ord, detector_main). The choice is that of
+    fleet.profiles_in_force(), which gives whole profiles. An unset detector is on.
     """
-    wanted = projects.withColumn("wanted", F.coalesce(F.when(F.col("active_id") != "", F.col("active_id")), F.lit(global_active)))
-    own = wanted.join(profiles.filter("project IS NOT NULL"), "project").drop("builtin")
-    shared = wanted.join(profiles.filter("project IS NULL").drop("project"), F.col("builtin") | ~F.col("has_custom") | (F.col("id") == F.col("wanted"))).drop("builtin")
-    rank = F.when(F.col("id") == F.col("wanted"), 0).when(F.col("id") == "standard", 1).otherwise(2)
-    both = shared.unionByName(own)
-    first = F.row_number().over(Window.partitionBy("project").orderBy(rank, "ord"))
-    return both.withColumn("_r", first).filter("_r = 1").select("project", F.col("id").alias("profile_id"), F.coalesce("detector_main", F.lit(True)).alias("detector_main"))
+    from callscope.operators.fleet import profiles_in_force
+
+    switches = F.when(F.col("detector_main").isNotNull(), F.create_map(F.lit("MAIN"), F.col("detector_main")))
+    found = profiles_in_force(projects, profiles.withColumn("detectors", switches), global_active)
+    return found.select("project", "profile_id", F.coalesce(F.element_at("detectors", F.lit("MAIN")), F.lit(True)).alias("detector_main"))

@@ -235,10 +235,19 @@ def call_tree(roots: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
     return tree
 
 
-def call_frequency(entry_edges: DataFrame) -> DataFrame:
-    """(entry_id, method_id, call_count, callers): how often each method is called within an entry's graph."""
-    callers = F.array_sort(F.collect_list(F.struct(F.col("from_id").alias("caller"), "line")))
-    return entry_edges.groupBy("entry_id", F.col("to_id").alias("method_id")).agg(F.count(F.lit(1)).alias("call_count"), callers.alias("callers"))
+def call_frequency(entry_edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(entry_id, method_id, call_count, callers): how often each method is called within an entry's graph.
+
+    most: of the callers in order, only the first so many are listed; call_count counts all. The edges are the form without a bound on a row.
+    """
+    rows = entry_edges.select("entry_id", F.col("to_id").alias("method_id"), F.col("from_id").alias("caller"), "line")
+    key = ["entry_id", "method_id"]
+    callers = F.array_sort(F.collect_list(F.struct("caller", "line"))).alias("callers")
+    if most is None:
+        return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("call_count"), callers)
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("caller", "line"))
+    first = rows.withColumn("_r", nth).filter(F.col("_r") <= most).groupBy(*key).agg(callers)
+    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("call_count")).join(first, key)
 
 
 def top_methods(freq: DataFrame, n: int = 200, ties: Sequence[str] = ("identifier",)) -> DataFrame:

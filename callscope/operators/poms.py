@@ -101,10 +101,12 @@ def props_map(props: DataFrame) -> DataFrame:
 
 
 def substitute(text: Column, props: Column, passes: int = 5) -> Column:
-    """text with ${key} replaced by properties, again and again for at most five passes."""
+    """text with ${key} replaced by properties, again and again for at most five passes; unknown keys stay. Only the keys that a text names are looked up."""
 
     def once(t: Column) -> Column:
-        return F.aggregate(F.map_entries(props), t, lambda s, e: F.replace(s, F.concat(F.lit("${"), e.getField("key"), F.lit("}")), e.getField("value")))
+        named = F.array_distinct(F.regexp_extract_all(t, F.lit(r"\$\{([^{}]*)\}"), F.lit(1)))
+        put = lambda s, key: F.coalesce(F.replace(s, F.concat(F.lit("${"), key, F.lit("}")), F.element_at(props, key)), s)
+        return F.aggregate(named, t, put)
 
     return F.aggregate(F.array(*[F.lit(i) for i in range(passes)]), text, lambda s, _: once(s))
 

@@ -6,13 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from callscope.operators import graph
+from callscope.operators import freq, graph, report
 from callscope.operators.base import shared_folder
 from callscope.plans import testviews as tv
 from callscope.plans.graph_queries import E_SQL, R_SQL, edges, roots
 from callscope.plans.list_queries import L_SQL, saved
 from callscope.plans.registry import query
-from callscope.sources import files
+from callscope.sources import classfile, files
 from callscope.sources.snapshots import SnapshotStore
 
 
@@ -128,3 +128,98 @@ def callers_csv(spark, sf_dir):
     files.write_callers_csv(rows.select(F.format_string('m"%d"', "callee_id").alias("callee"), F.format_string("c, %d", "caller_id").alias("caller"), F.when(F.col("line") > 1, F.col("line")).otherwise(0).alias("line")), path)
     back = spark.read.option("header", "true").option("escape", '"').schema("callee string, caller string, line string").csv(path)
     return back.distinct()
+
+
+def class_file(name: str, parent: str | None, interfaces: list[str], access: int, methods: list[tuple[str, str, int]]) -> bytes:
+    """A class file without code."""
+    pool: list[bytes] = []
+
+    def constant(entry: bytes) -> bytes:
+        if entry not in pool:
+            pool.append(entry)
+        return (pool.index(entry) + 1).to_bytes(2, "big")
+
+    def text(value: str) -> bytes:
+        raw = value.encode()
+        return constant(b"\x01" + len(raw).to_bytes(2, "big") + raw)
+
+    two = lambda n: n.to_bytes(2, "big")
+    named = lambda value: constant(b"\x07" + text(value)) if value else two(0)
+    body = two(access) + named(name) + named(parent or "java/lang/Object") + two(len(interfaces)) + b"".join(map(named, interfaces)) + two(0)
+    body += two(len(methods)) + b"".join(two(flags) + text(method) + text(descriptor) + two(0) for method, descriptor, flags in methods) + two(0)
+    return b"\xca\xfe\xba\xbe\0\0\0\x34" + two(len(pool) + 1) + b"".join(pool) + body
+
+
+def write_jars(classes, folder: str) -> None:
+    """A jar for each `jar` of classes (class_name, super_name, iface, access, methods), with a damaged entry and one that is no class file."""
+
+    def write(frame):
+        import io
+        import zipfile
+
+        import pandas as pd
+        import pyarrow.fs
+
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as jar:
+            for r in frame.itertuples():
+                jar.writestr(f"{r.class_name}.class", class_file(r.class_name, r.super_name, [r.iface] if r.iface else [], r.access, [tuple(m.values()) if isinstance(m, dict) else tuple(m) for m in r.methods]))
+            jar.writestr("com/odd/Text.class", "no class")
+            jar.writestr("com/odd/Broken.class", "abc" * 500)
+            broken = jar.infolist()[-1]
+        data = bytearray(held.getvalue())
+        at = broken.header_offset + 30 + len(broken.filename)
+        data[at : at + 8] = b"\xff" * 8
+        system, where = pyarrow.fs.FileSystem.from_uri(folder.replace("file:/", "file:///", 1) if "://" not in folder else folder)
+        system.create_dir(where, recursive=True)
+        with system.open_output_stream(f"{where}/{frame['jar'].iloc[0]}.jar") as out:
+            out.write(bytes(data))
+        return pd.DataFrame({"jar": frame["jar"].iloc[:1]})
+
+    classes.groupBy("jar").applyInPandas(write, "jar string").count()
+
+
+JAR_SQL = f"WITH c AS {tv.plain(tv.CLASSES)}, d AS {tv.plain(tv.DECLARED)}"
+
+
+def jar_entries(spark, sf_dir):
+    """The class view as jars, a jar for each last digit, written and read back."""
+    path = new_folder(spark, "jars")
+    classes, declared = tv.view(spark, sf_dir, tv.CLASSES), tv.view(spark, sf_dir, tv.DECLARED)
+    own = declared.groupBy(F.col("owner").alias("class_name")).agg(F.array_sort(F.collect_list(F.struct("name", "descriptor", "access"))).alias("methods"))
+    rows = classes.join(own, "class_name", "left").withColumn("methods", F.coalesce("methods", F.array().cast("array<struct<name:string,descriptor:string,access:int>>")))
+    write_jars(rows.withColumn("jar", F.concat(F.lit("j"), F.right("class_name", F.lit(1)))), path)
+    return classfile.read_entries_of_jars(spark, [path])
+
+
+@query("jar_classes", f"{JAR_SQL}, n AS (SELECT owner, count(*) AS n, min(name) AS first FROM d GROUP BY owner) SELECT class_name, coalesce(super_name, 'java/lang/Object') AS super_name, iface, access, coalesce(n, 0)::INTEGER AS n_methods, first FROM c LEFT JOIN n ON owner = class_name")
+def jar_classes(spark, sf_dir):
+    found = classfile.class_rows(jar_entries(spark, sf_dir))
+    return found.select("class_name", "super_name", F.get("interfaces", F.lit(0)).alias("iface"), "access", F.size("methods").alias("n_methods"), F.array_min(F.transform("methods", lambda m: m.getField("name"))).alias("first"))
+
+
+@query("jar_skipped", f"{JAR_SQL} SELECT concat('j', right(class_name, 1), '.jar') AS jar, e AS entry FROM c, (VALUES ('com/odd/Text.class'), ('com/odd/Broken.class')) x(e) GROUP BY ALL")
+def jar_skipped(spark, sf_dir):
+    """What of the jars could not be read."""
+    return classfile.skipped(jar_entries(spark, sf_dir)).select(F.substring_index("location", "/", -1).alias("jar"), "entry")
+
+
+@query("report_files", f"WITH s AS {tv.plain(tv.SITES)}, f AS (SELECT callee_id, count(DISTINCT (caller_id, line)) AS n FROM s GROUP BY callee_id) SELECT row_number() OVER (ORDER BY n DESC, callee_id)::BIGINT AS rank, callee_id AS method_id, n::BIGINT AS call_count FROM f")
+def report_files(spark, sf_dir):
+    """The call-count table of a report, stored with the others and read back."""
+    path = new_folder(spark, "report")
+    sites = tv.view(spark, sf_dir, tv.SITES).select("callee_id", "caller_id", "line").distinct()
+    counts = sites.groupBy(F.col("callee_id").alias("method_id")).agg(F.count(F.lit(1)).alias("call_count"))
+    frequency = counts.withColumns({"sig": F.lit("s"), "source": F.lit("PROJECT"), "noise": F.lit(False), "rules": F.lit("")})
+    texts = freq.callers_text(sites.select("callee_id", F.col("caller_id").cast("string").alias("caller"), "line")).select(F.col("callee_id").alias("method_id"), "callers")
+    files.write_report({"call_counts": report.frequency_sheet(frequency, texts), "filtered_out": report.filtered_sheet(frequency, texts)}, path)
+    assert spark.read.parquet(f"{path}/filtered_out").isEmpty()
+    return spark.read.parquet(f"{path}/call_counts").select("rank", "method_id", "call_count")
+
+
+@query("ranked_page", f"WITH s AS {tv.plain(tv.SITES)}, f AS (SELECT callee_id, count(*)::BIGINT AS n FROM s GROUP BY callee_id), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, callee_id) AS rank FROM f) SELECT rank, callee_id, n FROM r WHERE rank BETWEEN 61 AND 90")
+def ranked_page(spark, sf_dir):
+    """The third page of thirty methods by calls, of a stored ranking."""
+    path = new_folder(spark, "ranks")
+    files.write_ranked(tv.view(spark, sf_dir, tv.SITES).groupBy("callee_id").agg(F.count(F.lit(1)).alias("n")), path, F.desc("n"), "callee_id", per_range=40)
+    return files.read_page(spark, path, 3, 30).select("rank", "callee_id", "n")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import lzma
 import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -189,46 +191,80 @@ def parse_class(data: bytes, location: str) -> dict:
     return {"class_name": name, "super_name": parent, "interfaces": faces, "access": access, "location": location, "annotations": annotations(own, data, pool), "methods": methods}
 
 
-def class_bytes(path: str, data: bytes) -> Iterator[tuple[str, bytes]]:
-    """Class files in a file: itself, or those of a jar and of the jars in it. Unreadable jars have none."""
+#: What reading an entry of a damaged, encrypted or oddly packed jar raises.
+UNREADABLE = (zipfile.BadZipFile, zlib.error, lzma.LZMAError, RuntimeError, NotImplementedError, EOFError, OSError, ValueError)
+
+
+def class_bytes(path: str, data: bytes) -> Iterator[tuple[str, str, bytes | None, str | None]]:
+    """(location, entry, bytes, error) of the class files in a file: itself, or those of a jar and of the jars in it.
+
+    An entry that can't be read has an error and no bytes, and the rest of its jar goes on; so has a jar whose directory can't be read.
+    """
     if path.endswith(".class"):
-        yield path, data
+        yield path, path.rpartition("/")[2], data, None
         return
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as jar:
             for entry in jar.namelist():
-                if entry.endswith((".class", ".jar")) and not entry.endswith(("module-info.class", "package-info.class")) and not entry.startswith("META-INF/versions/"):
-                    yield from class_bytes(f"{path}!/{entry}", jar.read(entry)) if entry.endswith(".jar") else [(path, jar.read(entry))]
-    except zipfile.BadZipFile:
-        return
+                if not entry.endswith((".class", ".jar")) or entry.endswith(("module-info.class", "package-info.class")) or entry.startswith("META-INF/versions/"):
+                    continue
+                try:
+                    raw = jar.read(entry)
+                except UNREADABLE as e:
+                    yield path, entry, None, f"{type(e).__name__}: {e}"
+                    continue
+                if entry.endswith(".jar"):
+                    yield from class_bytes(f"{path}!/{entry}", raw)
+                else:
+                    yield path, entry, raw, None
+    except UNREADABLE as e:
+        yield path, "", None, f"{type(e).__name__}: {e}"
 
 
 def _parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [c.split(" ")[0] for c in ("class_name", "super_name", "interfaces", "access", "location", "annotations", "methods")]
+    names = ["class_name", "super_name", "interfaces", "access", "location", "annotations", "methods", "entry", "error"]
     for frame in frames:
-        rows = []
+        rows: list[dict] = []
         for path, data in zip(frame["path"], frame["content"], strict=True):
-            for location, raw in class_bytes(path, data):
-                try:
-                    rows.append(parse_class(raw, location))
-                except (ValueError, IndexError, TypeError, struct.error):
-                    continue  # an unreadable class is skipped, as others of its jar are not
+            for location, entry, raw, error in class_bytes(path, data):
+                row = None
+                if raw is not None:
+                    try:
+                        row = parse_class(raw, location)
+                    except (ValueError, IndexError, TypeError, KeyError, AttributeError, struct.error) as e:
+                        error = f"{type(e).__name__}: {e}"
+                rows.append(dict.fromkeys(names) | (row or {"location": location, "error": error}) | {"entry": entry})
                 if len(rows) >= 500:
-                    yield pd.DataFrame(rows, columns=names)
+                    yield pd.DataFrame(rows, columns=names).astype({"access": "Int32"})
                     rows = []
-        yield pd.DataFrame(rows, columns=names)
+        yield pd.DataFrame(rows, columns=names).astype({"access": "Int32"})
 
 
-def read_class_files(spark: SparkSession, paths: list[str], source: str = "PROJECT") -> DataFrame:
-    """Parsed classes of class files and jars: class columns, source, and the methods with their calls.
+def read_entries_of_jars(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """A row for each class entry of class files and jars: the parsed class, or the `error` why it was passed over.
 
-    Each file is one task's work and many are read in parallel. Platform classes are left out.
+    Each file is one task's work, held whole, and many are read in parallel. For both class_rows() and skipped() at once, store these rows.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{class,jar}").load(paths).select("path", "content")
-    found = files.mapInPandas(_parsed, CLASS)
+    return files.mapInPandas(_parsed, f"{CLASS}, entry string, error string")
+
+
+def class_rows(entries: DataFrame, source: str = "PROJECT") -> DataFrame:
+    """The parsed classes of read_entries_of_jars(), with their source. Platform classes are left out."""
+    found = entries.filter("error IS NULL").drop("entry", "error")
     return found.filter(~sig.is_jdk(F.col("class_name"))).withColumn("source", F.lit(source))
 
 
+def skipped(entries: DataFrame) -> DataFrame:
+    """(location, entry, error) of what could not be read; the entry of a jar without a directory is empty."""
+    return entries.filter("error IS NOT NULL").select("location", "entry", "error")
+
+
+def read_class_files(spark: SparkSession, paths: list[str], source: str = "PROJECT") -> DataFrame:
+    """Parsed classes of class files and jars: class columns, source, and the methods with their calls. Damaged entries are passed over."""
+    return class_rows(read_entries_of_jars(spark, paths), source)
+
+
 def class_tables(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(classes, methods, call_sites) of read_class_files()."""
     classes = parsed.drop("methods")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callscope.operators.freq import numbered
 from callscope.sources.snapshots import SnapshotStore
 
 ENTRY = "array<struct<className:string,methodName:string,descriptor:string,source:string,group:string,excludeReason:string>>"
@@ -84,11 +85,50 @@ def read_graphs(spark: SparkSession, path: str, version: int | None = None) -> t
     return tuple(store.read(name, version) for name in ("nodes", "edges", "stats"))
 
 
-def write_callers_csv(callers: DataFrame, path: str) -> None:
-    """Call sites of one method (callee, caller, line) as CSV: quoted text, CRLF, no line number when it is not positive."""
+HEADER = "被调方法,调用方方法,行号"
+
+
+def _csv_field(text) -> Column:
+    """A text as a CSV field: quoted if it has a quote, comma or line break; what it holds stays as it is."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return F.when(text.rlike("[\",\r\n]"), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+
+def callers_lines(callers: DataFrame) -> Column:
+    """Call sites (callee, caller, line) as CSV lines; no line number when it is not positive."""
     line = F.when(F.col("line") > 0, F.col("line").cast("string"))
-    rows = callers.select(F.col("callee").alias("被调方法"), F.col("caller").alias("调用方方法"), line.alias("行号"))
-    rows.write.mode("overwrite").option("header", "true").option("lineSep", "\r\n").option("escape", '"').option("quoteAll", "false").option("emptyValue", "").option("nullValue", "").csv(path)
+    return F.concat_ws(",", _csv_field(F.col("callee")), _csv_field(F.col("caller")), F.coalesce(line, F.lit("")))
+
+
+def write_callers_csv(callers: DataFrame, path: str, ordered: bool = False) -> None:
+    """Call sites of one method (callee, caller, line) as CSV in parts: quoted text, CRLF between rows only, no line number when it is not positive.
+
+    Each part has the header, as Spark reads them. With ordered=True the parts, one after the other by name, are one file: the header
+    once, then the rows by callee, caller and line; no part is sorted or written by one task alone.
+    """
+    rows = callers.select("callee", "caller", "line", callers_lines(callers).alias("value"))
+    if ordered:
+        head = callers.sparkSession.range(1).select(*[F.lit(None).cast(callers.schema[c].dataType).alias(c) for c in ("callee", "caller", "line")], F.lit(HEADER).alias("value"), F.lit(0).alias("_part"))
+        rows = rows.withColumn("_part", F.lit(1)).unionByName(head).orderBy("_part", "callee", "caller", "line").select("value")
+    else:
+        first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # of a part
+        rows = rows.select(F.when(first, F.concat(F.lit(HEADER + "\r\n"), "value")).otherwise(F.col("value")).alias("value"))
+    rows.write.mode("overwrite").option("lineSep", "\r\n").text(path)
+
+
+def write_ranked(rows: DataFrame, path: str, *order, per_range: int = 1_000_000) -> None:
+    """rows with their `rank` in an order, which must be total, in folders of `per_range` ranks each, for read_page()."""
+    ranked = numbered(rows, "rank", *order).withColumn("rank_range", F.floor((F.col("rank") - 1) / per_range).cast("bigint"))
+    ranked.write.mode("overwrite").partitionBy("rank_range").parquet(path)
+    rows.sparkSession.createDataFrame([(per_range,)], "per_range bigint").coalesce(1).write.mode("overwrite").json(f"{path}/_ranges")
+
+
+def read_page(spark: SparkSession, path: str, number: int, size: int = 50) -> DataFrame:
+    """Page `number`, from 1, of rows that write_ranked() stored: only the folders that hold its ranks are read, however deep it is."""
+    per_range = spark.read.schema("per_range bigint").json(f"{path}/_ranges").first()[0]
+    first, last = (number - 1) * size + 1, number * size
+    inside = F.col("rank_range").between((first - 1) // per_range, (last - 1) // per_range) & F.col("rank").between(first, last)
+    return spark.read.parquet(path).filter(inside).drop("rank_range")
 
 
 def write_report(tables: dict[str, DataFrame], path: str) -> None:

@@ -172,3 +172,12 @@ def test_imports_of_any_depth_count_where_they_are_met_first(spark):
         ).collect()
         wanted = {(n, ga, v) for n in names for ga, v in dfs_versions(chain, managed, n).items()}
         assert {(r["pom"], r["ga"], r["version"]) for r in found} == wanted, trial
+
+
+def test_only_named_properties_are_put_in(spark):
+    props = {"a": "1", "b": "${a}${c}", "c": "x${d}", "loop": "${loop}!", "odd.key": "$1\\"}
+    texts = {"${a}-${b}": "1-1x${d}", "${odd.key}": "$1\\", "${none}": "${none}", "plain": "plain", "${a": "${a", "${}": "${}", "${loop}": "${loop}!!!!!", "${a}${a}": "11"}
+    rows = spark.createDataFrame([(t, props) for t in texts] + [("${a}", None)], "t string, p map<string,string>")
+    found = {r[0]: r[1] for r in rows.filter("p IS NOT NULL").select("t", poms.substitute(F.col("t"), F.col("p"))).collect()}
+    assert found == texts
+    assert rows.filter("p IS NULL").select(poms.substitute(F.col("t"), F.col("p"))).first()[0] == "${a}"

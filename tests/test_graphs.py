@@ -6,7 +6,7 @@ from collections import Counter, defaultdict, deque
 import pytest
 from pyspark.sql import functions as F
 
-from callscope.operators import dfs, graph, resolve, search
+from callscope.operators import dfs, freq, graph, resolve, search
 
 INTERFACE, ABSTRACT = 0x601, 0x401
 
@@ -271,3 +271,19 @@ def test_failed_entries_are_counted(spark):
     assert (rows[3]["n_failed"], rows[3]["n_nodes"], rows[3]["warning"]) == (1, 0, None)
     assert {r["entry_id"]: r["error"] for r in graph.batch_entries(stats, asked).collect()} == {1: None, 2: None, 3: graph.NO_ROOT}
     assert graph.batch_summary(stats.limit(0)).count() == 0
+
+
+def test_callers_of_a_hub_have_a_bound_and_a_count(spark):
+    rows = spark.createDataFrame([(1, k % 40, 7, "STATIC", k) for k in range(100)] + [(1, 5, 8, "STATIC", 1)], "entry_id long, from_id long, to_id long, invoke string, line int")
+    whole = {r["method_id"]: r for r in graph.call_frequency(rows).collect()}
+    some = {r["method_id"]: r for r in graph.call_frequency(rows, 10).collect()}
+    assert whole[7]["call_count"] == some[7]["call_count"] == 100 and len(whole[7]["callers"]) == 100
+    assert some[7]["callers"] == whole[7]["callers"][:10] and some[8]["callers"] == whole[8]["callers"]
+
+
+def test_numbers_of_sorted_ranges_are_gapless(spark):
+    rows = spark.range(5000).withColumn("k", F.col("id") % 13).repartition(6)
+    found = freq.numbered(rows, "nth", F.desc("k"), "id").orderBy("nth").collect()
+    assert [r["nth"] for r in found] == list(range(1, 5001))
+    assert [(r["k"], r["id"]) for r in found] == sorted(((r["k"], r["id"]) for r in found), key=lambda x: (-x[0], x[1]))
+    assert freq.numbered(rows.limit(0), "nth", "id").count() == 0

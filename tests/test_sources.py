@@ -1,8 +1,11 @@
 """Class files, rule files, entry lists, build files and CSV."""
 
+import csv
 import glob
+import io
 import json
 import os
+import zipfile
 from concurrent.futures import ThreadPoolExecutor
 
 import pyspark
@@ -10,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from callscope.operators import resolve
+from callscope.plans import store_queries
 from callscope.sources import classfile, files
 from callscope.sources.snapshots import Conflict, SnapshotStore
 
@@ -39,6 +43,45 @@ def test_broken_class_is_skipped(spark, tmp_path):
     assert classfile.read_class_files(spark, [str(tmp_path)]).count() == 0
 
 
+def jar_of(entries, path, spoil=()):
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as jar:
+        for name, data in entries.items():
+            jar.writestr(name, data)
+        places = {i.filename: (i.header_offset, i.header_offset + 30 + len(i.filename)) for i in jar.infolist()}
+    data = bytearray(path.read_bytes())
+    for name, how in spoil:
+        head, body = places[name]
+        if how == "bytes":
+            data[body : body + 6] = b"\xff" * 6
+        else:  # the flag of an encrypted entry, in the directory
+            at = data.rfind(name.encode()) - 46
+            data[at + 8] |= 1
+    path.write_bytes(bytes(data))
+
+
+def test_damaged_entries_are_reported_and_the_rest_of_a_jar_is_read(spark, tmp_path):
+    one = lambda n: store_queries.class_file(f"a/{n}", None, [], 1, [("m", "()V", 1)])
+    inner = tmp_path / "inner.jar"
+    jar_of({"a/In.class": one("In"), "a/Bad.class": one("Bad") * 9}, inner, [("a/Bad.class", "bytes")])
+    nested = inner.read_bytes()
+    inner.unlink()
+    jar_of({"a/A.class": one("A") * 3, "a/B.class": one("B"), "a/C.class": one("C"), "lib/x.jar": nested, "a/T.class": b"text", "a/S.class": one("S")[:20], "a/Z.class": one("Z"), "n.txt": b"x"}, tmp_path / "j.jar", [("a/A.class", "bytes"), ("a/C.class", "flag")])
+    (tmp_path / "no.jar").write_bytes(b"no zip")
+    (tmp_path / "cut.jar").write_bytes(nested[: len(nested) // 2])
+    rows = classfile.read_entries_of_jars(spark, [str(tmp_path)]).cache()
+    assert sorted(r["class_name"] for r in classfile.class_rows(rows).collect()) == ["a/B", "a/In", "a/Z"]
+    found = {(r["location"].rpartition("/")[2], r["entry"]) for r in classfile.skipped(rows).collect()}
+    assert found == {("j.jar", "a/A.class"), ("j.jar", "a/C.class"), ("j.jar", "a/T.class"), ("j.jar", "a/S.class"), ("x.jar", "a/Bad.class"), ("no.jar", ""), ("cut.jar", "")}
+    assert sorted(r["class_name"] for r in classfile.read_class_files(spark, [str(tmp_path)], "DEPENDENCY").filter("source = 'DEPENDENCY'").collect()) == ["a/B", "a/In", "a/Z"]
+
+
+def test_class_files_of_the_queries_are_as_they_were_asked_for(spark, tmp_path):
+    (tmp_path / "K.class").write_bytes(store_queries.class_file("p/K", "p/Base", ["p/I", "p/J"], 1537, [("x", "()V", 1), ("y", "(I)J", 1025)]))
+    row = classfile.read_class_files(spark, [str(tmp_path)]).first()
+    assert (row["class_name"], row["super_name"], row["interfaces"], row["access"]) == ("p/K", "p/Base", ["p/I", "p/J"], 1537)
+    assert [(m["name"], m["descriptor"], m["access"], m["ord"]) for m in row["methods"]] == [("x", "()V", 1, 0), ("y", "(I)J", 1025, 1)]
+
+
 def test_rules_in_both_forms(spark, tmp_path):
     rule = {"id": "r1", "name": "n", "methodPattern": "get", "source": "ALL", "enabled": False, "extra": 1}
     (tmp_path / "a.json").write_text(json.dumps([rule]))
@@ -100,6 +143,51 @@ def test_callers_csv(spark, tmp_path):
     assert text.split("\r\n")[:3] == ["被调方法,调用方方法,行号", '"a#m(""x"", y)",b#n(),7', "a#k,c#o(),"]
 
 
+CALLERS = [("a#m", f"c{k:03}#n", k % 7) for k in range(90)] + [("a#m", 'q "x"\ny, z', 3), ("a#m", "line\r\nend", 0), ("b", None, 2), ("a#k", "", -1)]
+
+
+def parts(path):
+    return b"".join(p.read_bytes() for p in sorted(path.glob("part-*"))).decode()
+
+
+def test_ordered_callers_are_one_csv_in_parts(spark, tmp_path):
+    rows = spark.createDataFrame(CALLERS, "callee string, caller string, line int").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    files.write_callers_csv(rows, str(tmp_path / "many"), ordered=True)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files.write_callers_csv(rows.coalesce(1), str(tmp_path / "one"), ordered=True)
+    assert len(list((tmp_path / "many").glob("part-*"))) > 1 and parts(tmp_path / "many") == parts(tmp_path / "one")
+    back = list(csv.reader(io.StringIO(parts(tmp_path / "many"), newline="")))
+    key = lambda r: (r[0], r[1] is not None, r[1] or "", r[2])
+    assert back == [["被调方法", "调用方方法", "行号"]] + [[a, b or "", str(n) if n > 0 else ""] for a, b, n in sorted(CALLERS, key=key)]
+    files.write_callers_csv(rows.limit(0), str(tmp_path / "none"), ordered=True)
+    assert parts(tmp_path / "none") == "被调方法,调用方方法,行号\r\n"
+
+
+def test_line_breaks_in_callers_come_back_as_they_are(spark, tmp_path):
+    rows = spark.createDataFrame(CALLERS, "callee string, caller string, line int").repartition(3)
+    files.write_callers_csv(rows, str(tmp_path / "c"))
+    back = []
+    for p in (tmp_path / "c").glob("part-*"):
+        head, *own = csv.reader(io.StringIO(p.read_bytes().decode(), newline=""))
+        assert head == ["被调方法", "调用方方法", "行号"] and own
+        back += own
+    assert sorted(back) == sorted([a, b or "", str(n) if n > 0 else ""] for a, b, n in CALLERS)
+
+
+@pytest.mark.parametrize(("number", "size"), [(1, 10), (3, 10), (2, 37), (10, 100), (1, 1000), (21, 50), (99, 10)])
+def test_pages_of_a_stored_ranking(spark, tmp_path_factory, number, size):
+    path = str(tmp_path_factory.getbasetemp() / "ranks")
+    rows = [(k, k * 7 % 31) for k in range(1000)]
+    if not os.path.exists(path):
+        files.write_ranked(spark.createDataFrame(rows, "id int, n int").repartition(5), path, F.desc("n"), "id", per_range=64)
+    wanted = [(k, n, r) for r, (k, n) in enumerate(sorted(rows, key=lambda x: (-x[1], x[0])), 1)][(number - 1) * size : number * size]
+    page = files.read_page(spark, path, number, size)
+    assert sorted((tuple(r) for r in page.select("id", "n", "rank").collect()), key=lambda r: r[2]) == wanted
+    ranges = {int(f.split("rank_range=")[1].split("/")[0]) for f in (r[0] for r in page.select(F.input_file_name()).distinct().collect())}
+    assert len(ranges) <= size // 64 + 2  # only folders of the page
+
+
 def test_graph_store(spark, tmp_path):
     nodes = spark.createDataFrame([(1, 10), (2, 20)], "entry_id long, method_id long")
     edges = spark.createDataFrame([(1, 10, 11)], "entry_id long, from_id long, to_id long")
