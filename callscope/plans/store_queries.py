@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.operators import freq, graph, incremental, report
+from callscope.operators import freq, graph, incremental, report, substring
 from callscope.operators.base import shared_folder
 from callscope.plans import testviews as tv
 from callscope.plans.graph_queries import E_SQL, R_SQL, edges, reach_sql, roots
@@ -239,3 +241,18 @@ def graph_refresh(spark, sf_dir):
     store = SnapshotStore(spark, path)
     incremental.refresh_graphs(store, r.filter("entry_id % 11 > 0"), new, incremental.changed_methods(old, new), 8)
     return store.read("nodes").select("entry_id", "method_id", "depth")
+
+
+TERMS = ("Brand11", "getN", "g", "to", "economy/Brand3", "no such name", "<in", "com/acme/large anodized tin/brand4")
+
+
+@query(
+    "substring_search",
+    f"WITH m AS {tv.plain(tv.METHODS)}, t AS (SELECT unnest({list(TERMS)}) AS term) SELECT term, method_id FROM t JOIN m ON contains(lower(concat(owner, '.', name)), lower(term))",
+)
+def substring_search(spark, sf_dir):
+    """Which method names hold terms of one to thirty letters, from the stored postings of their letters."""
+    path = new_folder(spark, "substrings")
+    substring.write_index(tv.view(spark, sf_dir, tv.METHODS).select(F.col("method_id").alias("id"), F.concat("owner", F.lit("."), "name").alias("text")), path, folders=8)
+    found = [substring.find(spark, path, t).select(F.lit(t).alias("term"), F.col("id").alias("method_id")) for t in TERMS]
+    return reduce(DataFrame.unionByName, found)
