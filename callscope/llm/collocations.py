@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,16 +60,17 @@ class Words:
         """The words that begin m words of one piece."""
         return np.flatnonzero(self.piece[: max(0, len(self.piece) - m + 1)] == self.piece[m - 1 :])
 
-    def phrases(self, first: np.ndarray, m: int) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    def phrases(self, first: np.ndarray, m: int | np.ndarray) -> Iterator[tuple[np.ndarray, pa.Array]]:
         """Some of the phrases of m words that begin at `first`, and their texts with one space between words."""
+        m = np.broadcast_to(m, first.shape)
         odd = self.odd[first + m - 1] > self.odd[first]
-        plain = first[~odd]
-        size = self.end[plain + m - 1] - self.start[plain]
+        plain, last = first[~odd], (first + m - 1)[~odd]
+        size = self.end[last] - self.start[plain]
         offsets = np.append(0, np.cumsum(size))
         place = np.repeat(self.start[plain] - offsets[:-1], size) + np.arange(offsets[-1])
         raw = np.frombuffer(self.data, np.uint8)[place]
         yield np.flatnonzero(~odd), pa.Array.from_buffers(pa.string(), len(plain), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw)])
-        spans = [[self.data[self.start[w] : self.end[w]] for w in range(i, i + m)] for i in first[odd]]
+        spans = [[self.data[self.start[w] : self.end[w]] for w in range(i, i + n)] for i, n in zip(first[odd], m[odd], strict=True)]
         yield np.flatnonzero(odd), pa.array([b" ".join(s).decode() for s in spans], pa.string())
 
 
@@ -135,9 +137,9 @@ def count(corpus: DataFrame, opened: np.ndarray | None, known: np.ndarray | None
         nodes, frequent, sieve = shared.value
         for texts, langs, hashes in slices(batches, slice_bytes):
             w = Words(texts, np.array(hashes, np.int64).view(np.uint64))
-            names = sorted(set(langs))
-            lang_of = np.array([names.index(x) for x in langs], np.int64)
-            names = pa.array(names, pa.string())
+            numbers = {x: k for k, x in enumerate(sorted(set(langs)))}
+            lang_of = np.array([numbers[x] for x in langs], np.int64)
+            names = pa.array(list(numbers), pa.string())
             if nodes is None:
                 yield from rows(w, np.arange(len(w.start)), 1, names, lang_of)
                 total = np.bincount(lang_of[w.text], minlength=len(names))
@@ -170,6 +172,36 @@ def sieve(corpus: DataFrame, opened: np.ndarray, known: np.ndarray, least: int,
     return packed(keys.select(F.shiftright(place, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int")).alias("bits")))
 
 
+def runs(corpus: DataFrame, known: np.ndarray, slice_bytes: int) -> DataFrame:
+    """What of the corpus phrases of three words and more can stand in: the longest runs of words whose pairs are all frequent, as lines of one text for each slice and language.
+
+    Every such phrase stands whole in one run, so counts over the runs are those over the corpus; runs of two words are left out.
+    """
+    shared = corpus.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = shared.value
+        for texts, langs, hashes in slices(batches, slice_bytes):
+            w = Words(texts, np.array(hashes, np.int64).view(np.uint64))
+            pairs = np.zeros(len(w.start) + 1, np.int8)  # whether a word and the next one are a frequent pair
+            first = w.whole(2)
+            pairs[first[tested(frequent, w.key(2)[first])]] = 1
+            edge = np.diff(pairs, prepend=0)
+            start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            start, size = start[end - start > 1], (end - start + 1)[end - start > 1]
+            numbers = {x: k for k, x in enumerate(sorted(set(langs)))}
+            codes = dict(zip(langs, hashes, strict=True))
+            lang_of = np.array([numbers[x] for x in langs], np.int64)
+            for some, text in w.phrases(start, size):
+                of = lang_of[w.text[start[some]]]
+                order, sizes = np.argsort(of, kind="stable"), np.bincount(of, minlength=len(numbers))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), text.take(pa.array(order)))
+                joined = pc.binary_join(lists, "\n").cast(pa.binary())  # a text for each language, whose lines are its runs
+                yield pa.RecordBatch.from_arrays([pa.array(list(numbers), pa.string()), pa.array([codes[x] for x in numbers], pa.int64()), joined], ["lang", "code", "text"])
+
+    return corpus.mapInArrow(run, "lang string, code bigint, text binary")
+
+
 def packed(rows: DataFrame) -> np.ndarray:
     """The bitmap whose words (at) hold the bits of all rows; Spark joins them, at most one row for each word comes to the driver."""
     found = rows.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
@@ -264,10 +296,11 @@ def collocations(
     the occurrences of its two parts; the lowest counts, ties to the earliest cut. Phrases that stand in a longer one of 80 % of their
     occurrences are dropped. Order: score, then a, both falling, then the phrase in bytes.
 
-    Nodes are opened in rounds, the best bounds first; each round is one scan of the corpus, which sends only phrases that its
-    opened nodes begin and whose inner words and pairs are frequent; pairs of words are sieved by their hashes first. Three bitmaps
-    of fixed size are all that is broadcast; they lose nothing, and what they let pass by chance is dropped by a join. Counts of texts, phrases and candidates are Spark tables.
-    Inside a slice of a text phrases are told apart by a 64-bit hash, between tasks by their text.
+    Nodes are opened in rounds, the best bounds first. Words and pairs take three scans of the corpus, and a fourth keeps the runs of frequent
+    pairs, which each further round scans in its place. A scan sends only phrases that its opened nodes begin and whose inner words and
+    pairs are frequent; pairs of words are sieved by their hashes first. Three bitmaps of fixed size are all that is broadcast; they lose
+    nothing, and what they let pass by chance is dropped by a join. Counts, phrases and candidates are Spark tables. Inside a slice of a
+    text phrases are told apart by a 64-bit hash, between tasks by their text.
 
     Null texts are empty; null languages are 'und'. Repeated rows count each. An empty table, and a language without a frequent
     phrase, give no rows. Only the two columns are read, so other names cannot clash. A piece is held whole.
@@ -294,6 +327,8 @@ def collocations(
         nodes = cut(known.unionByName(new))
         if now is frequent:
             frequent = frequent | bitmap(new)  # all pairs are known now
+            if longest > 2:
+                corpus = cut(runs(corpus, frequent, slice_bytes))
         found = cut(judged(nodes))
         opened = cut(wanted(nodes, found, top, ahead, longest))
         if opened.filter("must").isEmpty():
