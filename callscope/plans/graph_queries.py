@@ -138,7 +138,7 @@ BUDGET_SQL = f"""WITH RECURSIVE {E_SQL}, {R_SQL}, o AS (SELECT *, row_number() O
 def call_tree_budget(spark, sf_dir):
     """The first twelve nodes of every call tree of depth 5."""
     found = tree.call_tree_within(roots(spark, sf_dir), edges(spark, sf_dir), 5, 12)
-    return found.select("entry_id", "place", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "depth", "node_id", "line", "cycle", "truncated")
+    return found.select("entry_id", F.col("place").cast("bigint").alias("place"), F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "depth", "node_id", "line", "cycle", "truncated")
 
 
 @query("cycle_nodes", f"WITH RECURSIVE {E_SQL}, c AS (SELECT from_id AS a, to_id AS b FROM e UNION SELECT a, to_id FROM c JOIN e ON b = from_id) SELECT DISTINCT a AS method_id FROM c WHERE a = b")
