@@ -267,8 +267,8 @@ def wanted(nodes: DataFrame, found: DataFrame, top: int, ahead: int, longest: in
     """The nodes that may be opened next, with `must`: whether the best `top` phrases of a language depend on it.
 
     found: judged(nodes). A language's bar is the score of its `top`-th phrase that is not dropped. A node must be opened if its bound reaches the
-    bar; if a phrase of at least the bar, which it overlaps in all but its first word, could be dropped by what the node begins; or if such a
-    phrase has a part that only the node gives. The others have these reasons for a lower bar, that of `ahead` times as many phrases.
+    bar; if a phrase of at least the bar, which begins with all words of the node but its first, could be dropped by what the node begins, by its
+    children or by theirs; or if such a phrase has a part that only the node gives. The others have these reasons for a lower bar, that of `ahead` times as many phrases.
     """
     alive = found.filter(~F.col("dropped"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score")))
@@ -276,7 +276,8 @@ def wanted(nodes: DataFrame, found: DataFrame, top: int, ahead: int, longest: in
     bars = bars.groupBy("lang").agg(*[F.coalesce(F.max(F.when(F.col("p") == n, F.col("score"))), F.lit(0)).alias(name) for name, n in (("bar", top), ("low", ahead * top))])
     alive = alive.join(bars, "lang").filter(F.col("score") >= F.col("low"))
     high = F.col("score") >= F.col("bar")
-    least = alive.filter(F.col("m") < longest).groupBy("lang", F.col("head").alias("tail")).agg(F.min("f").alias("least_low"), F.min(F.when(high, F.col("f"))).alias("least"))
+    begun = alive.filter(F.col("m") < longest).withColumn("k", F.explode(F.expr("sequence(1, m - 1)"))).withColumn("tail", first_words("k"))
+    least = begun.groupBy("lang", "tail").agg(F.min("f").alias("least_low"), F.min(F.when(high, F.col("f"))).alias("least"))
     part = alive.filter(~F.col("exact")).select("lang", F.expr("substring_index(substring_index(phrase, ' ', -(m - 1)), ' ', m - 2)").alias("phrase"), high.alias("high"))
     part = part.groupBy(*KEY).agg(F.max("high").alias("part"))
     able = nodes.filter((F.col("m") > 1) & (F.col("m") < longest) & ~F.col("open")).withColumns({"tail": last_words("m - 1"), "bound": score(F.col("f"), F.col("lead").cast("decimal(20,0)") + F.col("f"))})

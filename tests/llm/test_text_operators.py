@@ -276,6 +276,34 @@ def test_collocations_open_only_what_bounds_allow(spark):
     assert grown[0] is None and grown[1] == 46 and sum(grown[2:]) <= 30  # of 36 common pairs and their triples none
 
 
+def test_collocations_drop_what_a_common_word_always_precedes(spark):
+    """`red hot chili` always follows `the`, so that the phrase of four words drops it, though `red hot` often stands alone and `the` is too common for a bound."""
+    texts = 10 * ["the red hot chili"] + 30 * ["red hot"] + [f"the n{k}" for k in range(300)]
+    texts += [t for k in range(8) for t in 10 * [f"g{k}a g{k}b"] + [t for j in range(20 + k) for t in (f"g{k}a x{k}{j}", f"y{k}{j} g{k}b")]]
+    found = collocations.collocations(frame(spark, texts, ("en",)), 2, 5, 4).collect()
+    assert [r["phrase"] for r in found] == ["red hot", "g0a g0b"]
+    assert sorted(map(tuple, found)) == mined([("en", t) for t in texts], 2, 5, 4)
+
+
+@pytest.mark.parametrize("top", [5, 12])
+def test_collocations_equal_brute_force_where_phrases_nest(spark, top):
+    """Many small languages, each with phrases inside others and with more phrases than are wanted."""
+    rows = []
+    for seed in range(40):
+        rng = random.Random(seed)
+        common, rare = [f"w{k}" for k in range(30)], [f"r{k}" for k in range(10 + seed)]
+        fixed = []
+        for _ in range(15):
+            core = [rng.choice(rare + common[:3]) for _ in range(rng.randrange(2, 5))]
+            fixed += [core, [common[min(29, int(rng.expovariate(0.3)))], *core], core[: rng.randrange(1, len(core) + 1)] + [rng.choice(rare)]]
+        weights = [rng.random() ** 3 + 0.01 for _ in fixed]
+        for _ in range(120):
+            parts = [rng.choices(fixed, weights)[0] if rng.random() < 0.6 else rng.choices(common, k=rng.randrange(1, 5)) for _ in range(rng.randrange(1, 6))]
+            rows.append((" ".join(" ".join(p) + rng.choice([" .", ""]) for p in parts), f"lang{seed}"))
+    found = collocations.collocations(spark.createDataFrame(rows, "text string, lang string").repartition(3), top, 3, 4)
+    assert sorted(map(tuple, found.collect())) == mined([(lang, text) for text, lang in rows], top, 3, 4)
+
+
 def test_collocation_scores_are_exact_beyond_64_bits(spark):
     rows = spark.createDataFrame([(10**13, 10**13 + 7), (9 * 10**12 + 1, 4 * 10**13)], "a long, parts long")
     assert [r[0] for r in rows.select(collocations.score(rows["a"], rows["parts"])).collect()] == [2_000_000 * a // p for a, p in [(10**13, 10**13 + 7), (9 * 10**12 + 1, 4 * 10**13)]]
