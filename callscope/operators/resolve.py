@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callscope.functions import sig
-from callscope.operators.base import cut
+from callscope.operators.base import cut, spread_join, stored
 
 KEY = ["owner", "name", "descriptor"]
 
@@ -140,11 +140,15 @@ def resolve_entry_roots(entries: DataFrame, methods: DataFrame) -> DataFrame:
     Without a method name: all methods that are not synthetic or bridges; with one: all overloads, or the one with
     the entry's descriptor if there is such a one. methods: (method_id, class_name, name, descriptor, access).
     """
-    m = methods.select("method_id", "class_name", "name", F.col("descriptor").alias("own"), "access")
-    found = entries.join(m, "class_name").filter((F.col("method_name").isNull() & ~sig.is_synthetic_or_bridge(F.col("access"))) | (F.col("method_name") == F.col("name")))
-    exact = F.coalesce(F.col("method_name").isNotNull() & (F.col("descriptor") == F.col("own")), F.lit(False))
-    any_exact = F.max(exact).over(Window.partitionBy("entry_id"))
-    return found.withColumn("_e", exact).withColumn("_any", any_exact).filter("_e OR NOT _any").select("entry_id", "method_id")
+    asked = entries.select("entry_id", "class_name", "method_name", "descriptor")
+    m = methods.select("method_id", "class_name", F.col("name").alias("method_name"), "descriptor", "access")
+    # Each case is a join by equal keys, so that no pair of an entry and a method that it does not have is made, and none is compared with others.
+    exact = asked.join(m.drop("access"), ["class_name", "method_name", "descriptor"]).select("entry_id", "method_id")
+    loose = asked.join(exact.select("entry_id").distinct(), "entry_id", "left_anti").drop("descriptor")
+    plain = m.filter(~sig.is_synthetic_or_bridge(F.col("access"))).select("class_name", "method_id")
+    whole = spread_join(loose.filter("method_name IS NULL").select("entry_id", "class_name"), plain, ["class_name"], "method_id")
+    named = spread_join(loose.filter("method_name IS NOT NULL"), m.select("class_name", "method_name", "method_id"), ["class_name", "method_name"], "method_id")
+    return exact.unionByName(whole.select("entry_id", "method_id")).unionByName(named.select("entry_id", "method_id"))
 
 
 def verify_entries(entries: DataFrame, methods: DataFrame) -> DataFrame:
