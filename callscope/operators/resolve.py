@@ -55,7 +55,17 @@ def dispatch_targets(wanted: DataFrame, classes: DataFrame, methods: DataFrame,
 
 
 def resolve_calls(calls: DataFrame, classes: DataFrame, methods: DataFrame) -> DataFrame:
-    """(owner, name, descriptor, kind, target) of distinct call signatures; a row for each target.
+    """(owner, name, descriptor, kind, target) of distinct call signatures; a row for each target. See resolve_ways()."""
+    one, ways, targets = resolve_ways(calls, classes, methods)
+    multi = spread_join(ways, targets, ["via", "name", "descriptor"], "target").select(*KEY, F.lit("MULTI").alias("kind"), "target")
+    return one.unionByName(multi)
+
+
+def resolve_ways(calls: DataFrame, classes: DataFrame, methods: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What resolve_calls() gives, before calls of many targets are paired with them, which many calls share.
+
+    (owner, name, descriptor, kind, target) of SINGLE and EXTERNAL signatures; (owner, name, descriptor, via) of MULTI ones;
+    (via, name, descriptor, target), distinct.
 
     JDK owners are dropped; unknown owners are EXTERNAL. The superclass chain is searched first, then interfaces
     breadth-first in declaration order. The first class that declares the method concretely is the SINGLE target; one that
@@ -99,10 +109,9 @@ def resolve_calls(calls: DataFrame, classes: DataFrame, methods: DataFrame) -> D
     # The first way with targets is known before the pairs of calls and targets are made, which are many and distinct.
     open_ways = ways.join(targets.select("via", "name", "descriptor").distinct(), ["via", "name", "descriptor"], "left_semi")
     chosen = stored(open_ways.groupBy(*KEY).agg(F.min_by("via", "way").alias("via")))
-    multi = spread_join(chosen, targets, ["via", "name", "descriptor"], "target").select(*KEY, F.lit("MULTI").alias("kind"), "target")
     external = rest.join(chosen.select(*KEY), KEY, "left_anti").filter("abstract IS NOT NULL OR unknown")
     external = external.select(*KEY, F.lit("EXTERNAL").alias("kind"), F.col("owner").alias("target"))
-    return single.unionByName(multi).unionByName(external)
+    return single.unionByName(external), chosen, targets
 
 
 def with_source(rows: DataFrame, known: DataFrame, method: str = "method_id") -> DataFrame:

@@ -59,9 +59,9 @@ def subtype_closure(spark, sf_dir):
     SELECT from_id, to_id, min(invoke) AS invoke, min(line)::INTEGER AS line FROM e GROUP BY from_id, to_id""",
 )
 def build_edges(spark, sf_dir):
-    rows = resolved(spark, sf_dir)
-    rows = rows.select(F.lit("com/main/M.run").alias("caller"), F.concat_ws(".", "owner", "name").alias("declared"), "kind", F.concat_ws(".", "target", "name").alias("target"), F.lit("VIRTUAL").alias("invoke"), F.lit(7).alias("line"), F.lit(1).alias("seq"))
-    return graph.build_edges(rows)
+    one, ways, targets = resolve.resolve_ways(tv.view(spark, sf_dir, tv.CALLS), *hierarchy(spark, sf_dir))
+    calls = one.select(*resolve.KEY).unionByName(ways.select(*resolve.KEY)).select(F.lit("com/main/M.run").alias("caller"), "*", F.lit("VIRTUAL").alias("invoke"), F.lit(7).alias("line"), F.lit(1).alias("seq"))
+    return graph.build_edges_of(calls, one, ways, targets, lambda owner, name, descriptor: F.concat_ws(".", owner, name))
 
 
 @query(
